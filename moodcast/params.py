@@ -51,8 +51,8 @@ LABEL_CUT = 0.05
 COMPOSITE_DECIMAL = "decimal(18,9)"
 # Sentence polarity lies in (-1, 1); nine places keep the error below 1e-9.
 POLARITY_DECIMAL = "decimal(18,9)"
-# Lexicon sums per sentence.
-VALENCE_DECIMAL = "decimal(18,6)"
+# Token values after the rules have at most ~11 decimals; twelve keep them exact.
+VALENCE_DECIMAL = "decimal(18,12)"
 
 # Largest side we hint as broadcast without checking again (rows).
 BROADCAST_MAX_ROWS = 2_000_000
