@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodcast import params as P
+from moodcast.functions.exprs import content_hash
+from moodcast.operators import text as T
+from moodcast.operators.upsert import latest_per_key, upsert_posts, upsert_rows, upsert_scores
+from moodcast.schemas import POST_FIELDS, SCORE_METRICS
 
 
 def scoring_gate(posts: DataFrame, min_title: int = P.GATE_MIN_TITLE,
@@ -14,3 +20,65 @@ def scoring_gate(posts: DataFrame, min_title: int = P.GATE_MIN_TITLE,
     return posts.filter(F.col("selftext").isNotNull() &
                         (F.col("title_length") >= F.lit(min_title)) &
                         (F.col("selftext_length") >= F.lit(min_body)))
+
+
+def incremental_sentiment(stored: DataFrame, batch: DataFrame, lexicon: DataFrame, as_of: int,
+                          version: str = P.SCORER_VERSION, rules: T.Rules = T.FULL,
+                          order: str | None = "polled_at") -> tuple[DataFrame, DataFrame]:
+    """SNK-5: (merged sentiments, rows scored in this batch).
+
+    Hash first (FN-9), drop posts whose (id, hash) is already stored with a
+    left anti join (FIL-10), score only the rest -- the expensive step -- and
+    upsert. ``updated_timestamp`` is ``as_of``.
+    """
+    g = scoring_gate(batch)
+    cols = ["id", "title", "selftext"] + ([order] if order and order in batch.columns else [])
+    g = g.select(*cols)
+    if len(cols) == 4:
+        g = latest_per_key(g, ["id"], [order]).drop(order)
+    h = g.withColumn("hash_check", content_hash("title", "selftext", version))
+    todo = h.join(stored.select("id", "hash_check"), ["id", "hash_check"], "left_anti")
+    scored = T.text_sentiment(todo.withColumn("text", T.post_text("title", "selftext")),
+                              "id", "text", lexicon, rules, carry=["hash_check"])
+    fresh = scored.select("id", "hash_check", F.lit(int(as_of)).cast("bigint").alias("updated_timestamp"),
+                          F.col("sentiment").alias("sentiment_value"))
+    return upsert_rows(stored, fresh, ["id"]), fresh
+
+
+@dataclass
+class IngestResult:
+    posts: DataFrame
+    scores: DataFrame
+    sentiments: DataFrame
+    post_actions: DataFrame
+    score_actions: DataFrame
+    scored: DataFrame
+
+    def counts(self) -> DataFrame:
+        """AGG-6: (counter, n) -- total, new posts, score changes, sentiment updates."""
+        pa, sa = self.post_actions, self.score_actions
+        rows = [
+            pa.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("counter"), "n"),
+            pa.agg(F.count_if(F.col("action") == "new").alias("n")).select(F.lit("new_posts").alias("counter"), "n"),
+            sa.agg(F.count_if("changed").alias("n")).select(F.lit("score_updates").alias("counter"), "n"),
+            self.scored.agg(F.count(F.lit(1)).alias("n")).select(F.lit("sentiment_updates").alias("counter"), "n"),
+        ]
+        out = rows[0]
+        for r in rows[1:]:
+            out = out.unionByName(r)
+        return out.withColumn("n", F.col("n").cast("bigint"))
+
+
+def ingest(batch: DataFrame, posts: DataFrame, scores: DataFrame, sentiments: DataFrame,
+           lexicon: DataFrame, as_of: int, version: str = P.SCORER_VERSION,
+           rules: T.Rules = T.FULL) -> IngestResult:
+    """Q-7: apply one batch of polled rows (``raw_posts`` schema) to the three
+    post tables. Sentiment is computed from the text before the text columns
+    are dropped from the post row (PRJ-5)."""
+    merged_sent, scored = incremental_sentiment(sentiments, batch, lexicon, as_of, version, rules)
+    fields = [f for f in POST_FIELDS if f in batch.columns and f != "id"]
+    merged_posts, post_actions = upsert_posts(posts, batch.drop("title", "selftext"), fields)
+    polls = batch.select("id", F.col("polled_at").alias("timestamp"), *SCORE_METRICS)
+    polls = polls.dropDuplicates(["id", "timestamp"])
+    merged_scores, score_actions = upsert_scores(scores, polls)
+    return IngestResult(merged_posts, merged_scores, merged_sent, post_actions, score_actions, scored)

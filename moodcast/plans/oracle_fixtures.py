@@ -61,6 +61,17 @@ select cast(doc_id as varchar) id, source subreddit, substr(text, 1, 40) title,
   1704067200 + doc_id * 600 created,
   cast(length(text) as int) selftext_length, cast(length(substr(text, 1, 40)) as int) title_length
 from documents""",
+    "poll_batch": """
+select *, created + 1200 polled_at, cast(cast(id as bigint) * 7 % 100 as double) / 100 upvote_ratio,
+  cast(cast(id as bigint) % 50 as int) ups, cast(cast(id as bigint) % 50 - 5 as int) score,
+  cast(cast(id as bigint) % 13 as int) num_comments
+from raw_posts""",
+    "stored_sentiments": """
+select id, sha256(case when created < 1704240000 then 'SentimentAnalyzer_v1' else 'SentimentAnalyzer_v0' end
+    || title || selftext) hash_check,
+  cast(1706572800 as bigint) updated_timestamp, cast(0.0 as double) sentiment_value
+from raw_posts
+where selftext is not null and title_length >= 10 and selftext_length >= 100""",
     "lexicon": """
 select 'the' word, cast(1.5 as double) valence
 union all select 'and', cast(-0.8 as double)
@@ -73,6 +84,8 @@ DEPENDS = {
     "price_pages": ["finance_indexes"],
     "scores_old": ["submission_scores"],
     "scores_new": ["submission_scores"],
+    "poll_batch": ["raw_posts"],
+    "stored_sentiments": ["raw_posts"],
 }
 
 

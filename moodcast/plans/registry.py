@@ -29,4 +29,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from moodcast.plans import queries_core, queries_read, queries_text  # noqa: F401
+    from moodcast.plans import queries_core, queries_read, queries_text, queries_write  # noqa: F401

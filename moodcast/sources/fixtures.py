@@ -118,6 +118,36 @@ def raw_posts(documents: DataFrame) -> DataFrame:
     )
 
 
+def poll_batch(documents: DataFrame) -> DataFrame:
+    """raw_posts plus the poll time and the metrics a poll returns."""
+    d = F.col("id").cast("bigint")
+    return raw_posts(documents).select(
+        "*",
+        (F.col("created") + 1200).alias("polled_at"),
+        ((d * 7 % 100).cast("double") / 100).alias("upvote_ratio"),
+        (d % 50).cast("int").alias("ups"),
+        (d % 50 - 5).cast("int").alias("score"),
+        (d % 13).cast("int").alias("num_comments"))
+
+
+# Posts created before this were scored with the current scorer version.
+SCORED_BEFORE = 1704067200 + 2 * 86400
+OLD_VERSION = "SentimentAnalyzer_v0"
+
+
+def stored_sentiments(documents: DataFrame) -> DataFrame:
+    """Sentiment rows of an earlier run: older posts carry the current hash,
+    newer ones the hash of an older scorer version (so they are re-scored)."""
+    from moodcast.functions.exprs import content_hash
+    from moodcast.operators.ingest import scoring_gate
+    p = scoring_gate(raw_posts(documents))
+    ver = F.when(F.col("created") < SCORED_BEFORE, F.lit("SentimentAnalyzer_v1")).otherwise(F.lit(OLD_VERSION))
+    return p.select(
+        "id", F.sha2(F.concat(ver, F.col("title"), F.col("selftext")), 256).alias("hash_check"),
+        F.lit(AS_OF - 86400).cast("bigint").alias("updated_timestamp"),
+        F.lit(0.0).alias("sentiment_value"))
+
+
 # The test lexicon of FIXTURES.md (function words, since the
 # synthetic prose has no real sentiment words), in this order.
 TEST_LEXICON = [("the", 1.5), ("and", -0.8), ("that", -1.9), ("for", 0.6)]
@@ -170,3 +200,9 @@ class Fixture:
 
     def lexicon(self):
         return lexicon(self.spark)
+
+    def poll_batch(self):
+        return poll_batch(self.documents)
+
+    def stored_sentiments(self):
+        return stored_sentiments(self.documents)
