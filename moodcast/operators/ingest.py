@@ -32,16 +32,17 @@ def incremental_sentiment(stored: DataFrame, batch: DataFrame, lexicon: DataFram
     upsert. ``updated_timestamp`` is ``as_of``.
     """
     g = scoring_gate(batch)
-    cols = ["id", "title", "selftext"] + ([order] if order and order in batch.columns else [])
-    g = g.select(*cols)
-    if len(cols) == 4:
+    part = ["dt"] if "dt" in batch.columns else []
+    g = g.select("id", "title", "selftext", *part,
+                 *([order] if order and order in batch.columns else []))
+    if order and order in batch.columns:
         g = latest_per_key(g, ["id"], [order]).drop(order)
     h = g.withColumn("hash_check", content_hash("title", "selftext", version))
     todo = h.join(stored.select("id", "hash_check"), ["id", "hash_check"], "left_anti")
     scored = T.text_sentiment(todo.withColumn("text", T.post_text("title", "selftext")),
-                              "id", "text", lexicon, rules, carry=["hash_check"])
+                              "id", "text", lexicon, rules, carry=["hash_check", *part])
     fresh = scored.select("id", "hash_check", F.lit(int(as_of)).cast("bigint").alias("updated_timestamp"),
-                          F.col("sentiment").alias("sentiment_value"))
+                          F.col("sentiment").alias("sentiment_value"), *part)
     return upsert_rows(stored, fresh, ["id"]), fresh
 
 
@@ -77,8 +78,10 @@ def ingest(batch: DataFrame, posts: DataFrame, scores: DataFrame, sentiments: Da
     are dropped from the post row (PRJ-5)."""
     merged_sent, scored = incremental_sentiment(sentiments, batch, lexicon, as_of, version, rules)
     fields = [f for f in POST_FIELDS if f in batch.columns and f != "id"]
+    part = ["dt"] if "dt" in batch.columns else []
+    fields += part
     merged_posts, post_actions = upsert_posts(posts, batch.drop("title", "selftext"), fields)
-    polls = batch.select("id", F.col("polled_at").alias("timestamp"), *SCORE_METRICS)
+    polls = batch.select("id", F.col("polled_at").alias("timestamp"), *SCORE_METRICS, *part)
     polls = polls.dropDuplicates(["id", "timestamp"])
     merged_scores, score_actions = upsert_scores(scores, polls)
     return IngestResult(merged_posts, merged_scores, merged_sent, post_actions, score_actions, scored)

@@ -74,6 +74,8 @@ def upsert_scores(stored: DataFrame, batch: DataFrame, metrics=SCORE_METRICS,
     (A@1, B@2, B@3 -> B@2); an unchanged re-poll leaves the stored row.
     """
     cols = ["id", time_col, *metrics]
+    if "dt" in batch.columns and "dt" in stored.columns:
+        cols.append("dt")  # the post's partition; constant per id
     runs = change_runs(stored.select(*cols), batch.select(*cols), "id", time_col, list(metrics))
     last = latest_per_key(runs.filter("_chg").select(*cols, "_src"), ["id"], ["_src", time_col])
     merged = upsert_rows(stored.select(*cols), last.select(*cols), ["id"])
