@@ -27,3 +27,14 @@ def join_keys(*dfs: DataFrame, key: str = "id") -> list[str]:
     if all("dt" in d.columns for d in dfs):
         return [key, "dt"]
     return [key]
+
+
+def ensure_parallelism(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread ``df`` on ``key`` when it has fewer partitions than the
+    cluster has cores (e.g. one large unsplittable file) before per-row heavy
+    work. On a big table the file splits already exceed the core count and
+    nothing is added; planning the partition count runs no job."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, key)
+    return df

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from moodcast import params as P
 from moodcast.functions.exprs import col_, round_half_up
-from moodcast.operators.joins import broadcast_if_small
+from moodcast.operators.joins import broadcast_if_small, ensure_parallelism
 
 # Fixed values (VADER method): compound normalisation, rule weights.
 ALPHA = 15.0            # compound = x / sqrt(x^2 + ALPHA)
@@ -120,8 +120,8 @@ def token_array(sentence) -> Column:
 
 def sentences(df: DataFrame, id_col: str, text) -> DataFrame:
     """TXT-1: (id, sent_idx, sentence), sentence trimmed, sent_idx from 0."""
-    return (df.select(F.col(id_col).alias("id"),
-                      F.posexplode(sentence_array(text)).alias("sent_idx", "sentence"))
+    src = ensure_parallelism(df.select(F.col(id_col).alias("id"), col_(text).alias("_text")), "id")
+    return (src.select("id", F.posexplode(sentence_array("_text")).alias("sent_idx", "sentence"))
             .withColumn("sentence", F.trim("sentence")))
 
 
@@ -151,8 +151,12 @@ def _token_rows(df: DataFrame, id_col: str, text, carry: list[str],
     marker = F.array(F.lit(None).cast("string"))
     # Each regex runs once per row: the arrays are materialised as columns
     # and the features read those columns.
-    docs = df.select(F.col(id_col).alias("id"), sentence_array(text).alias("_sents"), *carry)
-    base = docs.select("id", F.size("_sents").alias("n_sent"),
+    src = ensure_parallelism(df.select(F.col(id_col).alias("id"), col_(text).alias("_text"), *carry), "id")
+    docs = src.select("id", sentence_array("_text").alias("_sents"), *carry)
+    # The count is taken before the explode so exploded rows do not carry the
+    # whole sentence array (that would be quadratic in a long document).
+    docs = docs.select("id", "_sents", F.size("_sents").alias("n_sent"), *carry)
+    base = docs.select("id", "n_sent",
                        F.posexplode(F.concat("_sents", marker)).alias("sent_idx", "sentence"),
                        *carry)
     with_toks = base.select("*", token_array("sentence").alias("_toks"))
