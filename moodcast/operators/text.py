@@ -83,7 +83,6 @@ BLANKS_RE = r"[\t\r\f ]+"
 SENTENCE_RE = r"[^.!?\n]*[^.!?\n\t\r\f ][^.!?\n]*[.!?]*"
 # A token: letters, digits and apostrophes; one-character tokens are dropped.
 TOKEN_RE = r"[\p{L}\p{N}']+"
-TOKEN_ARRAY_TYPE = "array<struct<tok:string,pos:int,p1:string,p2:string,p3:string>>"
 
 
 @dataclass(frozen=True)
@@ -138,7 +137,7 @@ def _punct_amp(s: Column) -> Column:
 
 def _is_upper(t: Column) -> Column:
     """Has an upper-case letter and no lower-case one (Python's ``isupper``)."""
-    return t.rlike(r"\p{Lu}") & ~t.rlike(r"\p{Ll}")
+    return t.rlike(r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$")
 
 
 def _is_negation(w: Column) -> Column:
@@ -146,8 +145,13 @@ def _is_negation(w: Column) -> Column:
 
 
 def _token_rows(df: DataFrame, id_col: str, text, carry: list[str],
-                per_sentence_marker: bool) -> DataFrame:
-    """One row per token (and marker rows), with sentence-level features."""
+                per_sentence_marker: bool, rules: Rules = FULL) -> DataFrame:
+    """One row per token (and marker rows), with sentence-level features.
+
+    Marker rows have ``pos`` -1 and no token. With ``per_sentence_marker`` a
+    sentence's first token (or a marker, for a sentence without tokens) stands
+    for the sentence; otherwise one marker per document carries its count.
+    """
     marker = F.array(F.lit(None).cast("string"))
     # Each regex runs once per row: the arrays are materialised as columns
     # and the features read those columns.
@@ -160,37 +164,54 @@ def _token_rows(df: DataFrame, id_col: str, text, carry: list[str],
                        F.posexplode(F.concat("_sents", marker)).alias("sent_idx", "sentence"),
                        *carry)
     with_toks = base.select("*", token_array("sentence").alias("_toks"))
-    toks = F.col("_toks")
-    per_sent = with_toks.select(
-        "id", "n_sent", "sent_idx", "sentence", *carry, "_toks",
-        _punct_amp(F.coalesce(F.col("sentence"), F.lit(""))).alias("_amp"),
-        (F.array_position(F.transform(toks, F.lower), "but") - 1).cast("int").alias("_but"),
-        F.size(F.filter(toks, _is_upper)).alias("_ncaps"),
-        F.size(toks).alias("_ntok"))
+    # Lower-case once per token; lookups and context words read this array.
+    with_toks = with_toks.select("*", F.transform("_toks", F.lower).alias("_ltoks"))
+    feats = [_punct_amp(F.coalesce(F.col("sentence"), F.lit(""))).alias("_amp")]
+    if rules.but:
+        feats.append((F.array_position("_ltoks", "but") - 1).cast("int").alias("_but"))
+    if rules.caps:
+        n_caps = F.size(F.filter("_toks", _is_upper))
+        feats.append(((n_caps > 0) & (n_caps < F.size("_toks"))).alias("_capdiff"))
+    per_sent = with_toks.select("id", "n_sent", "sent_idx", "sentence", *carry, "_toks", "_ltoks", *feats)
+
+    context = rules.negation or rules.degree
 
     def ctx(t, i):
-        prev = [F.lower(F.get(F.col("_toks"), i - k)).alias(f"p{k}") for k in (1, 2, 3)]
-        return F.struct(t.alias("tok"), i.alias("pos"), *prev)
+        fields = [F.get(F.col("_ltoks"), i).alias("w"), i.alias("pos")]
+        if rules.caps:
+            fields.append(t.alias("tok"))
+        if context:
+            fields += [F.get(F.col("_ltoks"), i - k).alias(f"p{k}") for k in (1, 2, 3)]
+        return F.struct(*fields)
 
-    mark = F.struct(F.lit(None).cast("string").alias("tok"), F.lit(-1).alias("pos"),
-                    *[F.lit(None).cast("string").alias(f"p{k}") for k in (1, 2, 3)])
     structs = F.transform(F.col("_toks"), ctx)
+    null_s = F.lit(None).cast("string")
+    mark = F.struct(null_s.alias("w"), F.lit(-1).alias("pos"),
+                    *([null_s.alias("tok")] if rules.caps else []),
+                    *([null_s.alias(f"p{k}") for k in (1, 2, 3)] if context else []))
     if per_sentence_marker:
-        items = (F.when(F.col("sentence").isNull(), F.array().cast(TOKEN_ARRAY_TYPE))
-                 .otherwise(F.concat(structs, F.array(mark))))
+        items = (F.when(F.col("sentence").isNull(), F.array().cast(_array_type(rules)))
+                 .when(F.size("_toks") == 0, F.array(mark)).otherwise(structs))
     else:
         items = F.when(F.col("sentence").isNull(), F.array(mark)).otherwise(structs)
-    return per_sent.select(
-        "id", "n_sent", "sent_idx", *carry, "_amp", "_but",
-        ((F.col("_ncaps") > 0) & (F.col("_ncaps") < F.col("_ntok"))).alias("_capdiff"),
-        F.explode(items).alias("t")).select("*", "t.*").drop("t")
+    keep = ["id", "n_sent", "sent_idx", *carry]
+    keep += [n for n in ("_amp", "_but", "_capdiff") if n in per_sent.columns]
+    return per_sent.select(*keep, F.explode(items).alias("t")).select("*", "t.*").drop("t")
+
+
+def _array_type(rules: Rules) -> str:
+    fields = ["w:string", "pos:int"] + (["tok:string"] if rules.caps else [])
+    if rules.negation or rules.degree:
+        fields += ["p1:string", "p2:string", "p3:string"]
+    return f"array<struct<{','.join(fields)}>>"
 
 
 def _valence(rules: Rules) -> list[tuple[str, Column]]:
     """Successive (name, expression) steps turning ``valence`` into the
     modified token value; kept as separate projections so no step's
-    expression is copied into the next."""
-    steps = [("v", F.col("valence"))]
+    expression is copied into the next. A row that is not a lexicon hit
+    (a marker) keeps value 0 whatever the rules say."""
+    steps = [("v", F.coalesce(F.col("valence"), F.lit(0.0)))]
     v = F.col("v")
     if rules.caps:
         steps.append(("v", F.when(_is_upper(F.col("tok")) & F.col("_capdiff"),
@@ -210,16 +231,17 @@ def _valence(rules: Rules) -> list[tuple[str, Column]]:
         b = F.col("_but")
         steps.append(("v", F.when(b < 0, v).when(F.col("pos") < b, v * F.lit(BUT_BEFORE))
                       .when(F.col("pos") > b, v * F.lit(BUT_AFTER)).otherwise(v)))
+    steps.append(("v", F.when(F.col("valence").isNull(), F.lit(0.0)).otherwise(v)))
     return steps
 
 
 def _hits(df: DataFrame, id_col: str, text, lexicon: DataFrame, rules: Rules,
           carry: list[str], per_sentence_marker: bool) -> DataFrame:
-    toks = _token_rows(df, id_col, text, carry, per_sentence_marker)
-    lex = broadcast_if_small(lexicon.select(F.col("word").alias("_w"), "valence"))
-    joined = (toks.withColumn("_w", F.lower("tok")).join(lex, "_w", "left")
-              .filter(F.col("valence").isNotNull() | (F.col("pos") == -1)))
-    out = joined.withColumn("valence", F.coalesce(F.col("valence"), F.lit(0.0)))
+    toks = _token_rows(df, id_col, text, carry, per_sentence_marker, rules)
+    lex = broadcast_if_small(lexicon.select(F.col("word").alias("w"), "valence"))
+    marker = (F.col("pos") <= 0) if per_sentence_marker else (F.col("pos") == -1)
+    joined = toks.join(lex, "w", "left").filter(F.col("valence").isNotNull() | marker)
+    out = joined
     for name, expr in _valence(rules):
         out = out.withColumn(name, expr)
     return out
