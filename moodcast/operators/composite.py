@@ -35,6 +35,15 @@ def recent_posts(posts: DataFrame, as_of: int, retention_days: int = P.RETENTION
     return out
 
 
+def since_date(df: DataFrame, cut: int) -> DataFrame:
+    """Static partition filter ``dt >= date(cut)`` on a table carrying the
+    post's ``dt`` (no-op otherwise): scores and sentiments of posts older than
+    the cutoff are never read."""
+    if "dt" not in df.columns:
+        return df
+    return df.filter(F.col("dt") >= F.date_from_unix_date(F.lit(cut // P.DAY)))
+
+
 def post_scores(posts: DataFrame, scores: DataFrame) -> DataFrame:
     """JOIN-1 + PRJ-1: inner join on id, keep id, subreddit, created, score."""
     keys = join_keys(posts, scores)
@@ -53,6 +62,8 @@ def composite_sentiment(posts: DataFrame, scores: DataFrame, sentiments: DataFra
     second join reuses that partitioning (one exchange per input, none after).
     """
     recent = recent_posts(posts, as_of, retention_days, min_body, align_to)
+    cut = retention_cutoff(as_of, retention_days, align_to)
+    scores, sentiments = since_date(scores, cut), since_date(sentiments, cut)
     keys = join_keys(recent, scores, sentiments)
     extra = [k for k in keys if k != "id"]
     ps = post_scores(recent, scores)

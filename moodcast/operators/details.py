@@ -52,6 +52,10 @@ def post_details(posts: DataFrame, scores: DataFrame, sentiments: DataFrame,
         p = time_range(p, int(bucket), int(bucket) + w, col="created")
     if community is not None:
         p = p.filter(F.col("subreddit") == F.lit(community))
+    if bucket is not None:
+        # the lookups only need the partitions of this bucket's posts
+        scores = time_range(scores, int(bucket), int(bucket) + w, col=None)
+        sentiments = time_range(sentiments, int(bucket), int(bucket) + w, col=None)
     keys = join_keys(p, scores, sentiments)
     extra = [k for k in keys if k != "id"]
     j = (p.select("id", "subreddit", "created", "url", "selftext_length", *extra)

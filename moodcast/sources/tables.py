@@ -45,14 +45,17 @@ def conform(df: DataFrame, schema: T.StructType, keep: tuple = ("dt",)) -> DataF
     return df.select(*cols)
 
 
-def time_range(df: DataFrame, start: int, end: int, col: str = "timestamp") -> DataFrame:
+def time_range(df: DataFrame, start: int, end: int, col: str | None = "timestamp") -> DataFrame:
     """FIL-4: half-open ``[start, end)`` on an epoch column.
 
     When the table carries ``dt`` the matching date range is added as well,
-    which Spark turns into partition pruning.
+    which Spark turns into partition pruning. ``col=None`` applies only the
+    date range (for tables that carry the post's ``dt`` but not its time).
     """
-    c = F.col(col)
-    out = df.filter((c >= F.lit(int(start))) & (c < F.lit(int(end))))
+    out = df
+    if col is not None:
+        c = F.col(col)
+        out = df.filter((c >= F.lit(int(start))) & (c < F.lit(int(end))))
     if "dt" in df.columns:
         lo = F.date_from_unix_date(F.lit(int(start) // 86400))
         hi = F.date_from_unix_date(F.lit((int(end) - 1) // 86400))
