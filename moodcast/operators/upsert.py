@@ -30,13 +30,24 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
 def upsert_rows(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``updates`` (unique per key) replace target rows with the same
     key; target rows without an update stay; target columns the update lacks
-    keep their stored value (a ``$set`` of the listed fields)."""
-    missing = [c for c in target.columns if c not in updates.columns and c not in keys]
-    u = updates
-    if missing:
-        u = u.join(target.select(*keys, *missing), keys, "left")
-    kept = target.join(updates.select(*keys), keys, "left_anti")
-    return kept.unionByName(u.select(*target.columns))
+    keep their stored value (a ``$set`` of the listed fields).
+
+    One full outer join on the keys: each side is read and shuffled once, and
+    the update side -- often an expensive plan, e.g. freshly scored text -- is
+    evaluated once.
+    """
+    ucols = [c for c in updates.columns if c not in keys]
+    u = updates.select(*keys, *[F.col(c).alias("_u_" + c) for c in ucols], F.lit(True).alias("_u"))
+    j = target.join(u, keys, "full_outer")
+    out = []
+    for c in target.columns:
+        if c in keys:
+            out.append(F.col(c))
+        elif c in ucols:
+            out.append(F.when(F.col("_u"), F.col("_u_" + c)).otherwise(F.col(c)).alias(c))
+        else:
+            out.append(F.col(c))
+    return j.select(*out)
 
 
 def _differs(a: list[Column], b: list[Column]) -> Column:
