@@ -9,6 +9,7 @@ The composite is computed once, not once per grain; nothing is collected.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 from moodcast import params as P
@@ -17,7 +18,7 @@ from moodcast.operators.buckets import EXACT_COL, bucket_sums, moving_average, r
 from moodcast.operators.composite import composite_sentiment
 from moodcast.operators.upsert import upsert_rows
 from moodcast.session import scratch_path
-from moodcast.sources.store import PART, date_of, merge_partitions, write_table
+from moodcast.sources.store import PART, date_of, merge_partitions, table_exists, write_table
 from moodcast.sources.tables import read_table
 
 KEYS = ["timestamp", "subreddit"]
@@ -34,20 +35,47 @@ def analysis_frames(posts: DataFrame, scores: DataFrame, sentiments: DataFrame,
     return hourly, daily
 
 
-def run_analysis(spark: SparkSession, root: str, p: P.AnalysisParams, run_id: str) -> None:
-    posts = read_table(spark, f"{root}/submissions", S.SUBMISSIONS)
-    scores = read_table(spark, f"{root}/submission_scores", S.SUBMISSION_SCORES)
-    sents = read_table(spark, f"{root}/submission_sentiments", S.SUBMISSION_SENTIMENTS)
+def _only_dates(df: DataFrame, dates) -> DataFrame:
+    return df if dates is None else df.filter(F.col(PART).isin(list(dates)))
+
+
+def run_analysis(spark: SparkSession, root: str, p: P.AnalysisParams, run_id: str,
+                 dates=None) -> None:
+    """One analysis run over the stored post tables.
+
+    ``dates=None`` recomputes the whole retention window (the reference's
+    behaviour). With the dates an ingest batch touched (``run_ingest`` returns
+    them), only those partitions of the three post tables are read; hourly and
+    daily sums of those dates are complete (a bucket never spans two dates), and
+    the moving average is recomputed over the small daily table from the first
+    touched date on, using the stored rows before it as context.
+    """
+    posts = _only_dates(read_table(spark, f"{root}/submissions", S.SUBMISSIONS), dates)
+    scores = _only_dates(read_table(spark, f"{root}/submission_scores", S.SUBMISSION_SCORES), dates)
+    sents = _only_dates(read_table(spark, f"{root}/submission_sentiments", S.SUBMISSION_SENTIMENTS), dates)
     comp = composite_sentiment(posts, scores, sents, p.as_of, p.retention_days, p.min_body,
                                align_to=P.DAY if p.align else None)
     stage = scratch_path(spark, "stage", f"hourly_exact_{run_id}")
     write_table(bucket_sums(comp, P.HOUR, keep_exact=True), stage)
-    hourly, daily = analysis_frames(posts, scores, sents, p, spark.read.parquet(stage))
-    for name, df, schema in (("analyzed_by_created_hours", hourly, S.HOURLY),
-                             ("analyzed_by_created_days", daily, S.DAILY)):
-        upd = df.withColumn(PART, date_of("timestamp"))
-        merge_partitions(spark, f"{root}/{name}", schema, upd,
-                         lambda stored, u: upsert_rows(stored, u, KEYS), f"{name}_{run_id}")
+    staged = spark.read.parquet(stage)
+    hourly, daily = analysis_frames(posts, scores, sents, p, staged)
+    hours_path, days_path = f"{root}/analyzed_by_created_hours", f"{root}/analyzed_by_created_days"
+    merge_partitions(spark, hours_path, S.HOURLY, hourly.withColumn(PART, date_of("timestamp")),
+                     lambda stored, u: upsert_rows(stored, u, KEYS), f"hours_{run_id}")
+    if dates is None or not table_exists(spark, days_path):
+        upd = daily
+    else:
+        sums = rollup_sums(staged, P.DAY)
+        stored = read_table(spark, days_path, S.DAILY).drop("sum_sentiment_score_sma", PART)
+        combined = moving_average(upsert_rows(stored, sums, KEYS), p.sma_rows)
+        first = F.lit(min(dates)).cast("date")
+        upd = combined.filter(date_of("timestamp") >= first)
+        # stage: the rows are derived from the table about to be rewritten
+        tmp = scratch_path(spark, "stage", f"days_sma_{run_id}")
+        write_table(upd, tmp)
+        upd = spark.read.parquet(tmp)
+    merge_partitions(spark, days_path, S.DAILY, upd.withColumn(PART, date_of("timestamp")),
+                     lambda stored, u: upsert_rows(stored, u, KEYS), f"days_{run_id}")
 
 
 def hourly_daily(posts, scores, sentiments, as_of, retention_days=P.RETENTION_DAYS):

@@ -27,7 +27,9 @@ TABLES = {
 
 def run_ingest(spark: SparkSession, root: str, batch: DataFrame, lexicon: DataFrame,
                as_of: int, batch_id: str, version: str = P.SCORER_VERSION,
-               rules: T.Rules = T.FULL) -> None:
+               rules: T.Rules = T.FULL) -> list:
+    """Apply one batch; returns the post dates (``dt``) it touched, which an
+    incremental analysis run takes as its ``dates``."""
     b = with_dt(conform(batch, S.RAW_POSTS), "created")
     stage = scratch_path(spark, "stage", f"batch_{batch_id}")
     write_table(b, stage)            # the batch is read three times: read it from here
@@ -48,3 +50,4 @@ def run_ingest(spark: SparkSession, root: str, batch: DataFrame, lexicon: DataFr
             stored, u.selectExpr("id", "polled_at as timestamp", *S.SCORE_METRICS, "dt")
                      .dropDuplicates(["id", "timestamp"]))[0],
         f"scores_{batch_id}")
+    return sorted(r[0] for r in b.select("dt").distinct().collect())
