@@ -17,8 +17,7 @@ from moodcast import schemas as S
 from moodcast.operators.buckets import EXACT_COL, bucket_sums, moving_average, rollup_sums
 from moodcast.operators.composite import composite_sentiment
 from moodcast.operators.upsert import upsert_rows
-from moodcast.session import scratch_path
-from moodcast.sources.store import PART, date_of, merge_partitions, table_exists, write_table
+from moodcast.sources.store import PART, date_of, merge_partitions, stage, table_exists
 from moodcast.sources.tables import read_table
 
 KEYS = ["timestamp", "subreddit"]
@@ -55,9 +54,7 @@ def run_analysis(spark: SparkSession, root: str, p: P.AnalysisParams, run_id: st
     sents = _only_dates(read_table(spark, f"{root}/submission_sentiments", S.SUBMISSION_SENTIMENTS), dates)
     comp = composite_sentiment(posts, scores, sents, p.as_of, p.retention_days, p.min_body,
                                align_to=P.DAY if p.align else None)
-    stage = scratch_path(spark, "stage", f"hourly_exact_{run_id}")
-    write_table(bucket_sums(comp, P.HOUR, keep_exact=True), stage)
-    staged = spark.read.parquet(stage)
+    staged = stage(spark, bucket_sums(comp, P.HOUR, keep_exact=True), f"hourly_exact_{run_id}")
     hourly, daily = analysis_frames(posts, scores, sents, p, staged)
     hours_path, days_path = f"{root}/analyzed_by_created_hours", f"{root}/analyzed_by_created_days"
     merge_partitions(spark, hours_path, S.HOURLY, hourly.withColumn(PART, date_of("timestamp")),
@@ -70,10 +67,8 @@ def run_analysis(spark: SparkSession, root: str, p: P.AnalysisParams, run_id: st
         combined = moving_average(upsert_rows(stored, sums, KEYS), p.sma_rows)
         first = F.lit(min(dates)).cast("date")
         upd = combined.filter(date_of("timestamp") >= first)
-        # stage: the rows are derived from the table about to be rewritten
-        tmp = scratch_path(spark, "stage", f"days_sma_{run_id}")
-        write_table(upd, tmp)
-        upd = spark.read.parquet(tmp)
+        # staged: the rows are derived from the table about to be rewritten
+        upd = stage(spark, upd, f"days_sma_{run_id}")
     merge_partitions(spark, days_path, S.DAILY, upd.withColumn(PART, date_of("timestamp")),
                      lambda stored, u: upsert_rows(stored, u, KEYS), f"days_{run_id}")
 

@@ -14,8 +14,7 @@ from moodcast import schemas as S
 from moodcast.operators import text as T
 from moodcast.operators.ingest import incremental_sentiment
 from moodcast.operators.upsert import upsert_posts, upsert_scores
-from moodcast.session import scratch_path
-from moodcast.sources.store import merge_partitions, with_dt, write_table
+from moodcast.sources.store import merge_partitions, stage, with_dt
 from moodcast.sources.tables import conform
 
 TABLES = {
@@ -31,9 +30,7 @@ def run_ingest(spark: SparkSession, root: str, batch: DataFrame, lexicon: DataFr
     """Apply one batch; returns the post dates (``dt``) it touched, which an
     incremental analysis run takes as its ``dates``."""
     b = with_dt(conform(batch, S.RAW_POSTS), "created")
-    stage = scratch_path(spark, "stage", f"batch_{batch_id}")
-    write_table(b, stage)            # the batch is read three times: read it from here
-    b = spark.read.parquet(stage)
+    b = stage(spark, b, f"batch_{batch_id}")   # read three times: read it from here
 
     merge_partitions(
         spark, f"{root}/submission_sentiments", S.SUBMISSION_SENTIMENTS, b,

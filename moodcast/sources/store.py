@@ -50,8 +50,11 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    w = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+def write_table(df: DataFrame, path: str, mode: str = "overwrite", dynamic: bool = True) -> None:
+    """Write partitioned by ``dt`` when present. ``dynamic`` overwrite replaces
+    only the partitions present in ``df``; staging writes pass ``False`` so a
+    reused staging folder is replaced whole."""
+    w = df.write.mode(mode).option("partitionOverwriteMode", "dynamic" if dynamic else "static")
     if PART in df.columns:
         w = w.partitionBy(PART)
     w.parquet(path)
@@ -74,10 +77,7 @@ def merge_partitions(spark: SparkSession, path: str, schema: T.StructType, updat
         dates = [r[0] for r in updates.select(PART).distinct().limit(MAX_LISTED_PARTITIONS + 1).collect()]
         if len(dates) <= MAX_LISTED_PARTITIONS:
             stored = stored.filter(F.col(PART).isin(dates))
-    merged = merge(stored, updates)
-    stage = scratch_path(spark, "stage", tag)
-    write_table(merged, stage)
-    write_table(spark.read.parquet(stage), path)
+    write_table(stage(spark, merge(stored, updates), tag), path)
 
 
 def publish_snapshot(spark: SparkSession, tables: dict[str, tuple[str, T.StructType]],
@@ -95,5 +95,14 @@ def publish_snapshot(spark: SparkSession, tables: dict[str, tuple[str, T.StructT
     return out
 
 
+def stage(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to a staging table in the shared folder and read it back:
+    cuts lineage (the plan no longer reads its sources) and survives executor
+    loss, unlike a cache or a local checkpoint."""
+    path = scratch_path(spark, "stage", tag)
+    write_table(df, path, dynamic=False)
+    return spark.read.parquet(path)
+
+
 def current_snapshot(spark: SparkSession, dest_root: str) -> str:
     return spark.read.text(f"{dest_root}/_current").first()[0]

@@ -96,7 +96,7 @@ def test_incremental_analysis_equals_full(spark, tmp_root):
                lex, FX.AS_OF, "b1")
     run_analysis(spark, tmp_root, p, "full1")
     touched = run_ingest(spark, tmp_root, later, lex, FX.AS_OF, "b2")
-    assert len(touched) == 1  # only the second day is recomputed
+    assert len(touched) == 1, touched  # only the second day is recomputed
     run_analysis(spark, tmp_root, p, "incr", dates=touched)
     inc_h = rows(read_table(spark, f"{tmp_root}/analyzed_by_created_hours", S.HOURLY).drop("dt"))
     inc_d = rows(read_table(spark, f"{tmp_root}/analyzed_by_created_days", S.DAILY).drop("dt"))
