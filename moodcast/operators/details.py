@@ -74,6 +74,9 @@ def post_details(posts: DataFrame, scores: DataFrame, sentiments: DataFrame,
         abs_sentiment(comp).alias("abs_sentiment"),
         effect(comp).alias("effect"),
         *([] if bucket is not None else [time_bucket("created", w).alias("bucket")]))
+    if bucket is None:
+        # whole-table variant: no global sort (a page sorts its own bucket)
+        return out
     return out.orderBy(F.desc("abs_sentiment"), F.col("id"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -22,14 +23,28 @@ def scoring_gate(posts: DataFrame, min_title: int = P.GATE_MIN_TITLE,
                         (F.col("selftext_length") >= F.lit(min_body)))
 
 
-def incremental_sentiment(stored: DataFrame, batch: DataFrame, lexicon: DataFrame, as_of: int,
+Scorer = Callable[[DataFrame, list], DataFrame]
+
+
+def lexicon_scorer(lexicon: DataFrame, rules: T.Rules = T.FULL) -> Scorer:
+    """The default scorer: (id, text, carry...) -> (id, sentiment, carry...)."""
+    def score(df: DataFrame, carry: list) -> DataFrame:
+        return T.text_sentiment(df, "id", "text", lexicon, rules, carry=carry)
+    return score
+
+
+def incremental_sentiment(stored: DataFrame, batch: DataFrame, lexicon: DataFrame | None, as_of: int,
                           version: str = P.SCORER_VERSION, rules: T.Rules = T.FULL,
-                          order: str | None = "polled_at") -> tuple[DataFrame, DataFrame]:
+                          order: str | None = "polled_at",
+                          scorer: Scorer | None = None) -> tuple[DataFrame, DataFrame]:
     """SNK-5: (merged sentiments, rows scored in this batch).
 
     Hash first (FN-9), drop posts whose (id, hash) is already stored with a
     left anti join (FIL-10), score only the rest -- the expensive step -- and
-    upsert. ``updated_timestamp`` is ``as_of``.
+    upsert. ``updated_timestamp`` is ``as_of``. ``scorer`` replaces the lexicon
+    job, e.g. with a model run as a pandas UDF over Arrow batches; it gets
+    ``(id, text, carry...)`` and returns ``(id, sentiment, carry...)``. Give a
+    scorer its own ``version`` so a model change re-scores every post.
     """
     g = scoring_gate(batch)
     part = ["dt"] if "dt" in batch.columns else []
@@ -39,8 +54,9 @@ def incremental_sentiment(stored: DataFrame, batch: DataFrame, lexicon: DataFram
         g = latest_per_key(g, ["id"], [order]).drop(order)
     h = g.withColumn("hash_check", content_hash("title", "selftext", version))
     todo = h.join(stored.select("id", "hash_check"), ["id", "hash_check"], "left_anti")
-    scored = T.text_sentiment(todo.withColumn("text", T.post_text("title", "selftext")),
-                              "id", "text", lexicon, rules, carry=["hash_check", *part])
+    score = scorer or lexicon_scorer(lexicon, rules)
+    scored = score(todo.select("id", T.post_text("title", "selftext").alias("text"), "hash_check", *part),
+                   ["hash_check", *part])
     fresh = scored.select("id", "hash_check", F.lit(int(as_of)).cast("bigint").alias("updated_timestamp"),
                           F.col("sentiment").alias("sentiment_value"), *part)
     return upsert_rows(stored, fresh, ["id"]), fresh

@@ -76,3 +76,15 @@ class ChartParams:
     display_hour: int = DISPLAY_HOUR
     visible: tuple = field(default=DEFAULT_VISIBLE)
     tz: str = "UTC"
+
+
+def load_config(path: str) -> ChartParams:
+    """SRC-10: the reference's JSON config (default visible series, chart
+    spans) as parameters. A missing key keeps the default."""
+    import json
+
+    with open(path) as f:
+        cfg = json.load(f)
+    return ChartParams(display_day=int(cfg.get("display_day", DISPLAY_DAY)),
+                       display_hour=int(cfg.get("display_hour", DISPLAY_HOUR)),
+                       visible=tuple(cfg.get("default_subreddit", DEFAULT_VISIBLE)))

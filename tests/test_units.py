@@ -168,3 +168,44 @@ def test_chart_ranges():
     assert hour_range(as_of, "UTC", 24) == (as_of - 24 * 3600, 1706659200 + 5 * 3600)
     s, e = day_range(as_of, "Asia/Ho_Chi_Minh", 1)
     assert e - s == 86400 and (e + 7 * 3600) % 86400 == 0
+
+
+def test_load_config(tmp_path):
+    p = tmp_path / "cfg.json"
+    p.write_text('{"default_subreddit": ["nasdaq_index", "wallstreetbets"], "display_day": 38, "display_hour": 24}')
+    c = P.load_config(str(p))
+    assert c.display_day == 38 and c.display_hour == 24 and c.visible == ("nasdaq_index", "wallstreetbets")
+
+
+def test_freshness_stored_matches_full(spark, tmp_path):
+    from moodcast.operators.quality import freshness_stored
+    from moodcast.sources.store import with_dt, write_table
+    from moodcast.sources.tables import read_table
+    from moodcast import schemas as S
+    as_of = 20 * 86400
+    posts = with_dt(spark.createDataFrame([(str(i), i * 3600) for i in range(0, 20 * 24, 5)],
+                                          "id string, created long"), "created")
+    write_table(posts, str(tmp_path / "p"))
+    hrs = with_dt(spark.createDataFrame([(3 * 86400, "x", 1.0)],
+                                        "timestamp long, subreddit string, sum_sentiment_score double"), "timestamp")
+    write_table(hrs, str(tmp_path / "h"))
+    pt = read_table(spark, str(tmp_path / "p"), S.SUBMISSIONS)
+    ht = read_table(spark, str(tmp_path / "h"), S.HOURLY)
+    a = rows(freshness_stored(pt, ht, ht, as_of))
+    b = rows(freshness(pt, ht, ht, as_of))
+    assert a == b and any(r[3] for r in a)
+
+
+def test_custom_scorer_hook(spark):
+    from moodcast.operators.ingest import incremental_sentiment
+    batch = spark.createDataFrame([("a", "title long enough", "x" * 120, 1)],
+                                  "id string, title string, selftext string, polled_at long") \
+        .withColumn("title_length", F.lit(17)).withColumn("selftext_length", F.lit(120))
+    stored = spark.createDataFrame([], "id string, hash_check string, updated_timestamp long, sentiment_value double")
+
+    def scorer(df, carry):
+        return df.select("id", F.lit(0.25).alias("sentiment"), *carry)
+
+    merged, fresh = incremental_sentiment(stored, batch, None, 99, version="model_v2", scorer=scorer)
+    r = merged.first()
+    assert r.sentiment_value == 0.25 and r.updated_timestamp == 99
