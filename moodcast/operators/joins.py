@@ -33,7 +33,15 @@ def ensure_parallelism(df: DataFrame, key: str) -> DataFrame:
     """Hash-spread ``df`` on ``key`` when it has fewer partitions than the
     cluster has cores (e.g. one large unsplittable file) before per-row heavy
     work. On a big table the file splits already exceed the core count and
-    nothing is added; planning the partition count runs no job."""
+    nothing is added.
+
+    Only a plan without a shuffle is inspected: its partition count comes from
+    the file listing, no job runs. (Asking an adaptive plan with shuffles for
+    its partitions would execute those shuffles first.) A plan that already
+    shuffles has the configured shuffle parallelism.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target, key)
