@@ -76,6 +76,20 @@ def price_range(prices: DataFrame, name: str, start: int, end: int) -> DataFrame
             .select("timestamp", "name", "value").orderBy("timestamp"))
 
 
+def read_landed(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """Landed poll snapshots (one JSON object per line, or Parquet) read with
+    the declared ``raw_posts`` schema: an attribute a post lacks (author,
+    body, hint, URL) reads as NULL (PRJ-4); lengths missing from the source
+    are derived (PRJ-3)."""
+    from moodcast.functions.exprs import text_length
+
+    df = spark.read.schema(S.RAW_POSTS).format(fmt).load(path)
+    return df.withColumns({
+        "selftext_length": F.coalesce(F.col("selftext_length"), text_length("selftext")),
+        "title_length": F.coalesce(F.col("title_length"), text_length("title")),
+    })
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's test tables."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

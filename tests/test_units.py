@@ -2,6 +2,9 @@
 
 import math
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +212,23 @@ def test_custom_scorer_hook(spark):
     merged, fresh = incremental_sentiment(stored, batch, None, 99, version="model_v2", scorer=scorer)
     r = merged.first()
     assert r.sentiment_value == 0.25 and r.updated_timestamp == 99
+
+
+def test_read_landed_json_missing_attributes(spark, tmp_path):
+    from moodcast.sources.tables import read_landed
+    p = tmp_path / "landing"
+    p.mkdir()
+    (p / "a.json").write_text(
+        '{"id": "a", "subreddit": "x", "title": "Hello there", "created": 5, "selftext": "abc", "polled_at": 9}\n'
+        '{"id": "b", "subreddit": "x", "title": "T", "created": 6, "author_fullname": "t2_q", "polled_at": 9}\n')
+    got = {r.id: r for r in read_landed(spark, str(p)).collect()}
+    assert got["a"].author_fullname is None and got["a"].selftext_length == 3 and got["a"].title_length == 11
+    assert got["b"].selftext is None and got["b"].selftext_length == 0 and got["b"].author_fullname == "t2_q"
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.integers(-10**9, 10**10), min_size=1, max_size=30), st.sampled_from([3600, 86400]))
+def test_bucket_contains_created(spark, created, w):
+    df = spark.createDataFrame([(c,) for c in created], "c long")
+    for c, b in df.select("c", time_bucket("c", w).alias("b")).collect():
+        assert c - w < b <= c and b % w == 0
