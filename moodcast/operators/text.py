@@ -85,6 +85,10 @@ SENTENCE_RE = r"[^.!?\n]*[^.!?\n\t\r\f ][^.!?\n]*[.!?]*"
 TOKEN_RE = r"[\p{L}\p{N}']+"
 
 
+# Lexicons up to this many words also filter tokens inside the arrays.
+PREFILTER_MAX_WORDS = 50_000
+
+
 @dataclass(frozen=True)
 class Rules:
     """Which VADER modifiers apply (all on = the library's behaviour)."""
@@ -145,12 +149,18 @@ def _is_negation(w: Column) -> Column:
 
 
 def _token_rows(df: DataFrame, id_col: str, text, carry: list[str],
-                per_sentence_marker: bool, rules: Rules = FULL) -> DataFrame:
+                per_sentence_marker: bool, rules: Rules = FULL,
+                words: list[str] | None = None) -> DataFrame:
     """One row per token (and marker rows), with sentence-level features.
 
     Marker rows have ``pos`` -1 and no token. With ``per_sentence_marker`` a
     sentence's first token (or a marker, for a sentence without tokens) stands
     for the sentence; otherwise one marker per document carries its count.
+
+    ``words`` (the lexicon's words, when its size is checked small) keeps only
+    the positions of lexicon words inside each token array -- a hashed ``IN``
+    test per token -- so only those become rows; every sentence still gets a
+    marker when ``per_sentence_marker``.
     """
     marker = F.array(F.lit(None).cast("string"))
     # Each regex runs once per row: the arrays are materialised as columns
@@ -184,14 +194,24 @@ def _token_rows(df: DataFrame, id_col: str, text, carry: list[str],
             fields += [F.get(F.col("_ltoks"), i - k).alias(f"p{k}") for k in (1, 2, 3)]
         return F.struct(*fields)
 
-    structs = F.transform(F.col("_toks"), ctx)
+    if words is None:
+        structs = F.transform(F.col("_toks"), ctx)
+    else:
+        lw = F.col("_ltoks")
+        hit_pos = F.filter(F.sequence(F.lit(0), F.size(lw) - 1),
+                           lambda i: F.get(lw, i).isin(list(words)))
+        structs = F.transform(hit_pos, lambda i: ctx(F.get(F.col("_toks"), i), i))
+        if per_sentence_marker:
+            per_sent = per_sent.withColumn("_toks", structs)
+            structs = F.col("_toks")
     null_s = F.lit(None).cast("string")
     mark = F.struct(null_s.alias("w"), F.lit(-1).alias("pos"),
                     *([null_s.alias("tok")] if rules.caps else []),
                     *([null_s.alias(f"p{k}") for k in (1, 2, 3)] if context else []))
     if per_sentence_marker:
+        # a sentence with no (kept) token is represented by a marker row
         items = (F.when(F.col("sentence").isNull(), F.array().cast(_array_type(rules)))
-                 .when(F.size("_toks") == 0, F.array(mark)).otherwise(structs))
+                 .when(F.size(structs) == 0, F.array(mark)).otherwise(structs))
     else:
         items = F.when(F.col("sentence").isNull(), F.array(mark)).otherwise(structs)
     keep = ["id", "n_sent", "sent_idx", *carry]
@@ -237,9 +257,17 @@ def _valence(rules: Rules) -> list[tuple[str, Column]]:
 
 def _hits(df: DataFrame, id_col: str, text, lexicon: DataFrame, rules: Rules,
           carry: list[str], per_sentence_marker: bool) -> DataFrame:
-    toks = _token_rows(df, id_col, text, carry, per_sentence_marker, rules)
-    lex = broadcast_if_small(lexicon.select(F.col("word").alias("w"), "valence"))
-    marker = (F.col("pos") <= 0) if per_sentence_marker else (F.col("pos") == -1)
+    lex = lexicon.select(F.col("word").alias("w"), "valence")
+    words = None
+    if lex.count() <= PREFILTER_MAX_WORDS:
+        # bounded by the check: a lexicon is a few thousand words
+        words = sorted({r[0] for r in lex.select("w").distinct().collect() if r[0] is not None})
+    toks = _token_rows(df, id_col, text, carry, per_sentence_marker, rules, words)
+    lex = broadcast_if_small(lex)
+    # Without the in-array filter a sentence's first token stands in for it;
+    # with it, kept tokens are all hits and hit-less sentences carry markers.
+    first_stands_in = per_sentence_marker and words is None
+    marker = (F.col("pos") <= 0) if first_stands_in else (F.col("pos") == -1)
     joined = toks.join(lex, "w", "left").filter(F.col("valence").isNotNull() | marker)
     out = joined
     for name, expr in _valence(rules):
