@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from moodcast import params as P
 from moodcast import schemas as S
+from moodcast.plans.analysis import run_analysis
 from moodcast.plans.ingest_job import run_ingest
 
 
@@ -38,17 +39,24 @@ def dedupe_polls(polls: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 def start_ingest_stream(spark: SparkSession, landing: str, root: str, lexicon: DataFrame,
                         checkpoint: str, as_of_fn=None, available_now: bool = True,
-                        fmt: str = "parquet") -> StreamingQuery:
+                        fmt: str = "parquet", analyse: P.AnalysisParams | None = None) -> StreamingQuery:
     """STR-1: landing files -> foreachBatch(set-based ingest) with a checkpoint.
 
     ``as_of_fn(batch_id)`` supplies the clock (tests pass a fixed one). A
     replayed batch id re-applies the same rows, which the merges absorb.
+    With ``analyse`` each micro-batch also recomputes the hourly and daily
+    result tables for the post dates it touched (SURVEY §7.4), so the result
+    tables stay exact while scores keep changing.
     """
+    import dataclasses
     import time as _time
 
     def apply(df: DataFrame, batch_id: int) -> None:
         as_of = as_of_fn(batch_id) if as_of_fn else int(_time.time())
-        run_ingest(spark, root, df, lexicon, as_of, f"{batch_id:08d}")
+        touched = run_ingest(spark, root, df, lexicon, as_of, f"{batch_id:08d}")
+        if analyse is not None and touched:
+            p = dataclasses.replace(analyse, as_of=as_of)
+            run_analysis(spark, root, p, f"stream_{batch_id:08d}", dates=touched)
 
     w = landed_posts(spark, landing, fmt).writeStream.foreachBatch(apply) \
         .option("checkpointLocation", checkpoint)

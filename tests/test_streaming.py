@@ -63,3 +63,48 @@ def test_dedupe_polls_keeps_changes(spark, tmp_root):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.sql("select * from dedup_out")) == [("a", 1, 5), ("a", 2, 6), ("a", 3, 5)]
+
+
+def test_stream_with_analysis_equals_batch_analysis(spark, tmp_root):
+    from moodcast.operators.composite import composite_sentiment
+    from moodcast.operators.buckets import moving_average
+    docs = load(spark, SF_SMALL, "documents")
+    batch = conform(FX.poll_batch(docs), S.RAW_POSTS)
+    landing = os.path.join(tmp_root, "landing")
+    batch.filter(F.col("id").cast("int") < 120).write.parquet(os.path.join(landing, "f1"))
+    batch.filter(F.col("id").cast("int") >= 80).withColumn("polled_at", F.col("polled_at") + 600) \
+        .withColumn("score", F.col("score") * 2).write.parquet(os.path.join(landing, "f2"))
+    root = os.path.join(tmp_root, "tables")
+    p = P.AnalysisParams(as_of=FX.AS_OF, retention_days=40)
+    q = start_ingest_stream(spark, os.path.join(landing, "*"), root, FX.lexicon(spark),
+                            os.path.join(tmp_root, "ckpt"), as_of_fn=lambda b: FX.AS_OF,
+                            analyse=p)
+    q.awaitTermination(900)
+    posts = read_table(spark, os.path.join(root, "submissions"), S.SUBMISSIONS)
+    scores = read_table(spark, os.path.join(root, "submission_scores"), S.SUBMISSION_SCORES)
+    sents = read_table(spark, os.path.join(root, "submission_sentiments"), S.SUBMISSION_SENTIMENTS)
+    comp = composite_sentiment(posts, scores, sents, FX.AS_OF, 40)
+    hours = read_table(spark, os.path.join(root, "analyzed_by_created_hours"), S.HOURLY)
+    days = read_table(spark, os.path.join(root, "analyzed_by_created_days"), S.DAILY)
+    assert rows(hours.drop("dt")) == rows(bucket_sums(comp, P.HOUR))
+    assert rows(days.drop("dt")) == rows(moving_average(bucket_sums(comp, P.DAY)))
+
+
+def test_hourly_stream_drops_late_rows(spark, tmp_root):
+    schema = "id string, subreddit string, created long, sentiment_composite double"
+    src = os.path.join(tmp_root, "scored2")
+    spark.createDataFrame([("a", "x", 10 * 3600 + 5, 1.0)], schema).write.parquet(os.path.join(src, "p1"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "*"))
+    q = (hourly_stream(stream, "1 hour").writeStream.outputMode("append").format("memory")
+         .queryName("late_out").start())
+    q.processAllAvailable()
+    # 5 hours earlier than the watermark allows: dropped; 20 h later closes hour 10
+    spark.createDataFrame([("b", "x", 3 * 3600, 7.0), ("c", "x", 20 * 3600, 1.0)], schema) \
+        .write.parquet(os.path.join(src, "p2"))
+    q.processAllAvailable()
+    spark.createDataFrame([("d", "x", 30 * 3600, 1.0)], schema).write.parquet(os.path.join(src, "p3"))
+    q.processAllAvailable()
+    q.stop()
+    got = rows(spark.sql("select * from late_out"))
+    assert (3 * 3600, "x", 7.0) not in got
+    assert (10 * 3600, "x", 1.0) in got
