@@ -44,9 +44,9 @@ def since_date(df: DataFrame, cut: int) -> DataFrame:
     return df.filter(F.col("dt") >= F.date_from_unix_date(F.lit(cut // P.DAY)))
 
 
-def post_scores(posts: DataFrame, scores: DataFrame) -> DataFrame:
+def post_scores(posts: DataFrame, scores: DataFrame, join_on: list[str] | None = None) -> DataFrame:
     """JOIN-1 + PRJ-1: inner join on id, keep id, subreddit, created, score."""
-    keys = join_keys(posts, scores)
+    keys = join_on or join_keys(posts, scores)
     extra = [k for k in keys if k != "id"]
     return (posts.select("id", "subreddit", "created", *extra)
             .join(scores.select("id", "score", *extra), keys, "inner"))
@@ -55,18 +55,20 @@ def post_scores(posts: DataFrame, scores: DataFrame) -> DataFrame:
 def composite_sentiment(posts: DataFrame, scores: DataFrame, sentiments: DataFrame,
                         as_of: int, retention_days: int = P.RETENTION_DAYS,
                         min_body: int = P.MIN_BODY_ANALYSED,
-                        align_to: int | None = None) -> DataFrame:
+                        align_to: int | None = None,
+                        join_on: list[str] | None = None) -> DataFrame:
     """Q-1: id, subreddit, created, score, sentiment_value, sentiment_composite.
 
     Both joins are on ``id``: Spark hash-partitions the post side once and the
     second join reuses that partitioning (one exchange per input, none after).
+    ``join_on=["id"]`` is for inputs bucketed by ``id`` (no exchange at all).
     """
     recent = recent_posts(posts, as_of, retention_days, min_body, align_to)
     cut = retention_cutoff(as_of, retention_days, align_to)
     scores, sentiments = since_date(scores, cut), since_date(sentiments, cut)
-    keys = join_keys(recent, scores, sentiments)
+    keys = join_on or join_keys(recent, scores, sentiments)
     extra = [k for k in keys if k != "id"]
-    ps = post_scores(recent, scores)
+    ps = post_scores(recent, scores, keys)
     joined = ps.join(sentiments.select("id", "sentiment_value", *extra), keys, "inner")
     return joined.select(
         "id", "subreddit", "created", "score", "sentiment_value",

@@ -17,8 +17,7 @@ from moodcast import schemas as S
 from moodcast.operators.buckets import EXACT_COL, bucket_sums, moving_average, rollup_sums
 from moodcast.operators.composite import composite_sentiment
 from moodcast.operators.upsert import upsert_rows
-from moodcast.sources.store import PART, date_of, merge_partitions, stage, table_exists
-from moodcast.sources.tables import read_table
+from moodcast.sources.store import PART, as_store, date_of, merge_into, stage
 
 KEYS = ["timestamp", "subreddit"]
 
@@ -26,9 +25,12 @@ KEYS = ["timestamp", "subreddit"]
 def analysis_frames(posts: DataFrame, scores: DataFrame, sentiments: DataFrame,
                     p: P.AnalysisParams, staged_hourly: DataFrame | None = None):
     """(hourly, daily-with-SMA) DataFrames for one run."""
-    comp = composite_sentiment(posts, scores, sentiments, p.as_of, p.retention_days, p.min_body,
-                               align_to=P.DAY if p.align else None)
-    hourly_exact = staged_hourly if staged_hourly is not None else bucket_sums(comp, P.HOUR, keep_exact=True)
+    if staged_hourly is not None:
+        hourly_exact = staged_hourly
+    else:
+        comp = composite_sentiment(posts, scores, sentiments, p.as_of, p.retention_days, p.min_body,
+                                   align_to=P.DAY if p.align else None)
+        hourly_exact = bucket_sums(comp, P.HOUR, keep_exact=True)
     hourly = hourly_exact.drop(EXACT_COL)
     daily = moving_average(rollup_sums(hourly_exact, P.DAY), p.sma_rows)
     return hourly, daily
@@ -38,7 +40,7 @@ def _only_dates(df: DataFrame, dates) -> DataFrame:
     return df if dates is None else df.filter(F.col(PART).isin(list(dates)))
 
 
-def run_analysis(spark: SparkSession, root: str, p: P.AnalysisParams, run_id: str,
+def run_analysis(spark: SparkSession, root, p: P.AnalysisParams, run_id: str,
                  dates=None) -> None:
     """One analysis run over the stored post tables.
 
@@ -49,28 +51,29 @@ def run_analysis(spark: SparkSession, root: str, p: P.AnalysisParams, run_id: st
     the moving average is recomputed over the small daily table from the first
     touched date on, using the stored rows before it as context.
     """
-    posts = _only_dates(read_table(spark, f"{root}/submissions", S.SUBMISSIONS), dates)
-    scores = _only_dates(read_table(spark, f"{root}/submission_scores", S.SUBMISSION_SCORES), dates)
-    sents = _only_dates(read_table(spark, f"{root}/submission_sentiments", S.SUBMISSION_SENTIMENTS), dates)
+    store = as_store(root)
+    posts = _only_dates(store.read(spark, "submissions", S.SUBMISSIONS), dates)
+    scores = _only_dates(store.read(spark, "submission_scores", S.SUBMISSION_SCORES), dates)
+    sents = _only_dates(store.read(spark, "submission_sentiments", S.SUBMISSION_SENTIMENTS), dates)
     comp = composite_sentiment(posts, scores, sents, p.as_of, p.retention_days, p.min_body,
-                               align_to=P.DAY if p.align else None)
+                               align_to=P.DAY if p.align else None, join_on=store.join_on())
     staged = stage(spark, bucket_sums(comp, P.HOUR, keep_exact=True), f"hourly_exact_{run_id}")
     hourly, daily = analysis_frames(posts, scores, sents, p, staged)
-    hours_path, days_path = f"{root}/analyzed_by_created_hours", f"{root}/analyzed_by_created_days"
-    merge_partitions(spark, hours_path, S.HOURLY, hourly.withColumn(PART, date_of("timestamp")),
-                     lambda stored, u: upsert_rows(stored, u, KEYS), f"hours_{run_id}")
-    if dates is None or not table_exists(spark, days_path):
+    merge_into(spark, store, "analyzed_by_created_hours", S.HOURLY,
+               hourly.withColumn(PART, date_of("timestamp")),
+               lambda stored, u: upsert_rows(stored, u, KEYS), f"hours_{run_id}")
+    if dates is None or not store.exists(spark, "analyzed_by_created_days"):
         upd = daily
     else:
         sums = rollup_sums(staged, P.DAY)
-        stored = read_table(spark, days_path, S.DAILY).drop("sum_sentiment_score_sma", PART)
+        stored = store.read(spark, "analyzed_by_created_days", S.DAILY).drop("sum_sentiment_score_sma", PART)
         combined = moving_average(upsert_rows(stored, sums, KEYS), p.sma_rows)
         first = F.lit(min(dates)).cast("date")
         upd = combined.filter(date_of("timestamp") >= first)
         # staged: the rows are derived from the table about to be rewritten
         upd = stage(spark, upd, f"days_sma_{run_id}")
-    merge_partitions(spark, days_path, S.DAILY, upd.withColumn(PART, date_of("timestamp")),
-                     lambda stored, u: upsert_rows(stored, u, KEYS), f"days_{run_id}")
+    merge_into(spark, store, "analyzed_by_created_days", S.DAILY, upd.withColumn(PART, date_of("timestamp")),
+               lambda stored, u: upsert_rows(stored, u, KEYS), f"days_{run_id}")
 
 
 def hourly_daily(posts, scores, sentiments, as_of, retention_days=P.RETENTION_DAYS):

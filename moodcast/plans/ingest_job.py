@@ -14,7 +14,7 @@ from moodcast import schemas as S
 from moodcast.operators import text as T
 from moodcast.operators.ingest import incremental_sentiment
 from moodcast.operators.upsert import upsert_posts, upsert_scores
-from moodcast.sources.store import merge_partitions, stage, with_dt
+from moodcast.sources.store import as_store, merge_into, stage, with_dt
 from moodcast.sources.tables import conform
 
 TABLES = {
@@ -24,7 +24,7 @@ TABLES = {
 }
 
 
-def run_ingest(spark: SparkSession, root: str, batch: DataFrame, lexicon: DataFrame,
+def run_ingest(spark: SparkSession, root, batch: DataFrame, lexicon: DataFrame,
                as_of: int, batch_id: str, version: str = P.SCORER_VERSION,
                rules: T.Rules = T.FULL) -> list:
     """Apply one batch; returns the post dates (``dt``) it touched, which an
@@ -32,17 +32,18 @@ def run_ingest(spark: SparkSession, root: str, batch: DataFrame, lexicon: DataFr
     b = with_dt(conform(batch, S.RAW_POSTS), "created")
     b = stage(spark, b, f"batch_{batch_id}")   # read three times: read it from here
 
-    merge_partitions(
-        spark, f"{root}/submission_sentiments", S.SUBMISSION_SENTIMENTS, b,
+    store = as_store(root)
+    merge_into(
+        spark, store, "submission_sentiments", S.SUBMISSION_SENTIMENTS, b,
         lambda stored, u: incremental_sentiment(stored, u, lexicon, as_of, version, rules)[0],
         f"sentiments_{batch_id}")
     fields = [f for f in S.POST_FIELDS if f != "id"] + ["dt"]
-    merge_partitions(
-        spark, f"{root}/submissions", S.SUBMISSIONS, b,
+    merge_into(
+        spark, store, "submissions", S.SUBMISSIONS, b,
         lambda stored, u: upsert_posts(stored, u.drop("title", "selftext"), fields)[0],
         f"posts_{batch_id}")
-    merge_partitions(
-        spark, f"{root}/submission_scores", S.SUBMISSION_SCORES, b,
+    merge_into(
+        spark, store, "submission_scores", S.SUBMISSION_SCORES, b,
         lambda stored, u: upsert_scores(
             stored, u.selectExpr("id", "polled_at as timestamp", *S.SCORE_METRICS, "dt")
                      .dropDuplicates(["id", "timestamp"]))[0],

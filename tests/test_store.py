@@ -106,3 +106,36 @@ def test_incremental_analysis_equals_full(spark, tmp_root):
     comp = composite_sentiment(posts, scores, sents, FX.AS_OF, 40)
     assert inc_h == rows(bucket_sums(comp, P.HOUR))
     assert inc_d == rows(moving_average(bucket_sums(comp, P.DAY)))
+
+
+def test_bucketed_store_joins_without_shuffle(spark, tmp_root):
+    """The three post tables bucketed by id: ingest + analysis give the same
+    tables as the path layout, and the composite joins plan no exchange."""
+    import uuid
+
+    from moodcast.sources.store import TableStore
+    docs = load(spark, SF_SMALL, "documents")
+    lex = FX.lexicon(spark)
+    batch = FX.poll_batch(docs)
+    p = P.AnalysisParams(as_of=FX.AS_OF, retention_days=40)
+    plain = TableStore(f"{tmp_root}/plain")
+    bucketed = TableStore(f"{tmp_root}/bucketed", buckets=4, prefix="b" + uuid.uuid4().hex[:8])
+    for store in (plain, bucketed):
+        run_ingest(spark, store, batch, lex, FX.AS_OF, "b1")
+        run_ingest(spark, store, batch.withColumn("score", F.col("score") + 1)
+                   .withColumn("polled_at", F.col("polled_at") + 60), lex, FX.AS_OF, "b2")
+        run_analysis(spark, store, p, "r1")
+    for name, schema in (("submission_scores", S.SUBMISSION_SCORES),
+                         ("analyzed_by_created_hours", S.HOURLY), ("analyzed_by_created_days", S.DAILY)):
+        assert rows(plain.read(spark, name, schema).drop("dt")) == \
+            rows(bucketed.read(spark, name, schema).drop("dt")), name
+    comp = composite_sentiment(bucketed.read(spark, "submissions", S.SUBMISSIONS),
+                               bucketed.read(spark, "submission_scores", S.SUBMISSION_SCORES),
+                               bucketed.read(spark, "submission_sentiments", S.SUBMISSION_SENTIMENTS),
+                               FX.AS_OF, 40, join_on=bucketed.join_on())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = comp._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
