@@ -37,7 +37,8 @@ def chart_label(kind: str, bucket, tz: str = "UTC"):
 
 def post_details(posts: DataFrame, scores: DataFrame, sentiments: DataFrame,
                  kind: str, community: str | None = None, bucket: int | None = None,
-                 tz: str = "UTC", base: str = P.URL_BASE) -> DataFrame:
+                 tz: str = "UTC", base: str = P.URL_BASE,
+                 join_on: list[str] | None = None) -> DataFrame:
     """Details rows, strongest effect first.
 
     With ``community`` and ``bucket`` this is the reference's page for one
@@ -56,7 +57,7 @@ def post_details(posts: DataFrame, scores: DataFrame, sentiments: DataFrame,
         # the lookups only need the partitions of this bucket's posts
         scores = time_range(scores, int(bucket), int(bucket) + w, col=None)
         sentiments = time_range(sentiments, int(bucket), int(bucket) + w, col=None)
-    keys = join_keys(p, scores, sentiments)
+    keys = join_on or join_keys(p, scores, sentiments)
     extra = [k for k in keys if k != "id"]
     j = (p.select("id", "subreddit", "created", "url", "selftext_length", *extra)
          .join(scores.select("id", "upvote_ratio", "ups", "score", "num_comments", *extra), keys, "left")
