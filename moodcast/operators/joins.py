@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from moodcast import params as P
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = P.BROADCAST_MAX_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = P.BROADCAST_MAX_ROWS,
+                       known_rows: int | None = None) -> DataFrame:
     """Hint ``df`` as broadcast when it has at most ``max_rows`` rows.
 
     The count is one cheap job over a dimension-sized table; past the bound the
     plain DataFrame is returned and Spark uses a shuffle join (AQE may still
     switch to broadcast at runtime from real sizes).
     """
-    n = df.count()
+    n = df.count() if known_rows is None else known_rows
     return F.broadcast(df) if n <= max_rows else df
 
 

@@ -258,12 +258,13 @@ def _valence(rules: Rules) -> list[tuple[str, Column]]:
 def _hits(df: DataFrame, id_col: str, text, lexicon: DataFrame, rules: Rules,
           carry: list[str], per_sentence_marker: bool) -> DataFrame:
     lex = lexicon.select(F.col("word").alias("w"), "valence")
+    n_words = lex.count()
     words = None
-    if lex.count() <= PREFILTER_MAX_WORDS:
+    if n_words <= PREFILTER_MAX_WORDS:
         # bounded by the check: a lexicon is a few thousand words
         words = sorted({r[0] for r in lex.select("w").distinct().collect() if r[0] is not None})
     toks = _token_rows(df, id_col, text, carry, per_sentence_marker, rules, words)
-    lex = broadcast_if_small(lex)
+    lex = broadcast_if_small(lex, known_rows=n_words)
     # Without the in-array filter a sentence's first token stands in for it;
     # with it, kept tokens are all hits and hit-less sentences carry markers.
     first_stands_in = per_sentence_marker and words is None
