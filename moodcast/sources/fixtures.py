@@ -138,7 +138,6 @@ OLD_VERSION = "SentimentAnalyzer_v0"
 def stored_sentiments(documents: DataFrame) -> DataFrame:
     """Sentiment rows of an earlier run: older posts carry the current hash,
     newer ones the hash of an older scorer version (so they are re-scored)."""
-    from moodcast.functions.exprs import content_hash
     from moodcast.operators.ingest import scoring_gate
     p = scoring_gate(raw_posts(documents))
     ver = F.when(F.col("created") < SCORED_BEFORE, F.lit("SentimentAnalyzer_v1")).otherwise(F.lit(OLD_VERSION))

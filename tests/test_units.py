@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from moodcast import params as P
-from moodcast.functions.exprs import (composite, details_composite, time_bucket, url_slug,
+from moodcast.functions.exprs import (composite, time_bucket, url_slug,
                                       parse_number, parse_us_date, local_label)
 from moodcast.operators.buckets import bucket_sums, moving_average, rollup_sums
 from moodcast.operators.composite import composite_sentiment, recent_posts
