@@ -95,11 +95,12 @@ def url_slug(url) -> Column:
 
 
 def parse_us_date(s) -> Column:
-    """FN-12: 'MM/dd/yyyy' to the epoch of that UTC midnight; bad text -> NULL.
+    """FN-12: month/day/year (padded or not, as %m/%d/%Y accepts) to the epoch
+    of that UTC midnight; bad text -> NULL.
 
     Built from the parsed date, so the session time zone plays no part.
     """
-    d = F.try_to_timestamp(F.trim(col_(s)), F.lit("MM/dd/yyyy")).cast("date")
+    d = F.try_to_timestamp(F.trim(col_(s)), F.lit("M/d/yyyy")).cast("date")
     return (F.unix_date(d).cast("bigint") * F.lit(P.DAY))
 
 

@@ -39,12 +39,14 @@ def dedupe_polls(polls: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 def start_ingest_stream(spark: SparkSession, landing: str, root: str, lexicon: DataFrame,
                         checkpoint: str, as_of_fn=None, available_now: bool = True,
-                        fmt: str = "parquet", analyse: P.AnalysisParams | None = None) -> StreamingQuery:
+                        fmt: str = "parquet", analyse: P.AnalysisParams | None = None,
+                        max_files: int | None = None) -> StreamingQuery:
     """STR-1: landing files -> foreachBatch(set-based ingest) with a checkpoint.
 
     ``as_of_fn(batch_id)`` supplies the clock (tests pass a fixed one). A
     replayed batch id re-applies the same rows, which the merges absorb.
-    With ``analyse`` each micro-batch also recomputes the hourly and daily
+    ``max_files`` bounds the files per micro-batch (a backlog is worked off in
+    bounded batches). With ``analyse`` each micro-batch also recomputes the hourly and daily
     result tables for the post dates it touched (SURVEY §7.4), so the result
     tables stay exact while scores keep changing.
     """
@@ -58,7 +60,7 @@ def start_ingest_stream(spark: SparkSession, landing: str, root: str, lexicon: D
             p = dataclasses.replace(analyse, as_of=as_of)
             run_analysis(spark, root, p, f"stream_{batch_id:08d}", dates=touched)
 
-    w = landed_posts(spark, landing, fmt).writeStream.foreachBatch(apply) \
+    w = landed_posts(spark, landing, fmt, max_files).writeStream.foreachBatch(apply) \
         .option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="20 minutes")
     return w.start()

@@ -125,10 +125,12 @@ def test_details_cases(spark):
 
 
 def test_parsers(spark):
-    df = spark.createDataFrame([("01/31/2024", " 1,012.50 "), ("13/45/2024", "x")], "d string, v string")
+    df = spark.createDataFrame([("01/31/2024", " 1,012.50 "), ("13/45/2024", "x"), ("1/31/2024", "7")],
+                               "d string, v string")
     got = df.select(parse_us_date("d").alias("t"), parse_number("v").alias("v")).collect()
     assert got[0].t == 1706659200 and got[0].v == 1012.5
     assert got[1].t is None and got[1].v is None
+    assert got[2].t == 1706659200 and got[2].v == 7.0
 
 
 def test_local_labels(spark):
