@@ -41,9 +41,13 @@ def ensure_parallelism(df: DataFrame, key: str) -> DataFrame:
     its partitions would execute those shuffles first.) A plan that already
     shuffles has the configured shuffle parallelism.
     """
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    try:
+        if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+            return df
+        target = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 -- e.g. a remote session without plan access
         return df
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    if parts < target:
         return df.repartition(target, key)
     return df

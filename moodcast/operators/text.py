@@ -233,6 +233,10 @@ def _valence(rules: Rules) -> list[tuple[str, Column]]:
     (a marker) keeps value 0 whatever the rules say."""
     steps = [("v", F.coalesce(F.col("valence"), F.lit(0.0)))]
     v = F.col("v")
+    if rules.degree:
+        # a degree word only modifies its neighbours; it scores 0 itself
+        steps.append(("v", F.when(F.col("w").isin(list(BOOSTERS_UP + BOOSTERS_DOWN)), F.lit(0.0))
+                      .otherwise(v)))
     if rules.caps:
         steps.append(("v", F.when(_is_upper(F.col("tok")) & F.col("_capdiff"),
                                   F.when(v > 0, v + F.lit(C_INCR)).otherwise(v - F.lit(C_INCR)))

@@ -37,6 +37,8 @@ def text_ctes(rules: T.Rules, source: str = "posts_text") -> list[tuple[str, str
            f"else {_d(0.0)} end")
     upper = "(regexp_matches({t}, '\\p{{Lu}}') and not regexp_matches({t}, '\\p{{Ll}}'))"
     steps = ["valence"]
+    if rules.degree:
+        steps.append(f"case when lower(tok) in {_inlist(T.BOOSTERS_UP + T.BOOSTERS_DOWN)} then {_d(0.0)} else v end")
     if rules.caps:
         steps.append(f"case when {upper.format(t='tok')} and capdiff then "
                      f"(case when v > 0 then v + {_d(T.C_INCR)} else v - {_d(T.C_INCR)} end) else v end")

@@ -6,7 +6,7 @@ import pytest
 
 from moodcast.operators import text as T
 
-LEX = [("good", 1.9), ("bad", -2.5), ("great", 3.1), ("the", 1.5)]
+LEX = [("good", 1.9), ("bad", -2.5), ("great", 3.1), ("the", 1.5), ("greatly", 1.1)]
 
 
 @pytest.fixture(scope="module")
@@ -93,3 +93,9 @@ def test_carry_columns(spark, lex):
     df = spark.createDataFrame([("x", "good. bad.", "h1"), ("y", "", "h2")], "id string, text string, h string")
     got = {r.id: r for r in T.text_sentiment(df, "id", "text", lex, carry=["h"]).collect()}
     assert got["x"].h == "h1" and got["y"].h == "h2" and got["y"].sentiment is None
+
+
+def test_degree_word_scores_zero_itself(spark, lex):
+    only_deg = T.Rules(False, True, False, False, False)
+    assert score(spark, lex, "greatly", only_deg)[0] == 0.0
+    assert score(spark, lex, "greatly", T.BASE)[0] == comp(1.1)
