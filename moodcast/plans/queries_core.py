@@ -111,3 +111,18 @@ DAILY_SMA_SQL = with_fixtures(sma_sql("daily"), COMPOSITE_VIEWS,
 @register("q_daily_sma", DAILY_SMA_SQL)
 def q_daily_sma(fx):
     return moving_average(bucket_sums(_composite(fx), P.DAY))
+
+
+@register("q_daily_rollup", DAILY_SMA_SQL)
+def q_daily_rollup(fx):
+    """Daily sums rolled up from exact hourly sums (the analysis job's path)."""
+    from moodcast.operators.buckets import rollup_sums
+    return moving_average(rollup_sums(bucket_sums(_composite(fx), P.HOUR, keep_exact=True), P.DAY))
+
+
+@register("q_window_hourly", with_fixtures(bucket_sql(P.HOUR), COMPOSITE_VIEWS,
+                                           [("composite", COMPOSITE_SQL)]))
+def q_window_hourly(fx):
+    """The streaming hourly aggregation (window + watermark) run as a batch."""
+    from moodcast.streaming.jobs import hourly_stream
+    return hourly_stream(_composite(fx))

@@ -211,3 +211,13 @@ def q_ingest_counts(fx):
                   fx.lexicon(), AS_OF).counts()
 
 
+
+
+@register("q_dedupe_polls", with_fixtures("""
+select distinct * from (select * from poll_batch union all select * from poll_batch) u""", ["poll_batch"]))
+def q_dedupe_polls(fx):
+    """Redelivered poll rows dropped on (id, polled_at), here over a batch
+    that holds every poll twice."""
+    from moodcast.streaming.jobs import dedupe_polls
+    b = fx.poll_batch()
+    return dedupe_polls(b.unionByName(b))

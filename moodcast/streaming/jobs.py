@@ -31,7 +31,10 @@ def dedupe_polls(polls: DataFrame, delay: str = "1 hour") -> DataFrame:
     """STR-3: drop redelivered copies of one poll row, key (id, polled_at).
 
     Never key on the metrics: a score going A, B, A must keep its last change.
+    On a batch DataFrame this is a plain ``dropDuplicates`` on the same key.
     """
+    if not polls.isStreaming:
+        return polls.dropDuplicates(["id", "polled_at"])
     t = polls.withColumn("_poll_ts", F.timestamp_seconds("polled_at"))
     return t.withWatermark("_poll_ts", delay).dropDuplicatesWithinWatermark(["id", "polled_at"]) \
         .drop("_poll_ts")
