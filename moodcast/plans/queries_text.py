@@ -59,7 +59,7 @@ def text_ctes(rules: T.Rules, source: str = "posts_text") -> list[tuple[str, str
         ("docs0", f"select id, coalesce(regexp_extract_all({squeeze}, '{T.SENTENCE_RE}'), []) ss "
                   f"from {source}"),
         ("docs", "select id, cast(len(ss) as int) n_sent from docs0"),
-        ("sents", "select id, i - 1 sent_idx, ss[i] sentence from "
+        ("sents", "select id, cast(i - 1 as int) sent_idx, ss[i] sentence from "
                   "(select id, ss, unnest(generate_series(1, len(ss))) i from docs0) x"),
         ("sfeat", "select id, sent_idx, sentence, toks, "
                   f"{amp} amp, "

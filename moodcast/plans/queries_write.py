@@ -29,7 +29,7 @@ def _text_sql(c: str) -> str:
 
 PRICE_A_SQL = f"""
 select page_id, row_idx, "timestamp", name, "value" from (
-  select page_id, i - 1 row_idx,
+  select page_id, cast(i - 1 as int) row_idx,
     cast(epoch(try_strptime({_text_sql('cells[1]')}, '%m/%d/%Y')) as bigint) "timestamp",
     'nasdaq' name,
     try_cast(replace({_text_sql('cells[2]')}, ',', '') as double) "value"
@@ -44,7 +44,7 @@ PRICE_B_SQL = f"""
 select page_id, row_idx, cast(cast(d as double) as bigint) "timestamp", 'bitcoin' name,
   try_cast(replace(v, ',', '') as double) "value"
 from (
-  select page_id, i - 1 row_idx,
+  select page_id, cast(i - 1 as int) row_idx,
     regexp_extract(coalesce(attrs[1], ''), '{REAL_VALUE_RE}', 1) d,
     regexp_extract(coalesce(attrs[2], ''), '{REAL_VALUE_RE}', 1) v
   from (select page_id, i, regexp_extract_all(rows[i], '{CELL_ATTR_RE}', 1) attrs from (

@@ -31,6 +31,10 @@ def _norm(v):
     return v
 
 
+TYPES = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE",
+         "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
 def _key(row):
     return tuple((x is None, str(x)) for x in row)
 
@@ -47,6 +51,10 @@ def test_query_matches_oracle(spark, con, name):
     srows = [tuple(_norm(x) for x in r) for r in df.collect()]
     rel = con.sql(SQL[name])
     assert sorted(df.columns) == sorted(rel.columns)
+    duck_types = dict(zip(rel.columns, map(str, rel.types)))
+    for f in df.schema.fields:
+        t = f.dataType.simpleString()
+        assert TYPES.get(t, t) == duck_types[f.name], (f.name, t, duck_types[f.name])
     idx = [rel.columns.index(c) for c in df.columns]
     drows = [tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()]
     assert len(srows) == len(drows)
