@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from moodcast import params as P
 from moodcast.functions.exprs import epoch_point, time_bucket
-from moodcast.operators.buckets import bucket_sums, moving_average
+from moodcast.operators.buckets import bucket_sums, moving_average, rollup_sums
 from moodcast.operators.details import chart_label, post_details
 from moodcast.operators.newest import newest_n
 from moodcast.operators.quality import MSG_DAYS, MSG_HOURS, MSG_POSTS, freshness, key_report
@@ -36,7 +36,9 @@ def _hourly(fx):
 
 
 def _daily(fx):
-    return moving_average(bucket_sums(_composite(fx), P.DAY))
+    # rolled up from the exact hourly sums, as the analysis job does: equal to
+    # direct daily sums, and a plan holding both grains shares the hourly shuffle
+    return moving_average(rollup_sums(bucket_sums(_composite(fx), P.HOUR, keep_exact=True), P.DAY))
 
 
 def rnd(x: str, d: int) -> str:
