@@ -198,12 +198,14 @@ def _token_rows(df: DataFrame, id_col: str, text, carry: list[str],
         structs = F.transform(F.col("_toks"), ctx)
     else:
         lw = F.col("_ltoks")
-        hit_pos = F.filter(F.sequence(F.lit(0), F.size(lw) - 1),
-                           lambda i: F.get(lw, i).isin(list(words)))
+        positions = F.when(F.size(lw) > 0, F.sequence(F.lit(0), F.size(lw) - 1)) \
+            .otherwise(F.array().cast("array<int>"))
+        hit_pos = F.filter(positions, lambda i: F.get(lw, i).isin(list(words)))
         structs = F.transform(hit_pos, lambda i: ctx(F.get(F.col("_toks"), i), i))
         if per_sentence_marker:
-            per_sent = per_sent.withColumn("_toks", structs)
-            structs = F.col("_toks")
+            # materialised once: read twice below (emptiness test and rows)
+            per_sent = per_sent.withColumn("_hits", structs)
+            structs = F.col("_hits")
     null_s = F.lit(None).cast("string")
     mark = F.struct(null_s.alias("w"), F.lit(-1).alias("pos"),
                     *([null_s.alias("tok")] if rules.caps else []),
