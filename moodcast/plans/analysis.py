@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from moodcast import params as P
 from moodcast import schemas as S
 from moodcast.operators.buckets import EXACT_COL, bucket_sums, moving_average, rollup_sums
-from moodcast.operators.composite import composite_sentiment
+from moodcast.operators.composite import composite_sentiment, retention_cutoff
 from moodcast.operators.upsert import upsert_rows
 from moodcast.sources.store import PART, as_store, date_of, merge_into, stage
 
@@ -33,6 +33,11 @@ def analysis_frames(posts: DataFrame, scores: DataFrame, sentiments: DataFrame,
         hourly_exact = bucket_sums(comp, P.HOUR, keep_exact=True)
     hourly = hourly_exact.drop(EXACT_COL)
     daily = moving_average(rollup_sums(hourly_exact, P.DAY), p.sma_rows)
+    if p.align:
+        # the first rows-1 days of the window lack SMA history: not written,
+        # so the stored values (from runs that had the history) stay
+        first = retention_cutoff(p.as_of, p.retention_days, P.DAY) + 1
+        daily = daily.filter(F.col("timestamp") >= F.lit(first + (p.sma_rows - 1) * P.DAY))
     return hourly, daily
 
 

@@ -234,3 +234,34 @@ def test_bucket_contains_created(spark, created, w):
     df = spark.createDataFrame([(c,) for c in created], "c long")
     for c, b in df.select("c", time_bucket("c", w).alias("b")).collect():
         assert c - w < b <= c and b % w == 0
+
+
+def test_aligned_analysis_whole_days_and_no_warmup(spark):
+    from moodcast.plans.analysis import analysis_frames
+    as_of = 10 * P.DAY + 5 * 3600          # mid-day: the plain cutoff is mid-day too
+    posts = spark.createDataFrame([(str(i), "x", i * 3600 + 60, 500) for i in range(0, 240)],
+                                  "id string, subreddit string, created long, selftext_length int")
+    scores = spark.createDataFrame([(str(i), 10) for i in range(240)], "id string, score int")
+    sents = spark.createDataFrame([(str(i), 0.5) for i in range(240)], "id string, sentiment_value double")
+    plain = P.AnalysisParams(as_of=as_of, retention_days=5)
+    aligned = P.AnalysisParams(as_of=as_of, retention_days=5, align=True)
+    h0, d0 = analysis_frames(posts, scores, sents, plain)
+    h1, d1 = analysis_frames(posts, scores, sents, aligned)
+    first_plain = min(r.timestamp for r in h0.collect())
+    first_aligned = min(r.timestamp for r in h1.collect())
+    assert first_plain == 5 * P.DAY + 5 * 3600 and first_aligned == 5 * P.DAY
+    assert min(r.timestamp for r in d1.collect()) == 5 * P.DAY + 3 * P.DAY
+    assert min(r.timestamp for r in d0.collect()) == 5 * P.DAY
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.sampled_from(["good", "bad", "not", "very", "GREAT", "but", "!", "?", ".", "meh", "\\n"]),
+                min_size=0, max_size=60))
+def test_polarity_bounded(spark, words):
+    from moodcast.operators import text as T
+    lex = spark.createDataFrame([("good", 1.9), ("bad", -2.5), ("great", 3.1)], "word string, valence double")
+    df = spark.createDataFrame([("x", " ".join(words).replace("\\\\n", "\\n"))], "id string, text string")
+    for r in T.sentence_polarity(df, "id", "text", lex).collect():
+        assert -1 < r.polarity < 1
+    s = T.text_sentiment(df, "id", "text", lex).first()
+    assert s.sentiment is None or -1 < s.sentiment < 1
