@@ -157,21 +157,33 @@ def merge_partitions(spark: SparkSession, path: str, schema: T.StructType, updat
     merge_into(spark, TableStore(root), name, schema, updates, merge, tag)
 
 
-def publish_snapshot(spark: SparkSession, tables: dict[str, tuple[str, T.StructType]],
-                     dest_root: str, version: str) -> dict[str, str]:
+def publish_snapshot(spark: SparkSession, tables, dest_root: str, version: str) -> dict[str, str]:
     """SNK-7: copy every table, as read now, to ``dest_root/<version>/<name>``
     and point ``dest_root/_current`` at that version. Readers resolve the
-    pointer, so the serving copy is replaced whole, never half written."""
+    pointer, so the serving copy is replaced whole, never half written.
+
+    ``tables`` maps name -> (path, schema), or is ``(TableStore, {name: schema})``
+    to publish from a store (bucketed catalog tables included).
+    """
+    if isinstance(tables, tuple):
+        store, schemas = tables
+        sources = {n: store.read(spark, n, sch) for n, sch in schemas.items()}
+    else:
+        sources = {n: read_table(spark, path, sch) for n, (path, sch) in tables.items()}
     out = {}
-    for name, (path, schema) in tables.items():
+    for name, df in sources.items():
         dst = f"{dest_root}/{version}/{name}"
-        write_table(read_table(spark, path, schema), dst)
+        write_table(df, dst)
         out[name] = dst
     spark.createDataFrame([(version,)], "version string").coalesce(1) \
         .write.mode("overwrite").text(f"{dest_root}/_current")
     return out
 
 
+def current_snapshot(spark: SparkSession, dest_root: str) -> str:
+    return spark.read.text(f"{dest_root}/_current").first()[0]
+
+
 def stage(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to a staging table in the shared folder and read it back:
     cuts lineage (the plan no longer reads its sources) and survives executor
@@ -179,7 +191,3 @@ def stage(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     path = scratch_path(spark, "stage", tag)
     write_table(df, path, dynamic=False)
     return spark.read.parquet(path)
-
-
-def current_snapshot(spark: SparkSession, dest_root: str) -> str:
-    return spark.read.text(f"{dest_root}/_current").first()[0]

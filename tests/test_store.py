@@ -80,6 +80,11 @@ def test_publish_snapshot(spark, tmp_root):
     assert current_snapshot(spark, f"{tmp_root}/serve") == "v1"
     assert spark.read.parquet(out["submissions"]).count() == \
         read_table(spark, f"{tmp_root}/submissions", S.SUBMISSIONS).count()
+    from moodcast.sources.store import TableStore
+    out2 = publish_snapshot(spark, (TableStore(tmp_root), {"submissions": S.SUBMISSIONS}),
+                            f"{tmp_root}/serve", "v2")
+    assert current_snapshot(spark, f"{tmp_root}/serve") == "v2"
+    assert spark.read.parquet(out2["submissions"]).count() == spark.read.parquet(out["submissions"]).count()
 
 
 def test_incremental_analysis_equals_full(spark, tmp_root):
