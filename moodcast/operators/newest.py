@@ -9,13 +9,18 @@ from moodcast import params as P
 
 
 def newest_n(posts: DataFrame, n: int = P.NEWEST_N, by: str = "subreddit",
-             order: str = "created") -> DataFrame:
+             order: str = "created", communities=None) -> DataFrame:
     """Rows ranked 1..n by ``order`` descending (ties by id) within ``by``.
 
+    ``communities`` (e.g. ``params.COMMUNITIES``, the polled list) restricts
+    the groups first; the filter reaches the scan.
+
     ``row_number() <= n`` is planned by Spark as a window group limit: each
     map task keeps only its top n per community before the shuffle, so a hot
     community ships at most n rows per task.
     """
+    if communities is not None:
+        posts = posts.filter(F.col(by).isin(list(communities)))
     w = Window.partitionBy(by).orderBy(F.col(order).desc(), F.col("id").asc())
     return (posts.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= F.lit(int(n))))

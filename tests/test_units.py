@@ -165,6 +165,7 @@ def test_newest_n_ties_by_id(spark):
     p = _posts(spark, [("b", "x", 5, 0), ("a", "x", 5, 0), ("c", "x", 1, 0), ("d", "y", 1, 0)])
     got = rows(newest_n(p, 2).select("subreddit", "id", "rank"))
     assert got == [("x", "a", 1), ("x", "b", 2), ("y", "d", 1)]
+    assert rows(newest_n(p, 1, communities=["y"]).select("id")) == [("d",)]
 
 
 def test_chart_ranges():
