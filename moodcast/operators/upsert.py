@@ -66,8 +66,8 @@ def change_runs(stored: DataFrame, batch: DataFrame, key: str, order: str,
     is comparing with the state. Only stored rows of keys in the batch are read
     (semi join), and the window holds one key's snapshots -- one per poll.
     """
-    touched = batch.select(key).distinct()
-    s = stored.join(touched, key, "left_semi").withColumn("_src", F.lit(0))
+    # a semi join needs no distinct keys on its right side
+    s = stored.join(batch.select(key), key, "left_semi").withColumn("_src", F.lit(0))
     b = batch.withColumn("_src", F.lit(1))
     u = s.unionByName(b, allowMissingColumns=True)
     w = Window.partitionBy(key).orderBy("_src", order)
