@@ -108,3 +108,17 @@ def test_hourly_stream_drops_late_rows(spark, tmp_root):
     got = rows(spark.sql("select * from late_out"))
     assert (3 * 3600, "x", 7.0) not in got
     assert (10 * 3600, "x", 1.0) in got
+
+
+def test_ingest_stream_from_json_landing(spark, tmp_root):
+    docs = load(spark, SF_SMALL, "documents")
+    batch = conform(FX.poll_batch(docs), S.RAW_POSTS).drop("author_fullname", "post_hint", "url")
+    landing = os.path.join(tmp_root, "json_landing")
+    batch.write.json(os.path.join(landing, "f1"))
+    q = start_ingest_stream(spark, os.path.join(landing, "*"), os.path.join(tmp_root, "t"), FX.lexicon(spark),
+                            os.path.join(tmp_root, "ck"), as_of_fn=lambda b: FX.AS_OF, fmt="json",
+                            max_files=1)
+    q.awaitTermination(600)
+    posts = read_table(spark, os.path.join(tmp_root, "t", "submissions"), S.SUBMISSIONS)
+    assert posts.count() == docs.count()
+    assert posts.filter(F.col("author_fullname").isNotNull()).count() == 0
