@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,14 +62,40 @@ def incremental_sentiment(stored: DataFrame, batch: DataFrame, lexicon: DataFram
     return upsert_rows(stored, fresh, ["id"]), fresh
 
 
-@dataclass
 class IngestResult:
-    posts: DataFrame
-    scores: DataFrame
-    sentiments: DataFrame
-    post_actions: DataFrame
-    score_actions: DataFrame
-    scored: DataFrame
+    """The merged tables and action rows of one batch. Each frame is built on
+    first access, so reading only the post upsert plans no text scoring."""
+
+    def __init__(self, batch: DataFrame, posts: DataFrame, scores: DataFrame,
+                 sentiments: DataFrame, lexicon: DataFrame, as_of: int, version: str,
+                 rules: T.Rules):
+        self._args = (batch, posts, scores, sentiments, lexicon, as_of, version, rules)
+
+    @cached_property
+    def _sentiment(self):
+        batch, _, _, sentiments, lexicon, as_of, version, rules = self._args
+        return incremental_sentiment(sentiments, batch, lexicon, as_of, version, rules)
+
+    @cached_property
+    def _posts(self):
+        batch, posts = self._args[:2]
+        fields = [f for f in POST_FIELDS if f in batch.columns and f != "id"]
+        fields += ["dt"] if "dt" in batch.columns else []
+        return upsert_posts(posts, batch.drop("title", "selftext"), fields)
+
+    @cached_property
+    def _scores(self):
+        batch, _, scores = self._args[:3]
+        part = ["dt"] if "dt" in batch.columns else []
+        polls = batch.select("id", F.col("polled_at").alias("timestamp"), *SCORE_METRICS, *part)
+        return upsert_scores(scores, polls.dropDuplicates(["id", "timestamp"]))
+
+    posts = property(lambda self: self._posts[0])
+    post_actions = property(lambda self: self._posts[1])
+    scores = property(lambda self: self._scores[0])
+    score_actions = property(lambda self: self._scores[1])
+    sentiments = property(lambda self: self._sentiment[0])
+    scored = property(lambda self: self._sentiment[1])
 
     def counts(self) -> DataFrame:
         """AGG-6: (counter, n) -- total, new posts, score changes, sentiment updates."""
@@ -92,12 +118,4 @@ def ingest(batch: DataFrame, posts: DataFrame, scores: DataFrame, sentiments: Da
     """Q-7: apply one batch of polled rows (``raw_posts`` schema) to the three
     post tables. Sentiment is computed from the text before the text columns
     are dropped from the post row (PRJ-5)."""
-    merged_sent, scored = incremental_sentiment(sentiments, batch, lexicon, as_of, version, rules)
-    fields = [f for f in POST_FIELDS if f in batch.columns and f != "id"]
-    part = ["dt"] if "dt" in batch.columns else []
-    fields += part
-    merged_posts, post_actions = upsert_posts(posts, batch.drop("title", "selftext"), fields)
-    polls = batch.select("id", F.col("polled_at").alias("timestamp"), *SCORE_METRICS, *part)
-    polls = polls.dropDuplicates(["id", "timestamp"])
-    merged_scores, score_actions = upsert_scores(scores, polls)
-    return IngestResult(merged_posts, merged_scores, merged_sent, post_actions, score_actions, scored)
+    return IngestResult(batch, posts, scores, sentiments, lexicon, as_of, version, rules)
