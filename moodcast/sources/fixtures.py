@@ -161,9 +161,13 @@ class Fixture:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return load(self.spark, self.sf_dir, name)
+        # one DataFrame per input file (listing and footer read once per query)
+        if name not in self._tables:
+            self._tables[name] = load(self.spark, self.sf_dir, name)
+        return self._tables[name]
 
     @property
     def events(self):
@@ -198,7 +202,9 @@ class Fixture:
         return raw_posts(self.documents)
 
     def lexicon(self):
-        return lexicon(self.spark)
+        if "_lexicon" not in self._tables:
+            self._tables["_lexicon"] = lexicon(self.spark)
+        return self._tables["_lexicon"]
 
     def poll_batch(self):
         return poll_batch(self.documents)
