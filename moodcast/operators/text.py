@@ -264,11 +264,12 @@ def _valence(rules: Rules) -> list[tuple[str, Column]]:
 def _hits(df: DataFrame, id_col: str, text, lexicon: DataFrame, rules: Rules,
           carry: list[str], per_sentence_marker: bool) -> DataFrame:
     lex = lexicon.select(F.col("word").alias("w"), "valence")
-    n_words = lex.count()
-    words = None
-    if n_words <= PREFILTER_MAX_WORDS:
-        # bounded by the check: a lexicon is a few thousand words
-        words = sorted({r[0] for r in lex.select("w").distinct().collect() if r[0] is not None})
+    # One bounded fetch answers both questions: is the lexicon small, and
+    # which words does it hold. Never more than PREFILTER_MAX_WORDS + 1 rows.
+    head = [r[0] for r in lex.select("w").limit(PREFILTER_MAX_WORDS + 1).collect()]
+    words, n_words = None, None
+    if len(head) <= PREFILTER_MAX_WORDS:
+        words, n_words = sorted({w for w in head if w is not None}), len(head)
     toks = _token_rows(df, id_col, text, carry, per_sentence_marker, rules, words)
     lex = broadcast_if_small(lex, known_rows=n_words)
     # Without the in-array filter a sentence's first token stands in for it;
