@@ -99,17 +99,18 @@ class IngestResult:
 
     def counts(self) -> DataFrame:
         """AGG-6: (counter, n) -- total, new posts, score changes, sentiment updates."""
-        pa, sa = self.post_actions, self.score_actions
-        rows = [
-            pa.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("counter"), "n"),
-            pa.agg(F.count_if(F.col("action") == "new").alias("n")).select(F.lit("new_posts").alias("counter"), "n"),
-            sa.agg(F.count_if("changed").alias("n")).select(F.lit("score_updates").alias("counter"), "n"),
-            self.scored.agg(F.count(F.lit(1)).alias("n")).select(F.lit("sentiment_updates").alias("counter"), "n"),
-        ]
-        out = rows[0]
-        for r in rows[1:]:
-            out = out.unionByName(r)
-        return out.withColumn("n", F.col("n").cast("bigint"))
+        # one aggregation per action frame, then one row per counter
+        pa = self.post_actions.agg(F.count(F.lit(1)).alias("total"),
+                                   F.count_if(F.col("action") == "new").alias("new_posts"))
+        sa = self.score_actions.agg(F.count_if("changed").alias("score_updates"))
+        sc = self.scored.agg(F.count(F.lit(1)).alias("sentiment_updates"))
+
+        def long(df, names):
+            pairs = ", ".join(f"'{n}', cast({n} as bigint)" for n in names)
+            return df.selectExpr(f"stack({len(names)}, {pairs}) as (counter, n)")
+
+        return (long(pa, ["total", "new_posts"]).unionByName(long(sa, ["score_updates"]))
+                .unionByName(long(sc, ["sentiment_updates"])))
 
 
 def ingest(batch: DataFrame, posts: DataFrame, scores: DataFrame, sentiments: DataFrame,
