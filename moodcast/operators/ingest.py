@@ -36,7 +36,8 @@ def lexicon_scorer(lexicon: DataFrame, rules: T.Rules = T.FULL) -> Scorer:
 def incremental_sentiment(stored: DataFrame, batch: DataFrame, lexicon: DataFrame | None, as_of: int,
                           version: str = P.SCORER_VERSION, rules: T.Rules = T.FULL,
                           order: str | None = "polled_at",
-                          scorer: Scorer | None = None) -> tuple[DataFrame, DataFrame]:
+                          scorer: Scorer | None = None,
+                          observation=None) -> tuple[DataFrame, DataFrame]:
     """SNK-5: (merged sentiments, rows scored in this batch).
 
     Hash first (FN-9), drop posts whose (id, hash) is already stored with a
@@ -59,6 +60,8 @@ def incremental_sentiment(stored: DataFrame, batch: DataFrame, lexicon: DataFram
                    ["hash_check", *part])
     fresh = scored.select("id", "hash_check", F.lit(int(as_of)).cast("bigint").alias("updated_timestamp"),
                           F.col("sentiment").alias("sentiment_value"), *part)
+    if observation is not None:
+        fresh = fresh.observe(observation, F.count(F.lit(1)).alias("scored"))
     return upsert_rows(stored, fresh, ["id"]), fresh
 
 

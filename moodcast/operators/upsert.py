@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from moodcast.schemas import SCORE_METRICS
@@ -27,18 +27,25 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return df.groupBy(*keys).agg(best).select(*keys, "_best.*")
 
 
-def upsert_rows(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
+def upsert_rows(target: DataFrame, updates: DataFrame, keys: list[str],
+                observation: Observation | None = None) -> DataFrame:
     """Rows of ``updates`` (unique per key) replace target rows with the same
     key; target rows without an update stay; target columns the update lacks
     keep their stored value (a ``$set`` of the listed fields).
 
     One full outer join on the keys: each side is read and shuffled once, and
     the update side -- often an expensive plan, e.g. freshly scored text -- is
-    evaluated once.
+    evaluated once. An ``observation`` receives ``inserted`` and ``updated``
+    counts from the same pass (no extra job).
     """
     ucols = [c for c in updates.columns if c not in keys]
     u = updates.select(*keys, *[F.col(c).alias("_u_" + c) for c in ucols], F.lit(True).alias("_u"))
-    j = target.join(u, keys, "full_outer")
+    t = target.withColumn("_t", F.lit(True)) if observation is not None else target
+    j = t.join(u, keys, "full_outer")
+    if observation is not None:
+        j = j.observe(observation,
+                      F.count_if(F.col("_u") & F.col("_t").isNull()).alias("inserted"),
+                      F.count_if(F.col("_u") & F.col("_t").isNotNull()).alias("updated"))
     out = []
     for c in target.columns:
         if c in keys:
@@ -77,7 +84,8 @@ def change_runs(stored: DataFrame, batch: DataFrame, key: str, order: str,
 
 
 def upsert_scores(stored: DataFrame, batch: DataFrame, metrics=SCORE_METRICS,
-                  time_col: str = "timestamp") -> tuple[DataFrame, DataFrame]:
+                  time_col: str = "timestamp",
+                  observation: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     """SNK-4: (merged table, batch rows with ``changed``).
 
     A key's final row is its last row whose metrics differ from the row before
@@ -88,6 +96,10 @@ def upsert_scores(stored: DataFrame, batch: DataFrame, metrics=SCORE_METRICS,
     if "dt" in batch.columns and "dt" in stored.columns:
         cols.append("dt")  # the post's partition; constant per id
     runs = change_runs(stored.select(*cols), batch.select(*cols), "id", time_col, list(metrics))
+    if observation is not None:
+        # batch rows that change a score (inserts included), counted by the write
+        runs = runs.observe(observation,
+                            F.count_if(F.col("_chg") & (F.col("_src") == 1)).alias("changed"))
     last = latest_per_key(runs.filter("_chg").select(*cols, "_src"), ["id"], ["_src", time_col])
     merged = upsert_rows(stored.select(*cols), last.select(*cols), ["id"])
     actions = runs.filter(F.col("_src") == 1).select("id", time_col, F.col("_chg").alias("changed"))
@@ -95,7 +107,8 @@ def upsert_scores(stored: DataFrame, batch: DataFrame, metrics=SCORE_METRICS,
 
 
 def upsert_posts(stored: DataFrame, batch: DataFrame, fields: list[str],
-                 order: str = "polled_at") -> tuple[DataFrame, DataFrame]:
+                 order: str = "polled_at",
+                 observation: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     """SNK-3: (merged table, batch rows with ``action`` new / changed / same).
 
     Each snapshot overlays the listed ``fields``; columns the batch lacks keep
@@ -107,7 +120,7 @@ def upsert_posts(stored: DataFrame, batch: DataFrame, fields: list[str],
     has_stored = F.max(F.when(F.col("_src") == 0, 1).otherwise(0)).over(Window.partitionBy("id"))
     runs = runs.withColumn("_stored", has_stored == 1)
     last = latest_per_key(b, ["id"], [order]).drop(order)
-    merged = upsert_rows(stored, last, ["id"])
+    merged = upsert_rows(stored, last, ["id"], observation)
     first_new = (~F.col("_stored")) & (F.row_number().over(
         Window.partitionBy("id").orderBy("_src", order)) == 1)
     actions = runs.filter(F.col("_src") == 1).select(

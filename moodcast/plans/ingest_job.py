@@ -7,7 +7,10 @@ the tables as one application would.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from moodcast import params as P
 from moodcast import schemas as S
@@ -24,28 +27,46 @@ TABLES = {
 }
 
 
+@dataclass
+class IngestReport:
+    """What one batch did: the post dates it touched (an incremental analysis
+    run takes them as ``dates``) and the reference's run counters, observed
+    on the merge writes themselves (``Observation``), not by extra passes."""
+
+    dates: list
+    counts: dict
+
+
 def run_ingest(spark: SparkSession, root, batch: DataFrame, lexicon: DataFrame,
                as_of: int, batch_id: str, version: str = P.SCORER_VERSION,
-               rules: T.Rules = T.FULL) -> list:
-    """Apply one batch; returns the post dates (``dt``) it touched, which an
-    incremental analysis run takes as its ``dates``."""
+               rules: T.Rules = T.FULL) -> IngestReport:
+    """Apply one batch to the three post tables."""
     b = with_dt(conform(batch, S.RAW_POSTS), "created")
     b = stage(spark, b, f"batch_{batch_id}")   # read three times: read it from here
 
     store = as_store(root)
+    obs = {k: Observation(f"{k}_{batch_id}_{uuid.uuid4().hex[:8]}")
+           for k in ("sentiments", "posts", "scores")}
     merge_into(
         spark, store, "submission_sentiments", S.SUBMISSION_SENTIMENTS, b,
-        lambda stored, u: incremental_sentiment(stored, u, lexicon, as_of, version, rules)[0],
+        lambda stored, u: incremental_sentiment(stored, u, lexicon, as_of, version, rules,
+                                                observation=obs["sentiments"])[0],
         f"sentiments_{batch_id}")
     fields = [f for f in S.POST_FIELDS if f != "id"] + ["dt"]
     merge_into(
         spark, store, "submissions", S.SUBMISSIONS, b,
-        lambda stored, u: upsert_posts(stored, u.drop("title", "selftext"), fields)[0],
+        lambda stored, u: upsert_posts(stored, u.drop("title", "selftext"), fields,
+                                       observation=obs["posts"])[0],
         f"posts_{batch_id}")
     merge_into(
         spark, store, "submission_scores", S.SUBMISSION_SCORES, b,
         lambda stored, u: upsert_scores(
             stored, u.selectExpr("id", "polled_at as timestamp", *S.SCORE_METRICS, "dt")
-                     .dropDuplicates(["id", "timestamp"]))[0],
+                     .dropDuplicates(["id", "timestamp"]), observation=obs["scores"])[0],
         f"scores_{batch_id}")
-    return sorted(r[0] for r in b.select("dt").distinct().collect())
+    dates = sorted(r[0] for r in b.select("dt").distinct().collect())
+    counts = {"total": b.count(),
+              "new_posts": obs["posts"].get.get("inserted", 0),
+              "score_updates": obs["scores"].get.get("changed", 0),
+              "sentiment_updates": obs["sentiments"].get.get("scored", 0)}
+    return IngestReport(dates, counts)

@@ -58,7 +58,7 @@ def start_ingest_stream(spark: SparkSession, landing: str, root: str, lexicon: D
 
     def apply(df: DataFrame, batch_id: int) -> None:
         as_of = as_of_fn(batch_id) if as_of_fn else int(_time.time())
-        touched = run_ingest(spark, root, df, lexicon, as_of, f"{batch_id:08d}")
+        touched = run_ingest(spark, root, df, lexicon, as_of, f"{batch_id:08d}").dates
         if analyse is not None and touched:
             p = dataclasses.replace(analyse, as_of=as_of)
             run_analysis(spark, root, p, f"stream_{batch_id:08d}", dates=touched)

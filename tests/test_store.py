@@ -60,7 +60,10 @@ def test_ingest_job_equals_set_based_ingest(spark, tmp_root):
     docs = load(spark, SF_SMALL, "documents")
     lex = FX.lexicon(spark)
     batch = FX.poll_batch(docs)
-    run_ingest(spark, tmp_root, batch, lex, FX.AS_OF, "b1")
+    first = run_ingest(spark, tmp_root, batch, lex, FX.AS_OF, "b1")
+    assert first.counts["total"] == first.counts["new_posts"] == docs.count()
+    from moodcast.operators.ingest import scoring_gate
+    assert first.counts["sentiment_updates"] == scoring_gate(FX.raw_posts(docs)).count()
     posts = read_table(spark, f"{tmp_root}/submissions", S.SUBMISSIONS)
     sents = read_table(spark, f"{tmp_root}/submission_sentiments", S.SUBMISSION_SENTIMENTS)
     scores = read_table(spark, f"{tmp_root}/submission_scores", S.SUBMISSION_SCORES)
@@ -68,7 +71,9 @@ def test_ingest_job_equals_set_based_ingest(spark, tmp_root):
     assert scores.count() == docs.count()
     assert sents.filter(F.col("sentiment_value").isNotNull()).count() > 0
     snap = rows(sents.drop("dt"))
-    run_ingest(spark, tmp_root, batch, lex, FX.AS_OF + 60, "b2")  # replay: nothing changes
+    again = run_ingest(spark, tmp_root, batch, lex, FX.AS_OF + 60, "b2")  # replay: nothing changes
+    assert again.counts["new_posts"] == 0 and again.counts["sentiment_updates"] == 0
+    assert again.counts["score_updates"] == 0
     assert rows(read_table(spark, f"{tmp_root}/submission_sentiments", S.SUBMISSION_SENTIMENTS).drop("dt")) == snap
     assert read_table(spark, f"{tmp_root}/submissions", S.SUBMISSIONS).count() == docs.count()
 
@@ -100,7 +105,10 @@ def test_incremental_analysis_equals_full(spark, tmp_root):
     run_ingest(spark, tmp_root, first.unionByName(batch.filter(F.col("created") >= 1704067200 + 60 * 600)),
                lex, FX.AS_OF, "b1")
     run_analysis(spark, tmp_root, p, "full1")
-    touched = run_ingest(spark, tmp_root, later, lex, FX.AS_OF, "b2")
+    report = run_ingest(spark, tmp_root, later, lex, FX.AS_OF, "b2")
+    touched = report.dates
+    assert report.counts["total"] == later.count() and report.counts["new_posts"] == 0
+    assert report.counts["score_updates"] == later.count()
     assert len(touched) == 1, touched  # only the second day is recomputed
     run_analysis(spark, tmp_root, p, "incr", dates=touched)
     inc_h = rows(read_table(spark, f"{tmp_root}/analyzed_by_created_hours", S.HOURLY).drop("dt"))
