@@ -253,6 +253,10 @@ def _valence(rules: Rules) -> list[tuple[str, Column]]:
         if rules.negation:
             steps.append(("v", F.when(pk.isNotNull() & _is_negation(pk), v * F.lit(N_SCALAR))
                           .otherwise(v)))
+    if rules.negation:
+        # "least" before a word negates it, except in "at least" / "very least"
+        least = (F.col("p1") == "least") & (F.col("p2").isNull() | ~F.col("p2").isin("at", "very"))
+        steps.append(("v", F.when(least, v * F.lit(N_SCALAR)).otherwise(v)))
     if rules.but:
         b = F.col("_but")
         steps.append(("v", F.when(b < 0, v).when(F.col("pos") < b, v * F.lit(BUT_BEFORE))

@@ -51,6 +51,9 @@ def text_ctes(rules: T.Rules, source: str = "posts_text") -> list[tuple[str, str
         if rules.negation:
             steps.append(f"case when {pk} is not null and ({pk} in {_inlist(T.NEGATIONS)} "
                          f"or contains({pk}, 'n''t')) then v * {_d(T.N_SCALAR)} else v end")
+    if rules.negation:
+        steps.append(f"case when p1 = 'least' and (p2 is null or p2 not in ('at', 'very')) "
+                     f"then v * {_d(T.N_SCALAR)} else v end")
     if rules.but:
         steps.append(f"case when but_idx < 0 then v when pos < but_idx then v * {_d(T.BUT_BEFORE)} "
                      f"when pos > but_idx then v * {_d(T.BUT_AFTER)} else v end")

@@ -99,3 +99,9 @@ def test_degree_word_scores_zero_itself(spark, lex):
     only_deg = T.Rules(False, True, False, False, False)
     assert score(spark, lex, "greatly", only_deg)[0] == 0.0
     assert score(spark, lex, "greatly", T.BASE)[0] == comp(1.1)
+
+
+def test_least_rule(spark, lex):
+    only_neg = T.Rules(True, False, False, False, False)
+    assert score(spark, lex, "the least good", only_neg)[0] == comp(1.5 + 1.9 * T.N_SCALAR)
+    assert score(spark, lex, "at least good", only_neg)[0] == comp(1.9)
