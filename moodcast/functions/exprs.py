@@ -91,7 +91,7 @@ def url_slug(url) -> Column:
     """FN-11: URL path, '/' trimmed at both ends, last segment."""
     path = F.coalesce(F.try_parse_url(col_(url), F.lit("PATH")), F.lit(""))
     trimmed = F.regexp_replace(path, r"^/+|/+$", "")
-    return F.element_at(F.split(trimmed, "/"), -1)
+    return F.when(col_(url).isNotNull(), F.element_at(F.split(trimmed, "/"), -1))
 
 
 def parse_us_date(s) -> Column:

@@ -140,8 +140,8 @@ def test_local_labels(spark):
 
 
 def test_url_slug_edge(spark):
-    df = spark.createDataFrame([("https://h/r/a/comments/x1/my_post/",), ("https://h/",)], "u string")
-    assert [r[0] for r in df.select(url_slug("u")).collect()] == ["my_post", ""]
+    df = spark.createDataFrame([("https://h/r/a/comments/x1/my_post/",), ("https://h/",), (None,)], "u string")
+    assert [r[0] for r in df.select(url_slug("u")).collect()] == ["my_post", "", None]
 
 
 def test_freshness_rules(spark):
