@@ -192,6 +192,8 @@ def _token_rows(df: DataFrame, id_col: str, text, carry: list[str],
             fields.append(t.alias("tok"))
         if context:
             fields += [F.get(F.col("_ltoks"), i - k).alias(f"p{k}") for k in (1, 2, 3)]
+        if rules.negation:
+            fields.append(F.get(F.col("_ltoks"), i + 1).alias("n1"))
         return F.struct(*fields)
 
     if words is None:
@@ -209,7 +211,8 @@ def _token_rows(df: DataFrame, id_col: str, text, carry: list[str],
     null_s = F.lit(None).cast("string")
     mark = F.struct(null_s.alias("w"), F.lit(-1).alias("pos"),
                     *([null_s.alias("tok")] if rules.caps else []),
-                    *([null_s.alias(f"p{k}") for k in (1, 2, 3)] if context else []))
+                    *([null_s.alias(f"p{k}") for k in (1, 2, 3)] if context else []),
+                    *([null_s.alias("n1")] if rules.negation else []))
     if per_sentence_marker:
         # a sentence with no (kept) token is represented by a marker row
         items = (F.when(F.col("sentence").isNull(), F.array().cast(_array_type(rules)))
@@ -225,6 +228,8 @@ def _array_type(rules: Rules) -> str:
     fields = ["w:string", "pos:int"] + (["tok:string"] if rules.caps else [])
     if rules.negation or rules.degree:
         fields += ["p1:string", "p2:string", "p3:string"]
+    if rules.negation:
+        fields += ["n1:string"]
     return f"array<struct<{','.join(fields)}>>"
 
 
@@ -235,6 +240,13 @@ def _valence(rules: Rules) -> list[tuple[str, Column]]:
     (a marker) keeps value 0 whatever the rules say."""
     steps = [("v", F.coalesce(F.col("valence"), F.lit(0.0)))]
     v = F.col("v")
+    if rules.negation:
+        # "no" before a lexicon word scores 0 itself; a word up to three
+        # places after "no" (the third only across "or"/"nor") is negated
+        steps.append(("v", F.when((F.col("w") == "no") & F.col("_n1_lex"), F.lit(0.0)).otherwise(v)))
+        after_no = ((F.col("p1") == "no") | (F.col("p2") == "no") |
+                    ((F.col("p3") == "no") & F.col("p1").isin("or", "nor")))
+        steps.append(("v", F.when(after_no, F.col("valence") * F.lit(N_SCALAR)).otherwise(v)))
     if rules.degree:
         # a degree word only modifies its neighbours; it scores 0 itself
         steps.append(("v", F.when(F.col("w").isin(list(BOOSTERS_UP + BOOSTERS_DOWN)), F.lit(0.0))
@@ -281,6 +293,12 @@ def _hits(df: DataFrame, id_col: str, text, lexicon: DataFrame, rules: Rules,
     first_stands_in = per_sentence_marker and words is None
     marker = (F.col("pos") <= 0) if first_stands_in else (F.col("pos") == -1)
     joined = toks.join(lex, "w", "left").filter(F.col("valence").isNotNull() | marker)
+    if rules.negation:
+        # is the next word a lexicon word? (second lookup, hit rows only)
+        nxt = broadcast_if_small(lexicon.select(F.col("word").alias("n1")).distinct()
+                                 .withColumn("_n1_lex", F.lit(True)), known_rows=n_words)
+        joined = joined.join(nxt, "n1", "left").withColumn(
+            "_n1_lex", F.coalesce(F.col("_n1_lex"), F.lit(False)))
     out = joined
     for name, expr in _valence(rules):
         out = out.withColumn(name, expr)

@@ -37,6 +37,11 @@ def text_ctes(rules: T.Rules, source: str = "posts_text") -> list[tuple[str, str
            f"else {_d(0.0)} end")
     upper = "(regexp_matches({t}, '\\p{{Lu}}') and not regexp_matches({t}, '\\p{{Ll}}'))"
     steps = ["valence"]
+    if rules.negation:
+        steps.append("case when lower(tok) = 'no' and n1 in (select word from lexicon) then "
+                     f"{_d(0.0)} else v end")
+        steps.append("case when p1 = 'no' or p2 = 'no' or (p3 = 'no' and p1 in ('or', 'nor')) "
+                     f"then valence * {_d(T.N_SCALAR)} else v end")
     if rules.degree:
         steps.append(f"case when lower(tok) in {_inlist(T.BOOSTERS_UP + T.BOOSTERS_DOWN)} then {_d(0.0)} else v end")
     if rules.caps:
@@ -74,7 +79,8 @@ def text_ctes(rules: T.Rules, source: str = "posts_text") -> list[tuple[str, str
                    "toks[j] tok, j - 1 pos, "
                    "case when j > 1 then lower(toks[j - 1]) end p1, "
                    "case when j > 2 then lower(toks[j - 2]) end p2, "
-                   "case when j > 3 then lower(toks[j - 3]) end p3 "
+                   "case when j > 3 then lower(toks[j - 3]) end p3, "
+                   "case when j < len(toks) then lower(toks[j + 1]) end n1 "
                    "from (select *, unnest(generate_series(1, len(toks))) j from sfeat) z"),
         ("hits0", "select t.*, l.valence, l.valence v from tokens t join lexicon l on lower(t.tok) = l.word"),
     ]

@@ -6,7 +6,7 @@ import pytest
 
 from moodcast.operators import text as T
 
-LEX = [("good", 1.9), ("bad", -2.5), ("great", 3.1), ("the", 1.5), ("greatly", 1.1)]
+LEX = [("good", 1.9), ("bad", -2.5), ("great", 3.1), ("the", 1.5), ("greatly", 1.1), ("no", -1.2)]
 
 
 @pytest.fixture(scope="module")
@@ -105,3 +105,13 @@ def test_least_rule(spark, lex):
     only_neg = T.Rules(True, False, False, False, False)
     assert score(spark, lex, "the least good", only_neg)[0] == comp(1.5 + 1.9 * T.N_SCALAR)
     assert score(spark, lex, "at least good", only_neg)[0] == comp(1.9)
+
+
+def test_no_rule(spark, lex):
+    only_neg = T.Rules(True, False, False, False, False)
+    # "no" before a lexicon word scores 0; the word after "no" is negated
+    assert score(spark, lex, "no good", only_neg)[0] == comp(1.9 * T.N_SCALAR)
+    # "no" alone keeps its own valence
+    assert score(spark, lex, "no way", only_neg)[0] == comp(-1.2)
+    # third word after "no" only across or/nor
+    assert score(spark, lex, "no bad or good", only_neg)[0] == comp(-2.5 * T.N_SCALAR + 1.9 * T.N_SCALAR)
