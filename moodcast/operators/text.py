@@ -139,13 +139,23 @@ def _punct_amp(s: Column) -> Column:
     return ex + qm
 
 
+def _sql_str(w: str) -> str:
+    return "'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _in_words(expr_sql: str, words) -> Column:
+    """``<expr> IN (<words>)`` parsed once on the JVM: one call for the whole
+    list instead of one per literal (a lexicon has thousands of words)."""
+    return F.expr(f"{expr_sql} IN ({', '.join(_sql_str(w) for w in words)})")
+
+
 def _is_upper(t: Column) -> Column:
     """Has an upper-case letter and no lower-case one (Python's ``isupper``)."""
     return t.rlike(r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$")
 
 
-def _is_negation(w: Column) -> Column:
-    return w.isin(list(NEGATIONS)) | w.contains("n't")
+def _is_negation(name: str) -> Column:
+    return _in_words(name, NEGATIONS) | F.col(name).contains("n't")
 
 
 def _token_rows(df: DataFrame, id_col: str, text, carry: list[str],
@@ -199,10 +209,9 @@ def _token_rows(df: DataFrame, id_col: str, text, carry: list[str],
     if words is None:
         structs = F.transform(F.col("_toks"), ctx)
     else:
-        lw = F.col("_ltoks")
-        positions = F.when(F.size(lw) > 0, F.sequence(F.lit(0), F.size(lw) - 1)) \
-            .otherwise(F.array().cast("array<int>"))
-        hit_pos = F.filter(positions, lambda i: F.get(lw, i).isin(list(words)))
+        hit_pos = F.expr(
+            "filter(if(size(_ltoks) > 0, sequence(0, size(_ltoks) - 1), cast(array() as array<int>)), "
+            f"i -> get(_ltoks, i) IN ({', '.join(_sql_str(w) for w in words) or 'NULL'}))")
         structs = F.transform(hit_pos, lambda i: ctx(F.get(F.col("_toks"), i), i))
         if per_sentence_marker:
             # materialised once: read twice below (emptiness test and rows)
@@ -249,7 +258,7 @@ def _valence(rules: Rules) -> list[tuple[str, Column]]:
         steps.append(("v", F.when(after_no, F.col("valence") * F.lit(N_SCALAR)).otherwise(v)))
     if rules.degree:
         # a degree word only modifies its neighbours; it scores 0 itself
-        steps.append(("v", F.when(F.col("w").isin(list(BOOSTERS_UP + BOOSTERS_DOWN)), F.lit(0.0))
+        steps.append(("v", F.when(_in_words("w", BOOSTERS_UP + BOOSTERS_DOWN), F.lit(0.0))
                       .otherwise(v)))
     if rules.caps:
         steps.append(("v", F.when(_is_upper(F.col("tok")) & F.col("_capdiff"),
@@ -258,12 +267,12 @@ def _valence(rules: Rules) -> list[tuple[str, Column]]:
     for k, scale in zip((1, 2, 3), DISTANCE_SCALE):
         pk = F.col(f"p{k}")
         if rules.degree:
-            s = (F.when(pk.isin(list(BOOSTERS_UP)), F.lit(B_INCR))
-                 .when(pk.isin(list(BOOSTERS_DOWN)), F.lit(B_DECR)).otherwise(F.lit(0.0)))
+            s = (F.when(_in_words(f"p{k}", BOOSTERS_UP), F.lit(B_INCR))
+                 .when(_in_words(f"p{k}", BOOSTERS_DOWN), F.lit(B_DECR)).otherwise(F.lit(0.0)))
             sign = F.when(v < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
             steps.append(("v", v + s * sign * F.lit(scale)))
         if rules.negation:
-            steps.append(("v", F.when(pk.isNotNull() & _is_negation(pk), v * F.lit(N_SCALAR))
+            steps.append(("v", F.when(pk.isNotNull() & _is_negation(f"p{k}"), v * F.lit(N_SCALAR))
                           .otherwise(v)))
     if rules.negation:
         # "least" before a word negates it, except in "at least" / "very least"
