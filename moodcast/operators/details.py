@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodcast import params as P
@@ -81,6 +81,8 @@ def post_details(posts: DataFrame, scores: DataFrame, sentiments: DataFrame,
     return out.orderBy(F.desc("abs_sentiment"), F.col("id"))
 
 
-def details_title(kind: str, bucket: int, community: str, tz: str = "UTC"):
-    """'Details for <label> of <community>' as a column."""
-    return F.concat(F.lit("Details for "), chart_label(kind, bucket, tz), F.lit(" of " + community))
+def details_title(kind: str, bucket, community, tz: str = "UTC"):
+    """FN-16: 'Details for <label> of <community>' as a column. ``bucket`` is
+    an epoch, a column name or a Column; ``community`` a name or a Column."""
+    comm = community if isinstance(community, Column) else F.lit(community)
+    return F.concat(F.lit("Details for "), chart_label(kind, bucket, tz), F.lit(" of "), comm)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from moodcast import params as P
 from moodcast.functions.exprs import epoch_point, time_bucket
 from moodcast.operators.buckets import bucket_sums, moving_average, rollup_sums
-from moodcast.operators.details import chart_label, post_details
+from moodcast.operators.details import chart_label, details_title, post_details
 from moodcast.operators.newest import newest_n
 from moodcast.operators.quality import MSG_DAYS, MSG_HOURS, MSG_POSTS, freshness, key_report
 from moodcast.operators.series import (chart_series, day_range, hour_range, scaled_prices,
@@ -135,6 +137,16 @@ def q_bucket_labels(fx):
                     epoch_point("timestamp").alias("point"))
 
 
+@register("q_details_titles", _sql(f"""
+select "timestamp", subreddit,
+  'Details for Day ' || {local('"timestamp"', '%Y-%m-%d')} || ' of ' || subreddit title
+from daily""", result=True))
+def q_details_titles(fx):
+    """The details page title for every (community, day) of the daily table."""
+    return _daily(fx).select("timestamp", "subreddit",
+                             details_title("day", "timestamp", F.col("subreddit")).alias("title"))
+
+
 # ---- details ----------------------------------------------------------------
 
 def details_sql(where: str, bucket_col: str = "") -> str:
