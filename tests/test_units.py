@@ -266,3 +266,11 @@ def test_polarity_bounded(spark, words):
         assert -1 < r.polarity < 1
     s = T.text_sentiment(df, "id", "text", lex).first()
     assert s.sentiment is None or -1 < s.sentiment < 1
+
+
+def test_read_valence_file(spark, tmp_path):
+    from moodcast.sources.lexicon import read_valence_file
+    p = tmp_path / "lex.txt"
+    p.write_text('good\t1.9\t0.9\t[2, 1, 2]\n":)"\t2.0\t0.5\t[2, 2]\nBAD\t-2.5\t0.6\t[-3, -2]\nbroken line\n')
+    got = dict((r.word, r.valence) for r in read_valence_file(spark, str(p)).collect())
+    assert got == {"good": 1.9, '":)"': 2.0, "bad": -2.5}
