@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from moodcast.functions.exprs import col_, parse_epoch_text, parse_number, parse_us_date
 
-# Layout A: table rows of class datatable_row__Hk3IV that contain <time>;
-# cell 1 is the date (MM/DD/YYYY), cell 2 the value.
+# Fixed values (the two page layouts): layout A rows carry the class
+# "datatable_row__Hk3IV" and contain <time>, cell 1 the date (month/day/year),
+# cell 2 the value; layout B rows sit under id "results_box" in <tbody>, with
+# the attribute "data-real-value" on cells 1 and 2.
+# Layout A pattern:
 ROW_A_RE = r'(?s)<tr[^>]*class="[^"]*datatable_row__Hk3IV[^"]*"[^>]*>(.*?)</tr>'
-# Layout B: rows under the element with id results_box, inside <tbody>;
-# attribute data-real-value of cells 1 and 2.
+# Layout B patterns:
 AFTER_BOX_RE = r'(?s)id="results_box"(.*)'
 TBODY_RE = r"(?s)<tbody[^>]*>(.*?)</tbody>"
 ROW_RE = r"(?s)<tr[^>]*>(.*?)</tr>"
