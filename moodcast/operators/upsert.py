@@ -115,7 +115,8 @@ def upsert_posts(stored: DataFrame, batch: DataFrame, fields: list[str],
     their stored value; a NULL in the batch overwrites.
     """
     fields = [f for f in fields if f != "id"]
-    b = batch.select("id", *fields, order)
+    # a redelivered poll row (same id and poll time) is one snapshot
+    b = batch.select("id", *fields, order).dropDuplicates(["id", order])
     runs = change_runs(stored.select("id", *fields), b, "id", order, fields)
     has_stored = F.max(F.when(F.col("_src") == 0, 1).otherwise(0)).over(Window.partitionBy("id"))
     runs = runs.withColumn("_stored", has_stored == 1)

@@ -75,3 +75,12 @@ def test_upsert_rows_is_idempotent(spark):
     once = upsert_rows(t, u, ["timestamp", "subreddit"])
     twice = upsert_rows(spark.createDataFrame(once.collect(), once.schema), u, ["timestamp", "subreddit"])
     assert rows(once) == rows(twice) == [(1, "x", 1.0), (2, "x", 5.0), (3, "x", 6.0)]
+
+
+def test_redelivered_post_rows_count_once(spark):
+    stored = spark.createDataFrame([], PS)
+    row = ("a", "x", "t2_1", 5)
+    batch = spark.createDataFrame([row, row], "id string, subreddit string, author_fullname string, polled_at long")
+    merged, act = upsert_posts(stored, batch, ["subreddit", "author_fullname"])
+    assert rows(act.select("id", "action")) == [("a", "new")]
+    assert merged.count() == 1
