@@ -81,8 +81,9 @@ BOOSTERS_DOWN = (
 # to one space first, so the pattern cannot backtrack over long gaps.
 BLANKS_RE = r"[\t\r\f ]+"
 SENTENCE_RE = r"[^.!?\n]*[^.!?\n\t\r\f ][^.!?\n]*[.!?]*"
-# A token: letters, digits and apostrophes; one-character tokens are dropped.
-TOKEN_RE = r"[\p{L}\p{N}']+"
+# A token: a run of letters, digits and apostrophes, or a two/three-character
+# emoticon (eyes, optional nose, mouth); one-character tokens are dropped.
+TOKEN_RE = r"[\p{L}\p{N}']+|[:;=8][-'^]?[)(\]\[dDpPoO/\\|*]"
 
 
 # Lexicons up to this many words also filter tokens inside the arrays.

@@ -115,3 +115,9 @@ def test_no_rule(spark, lex):
     assert score(spark, lex, "no way", only_neg)[0] == comp(-1.2)
     # third word after "no" only across or/nor
     assert score(spark, lex, "no bad or good", only_neg)[0] == comp(-2.5 * T.N_SCALAR + 1.9 * T.N_SCALAR)
+
+
+def test_emoticon_tokens_match_lexicon(spark):
+    lex = spark.createDataFrame([(":)", 2.0), (":(", -1.9)], "word string, valence double")
+    df = spark.createDataFrame([("x", "nice day:) really")], "id string, text string")
+    assert T.text_sentiment(df, "id", "text", lex, T.BASE).first().sentiment == comp(2.0)
