@@ -36,44 +36,30 @@ POOL = 1024            # pieces a task holds while packing
 END_ID = 1
 CACHE_BITS = 21        # slots of the pre-tokens a worker remembers (2^21)
 CACHE_ENTRIES = 2_000_000   # pre-tokens encoded before it forgets them all
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _U = np.uint64
 _SEP, _LETTER, _NUMBER, _SPACE, _OTHER = range(5)
 
 
-def _byte_alphabet() -> dict[str, int]:
-    """The byte each printable stand-in of byte-level BPE vocabularies means."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
-
-
 class WordTokenizer:
     """Ids of whole texts, with each distinct pre-token encoded once while it is remembered.
 
     Byte-level BPE never merges across pre-tokens, so the ids of a text are
     those of its pre-tokens in order. Pre-tokens are cut by the published
     pattern ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``.
-    The vocabulary is read by ``tokenizers`` from ``path``; pre-tokens that are
-    not remembered are merged by ``tiktoken`` with that vocabulary's ranks, which
-    gives the same ids four times as fast (the tests compare whole texts with
-    ``Tokenizer.encode``). Special tokens' strings in a text are ordinary text.
+    Special tokens' strings in a text are ordinary text.
     """
 
     def __init__(self, path: str):
         import regex
-        import tiktoken
         from tokenizers import Tokenizer
 
-        vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
-        raw = _byte_alphabet()
-        ranks = {bytes(raw[c] for c in word): rank for word, rank in vocabulary.items()
-                 if all(c in raw for c in word)}
-        self.bpe = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.width = np.zeros(max(ranks.values()) + 1, np.int64)   # bytes of each id
-        for word, rank in ranks.items():
-            self.width[rank] = len(word)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)   # bytes of each id
+        for word, i in vocabulary.items():   # byte-level: a character stands for a byte
+            self.width[i] = len(word)
         self.kind = np.full(0x110000, _OTHER, np.uint8)
         every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         for code, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\p{White_Space}+")):
@@ -157,6 +143,9 @@ class WordTokenizer:
         before = np.concatenate([[0], ends])
         return ids, before[np.searchsorted(first, starts)]
 
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+
     def _learn(self, texts, starts, first, after) -> np.ndarray:
         """Entries of new pre-tokens."""
         doc = (np.searchsorted(starts, first, "right") - 1)
@@ -164,7 +153,7 @@ class WordTokenizer:
         words = [texts[d][x:y] for d, x, y in zip(doc.tolist(), a, z)]
         # a pre-token of a space and something else stays one when many are joined
         joined = [i for i, w in enumerate(words) if len(w) > 1 and w[0] == " " and self.kind[ord(w[1])] != _SPACE]
-        ids = np.array(self.bpe.encode_ordinary("".join([words[i] for i in joined])), np.int32)
+        ids = self._encode("".join([words[i] for i in joined]))
         size = np.cumsum([len(words[i].encode("utf-8", "surrogatepass")) for i in joined])
         ends = np.searchsorted(np.cumsum(self.width[ids]), size) + 1
         lens = np.zeros(len(words), np.int32)
@@ -173,7 +162,7 @@ class WordTokenizer:
         begin[joined] = ends - lens[joined]
         rest, parts, top = sorted(set(range(len(words))) - set(joined)), [ids], len(ids)
         for i in rest:
-            one = np.array(self.bpe.encode_ordinary(words[i]), np.int32)
+            one = self._encode(words[i])
             begin[i], lens[i] = top, len(one)
             parts.append(one)
             top += len(one)
