@@ -38,7 +38,7 @@ NUM, DEN = 4, 5          # threshold 0.8 as a fraction: compared without roundin
 BANDS, BAND_ROWS = 32, 4  # a pair at 0.8 shares a band with probability 1 - 5e-8
 STEP = 16                # MinHash values compared at a time
 TOLERANCE = 1e-6         # posterior below which a pair is dropped
-BUCKET_BLOCK = 256       # signatures of a bucket that one task holds, twice
+BUCKET_BLOCK = 1024      # signatures of a bucket that one task holds, twice
 TEXT_BLOCK = 128         # texts of a group that one task holds, twice
 SLAB = 4096              # shingles counted at a time in the exact check
 
