@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from moodcast.llm import (ann_srs, chat_format, decontaminate, language_id, license_scan, ngram_join, packing, secret_scan,
                           sharding, url_lists)
+from moodcast.llm.oracle import ORACLE  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
