@@ -12,7 +12,7 @@ __all__ = [
     "abs_sentiment", "effect", "scale_0_10", "round_half_up", "text_length",
     "content_hash", "absolute_url", "url_slug", "parse_us_date", "parse_number",
     "parse_epoch_text", "epoch_to_local", "local_label", "epoch_point",
-    "is_stale", "series_visible", "sentiment_label", "exact_sum",
+    "is_stale", "series_visible", "sentiment_label", 
 ]
 
 
@@ -150,8 +150,3 @@ def sentiment_label(c, cut: float = P.LABEL_CUT) -> Column:
     return (F.when(v >= cut, F.lit("Positive"))
             .when(v <= -cut, F.lit("Negative"))
             .when(v.isNotNull(), F.lit("Neutral")))
-
-
-def exact_sum(c, decimal_type: str) -> Column:
-    """Order-independent sum: addends rounded to ``decimal_type``, result double."""
-    return F.sum(col_(c).cast(decimal_type)).cast("double")

@@ -48,8 +48,3 @@ def moving_average(sums: DataFrame, rows: int = P.SMA_ROWS,
     v = F.col(value_col).cast("decimal(38,9)")
     return sums.withColumn(out_col, F.try_divide(F.sum(v).over(w).cast("double"),
                                                  F.count(v).over(w)))
-
-
-def daily_with_sma(composite: DataFrame, rows: int = P.SMA_ROWS) -> DataFrame:
-    """Q-2 + Q-3 for the day grain."""
-    return moving_average(bucket_sums(composite, P.DAY), rows)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from moodcast import params as P
 
+SALTS = 32
+
 
 def newest_n(posts: DataFrame, n: int = P.NEWEST_N, by: str = "subreddit",
              order: str = "created", communities=None) -> DataFrame:
@@ -15,12 +17,19 @@ def newest_n(posts: DataFrame, n: int = P.NEWEST_N, by: str = "subreddit",
     ``communities`` (e.g. ``params.COMMUNITIES``, the polled list) restricts
     the groups first; the filter reaches the scan.
 
-    ``row_number() <= n`` is planned by Spark as a window group limit: each
-    map task keeps only its top n per community before the shuffle, so a hot
-    community ships at most n rows per task.
+    Two levels: the first keeps n rows of each (community, hash of the id), so a
+    community holding nearly all posts is spread over ``SALTS`` tasks, and the
+    second ranks at most ``SALTS`` x n rows of each. ``row_number() <= n`` is
+    planned as a window group limit: each map task keeps only its top n before
+    the shuffle.
     """
     if communities is not None:
         posts = posts.filter(F.col(by).isin(list(communities)))
-    w = Window.partitionBy(by).orderBy(F.col(order).desc(), F.col("id").asc())
+    newest_first = [F.col(order).desc(), F.col("id").asc()]
+    part = Window.partitionBy(by, "_salt").orderBy(*newest_first)
+    posts = (posts.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+             .withColumn("_rank", F.row_number().over(part))
+             .filter(F.col("_rank") <= F.lit(int(n))).drop("_salt", "_rank"))
+    w = Window.partitionBy(by).orderBy(*newest_first)
     return (posts.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= F.lit(int(n))))

@@ -289,6 +289,9 @@ def _valence(rules: Rules) -> list[tuple[str, Column]]:
 
 def _hits(df: DataFrame, id_col: str, text, lexicon: DataFrame, rules: Rules,
           carry: list[str], per_sentence_marker: bool) -> DataFrame:
+    # a repeated word counts once, with its strongest valence (the positive one of two equal)
+    lexicon = (lexicon.filter(F.col("word").isNotNull() & F.col("valence").isNotNull()).groupBy("word")
+               .agg(F.max(F.struct(F.abs("valence").alias("a"), "valence")).alias("s")).select("word", "s.valence"))
     lex = lexicon.select(F.col("word").alias("w"), "valence")
     # One bounded fetch answers both questions: is the lexicon small, and
     # which words does it hold. Never more than PREFILTER_MAX_WORDS + 1 rows.

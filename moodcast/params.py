@@ -7,8 +7,8 @@ Fixed values (must equal the reference for equal results), in natural order:
   moving average frame ........ 4 rows (3 preceding and the current row)
   chart spans ................. 38 days, 24 hours
   default visible series ...... "nasdaq_index", "wallstreetbets"
-  communities polled .......... wallstreetbets, stocks, investing, StockMarket,
-                                 options, pennystocks, CryptoCurrency, Bitcoin
+  communities polled .......... wallstreetbets, bitcoin, stocks, StockMarket,
+                                 investing, cryptocurrency, ethereum, altcoin
   newest posts per poll ....... 1000
   scorer version key .......... "SentimentAnalyzer_v1"
   freshness limits ............ posts 1 h, daily table 30 h, hourly table 12 h
@@ -32,8 +32,8 @@ SMA_ROWS = 4
 DISPLAY_DAY = 38
 DISPLAY_HOUR = 24
 DEFAULT_VISIBLE = ("nasdaq_index", "wallstreetbets")
-COMMUNITIES = ("wallstreetbets", "stocks", "investing", "StockMarket",
-               "options", "pennystocks", "CryptoCurrency", "Bitcoin")
+COMMUNITIES = ("wallstreetbets", "bitcoin", "stocks", "StockMarket",
+               "investing", "cryptocurrency", "ethereum", "altcoin")
 NEWEST_N = 1000
 SCORER_VERSION = "SentimentAnalyzer_v1"
 FRESHNESS_POSTS_S = 1 * HOUR

@@ -17,7 +17,7 @@ from moodcast import schemas as S
 from moodcast.operators.buckets import EXACT_COL, bucket_sums, moving_average, rollup_sums
 from moodcast.operators.composite import composite_sentiment, retention_cutoff
 from moodcast.operators.upsert import upsert_rows
-from moodcast.sources.store import PART, as_store, date_of, merge_into, stage
+from moodcast.sources.store import PART, as_store, date_of, merge_into, stage, unstage
 
 KEYS = ["timestamp", "subreddit"]
 
@@ -79,10 +79,6 @@ def run_analysis(spark: SparkSession, root, p: P.AnalysisParams, run_id: str,
         upd = stage(spark, upd, f"days_sma_{run_id}")
     merge_into(spark, store, "analyzed_by_created_days", S.DAILY, upd.withColumn(PART, date_of("timestamp")),
                lambda stored, u: upsert_rows(stored, u, KEYS), f"days_{run_id}")
-
-
-def hourly_daily(posts, scores, sentiments, as_of, retention_days=P.RETENTION_DAYS):
-    """Convenience for tests: (hourly, daily) without any storage."""
-    return analysis_frames(posts, scores, sentiments, P.AnalysisParams(as_of, retention_days))
-
-
+    unstage(spark, staged)
+    if upd is not daily:
+        unstage(spark, upd)

@@ -11,13 +11,14 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from moodcast import params as P
 from moodcast import schemas as S
 from moodcast.operators import text as T
 from moodcast.operators.ingest import incremental_sentiment
 from moodcast.operators.upsert import upsert_posts, upsert_scores
-from moodcast.sources.store import as_store, merge_into, stage, with_dt
+from moodcast.sources.store import as_store, merge_into, stage, unstage, with_dt
 from moodcast.sources.tables import conform
 
 TABLES = {
@@ -40,9 +41,16 @@ class IngestReport:
 def run_ingest(spark: SparkSession, root, batch: DataFrame, lexicon: DataFrame,
                as_of: int, batch_id: str, version: str = P.SCORER_VERSION,
                rules: T.Rules = T.FULL) -> IngestReport:
-    """Apply one batch to the three post tables."""
-    b = with_dt(conform(batch, S.RAW_POSTS), "created")
-    b = stage(spark, b, f"batch_{batch_id}")   # read three times: read it from here
+    """Apply one batch to the three post tables.
+
+    Rows without an id or a creation time (such as malformed landed lines) are
+    set aside and counted as ``rejected``.
+    """
+    raw = stage(spark, with_dt(conform(batch, S.RAW_POSTS), "created"), f"batch_{batch_id}")
+    whole = F.col("id").isNotNull() & F.col("created").isNotNull()
+    b = raw.filter(whole)   # read three times: from the staged table
+    per_date = {r["dt"]: r["n"] for r in b.groupBy("dt").agg(F.count("*").alias("n")).collect()}
+    dates, rejected = sorted(per_date), raw.filter(~whole).count()
 
     store = as_store(root)
     obs = {k: Observation(f"{k}_{batch_id}_{uuid.uuid4().hex[:8]}")
@@ -51,21 +59,21 @@ def run_ingest(spark: SparkSession, root, batch: DataFrame, lexicon: DataFrame,
         spark, store, "submission_sentiments", S.SUBMISSION_SENTIMENTS, b,
         lambda stored, u: incremental_sentiment(stored, u, lexicon, as_of, version, rules,
                                                 observation=obs["sentiments"])[0],
-        f"sentiments_{batch_id}")
+        f"sentiments_{batch_id}", dates)
     fields = [f for f in S.POST_FIELDS if f != "id"] + ["dt"]
     merge_into(
         spark, store, "submissions", S.SUBMISSIONS, b,
         lambda stored, u: upsert_posts(stored, u.drop("title", "selftext"), fields,
                                        observation=obs["posts"])[0],
-        f"posts_{batch_id}")
+        f"posts_{batch_id}", dates)
     merge_into(
         spark, store, "submission_scores", S.SUBMISSION_SCORES, b,
         lambda stored, u: upsert_scores(
             stored, u.selectExpr("id", "polled_at as timestamp", *S.SCORE_METRICS, "dt")
                      .dropDuplicates(["id", "timestamp"]), observation=obs["scores"])[0],
-        f"scores_{batch_id}")
-    dates = sorted(r[0] for r in b.select("dt").distinct().collect())
-    counts = {"total": b.count(),
+        f"scores_{batch_id}", dates)
+    unstage(spark, raw)
+    counts = {"total": sum(per_date.values()), "rejected": rejected,
               "new_posts": obs["posts"].get.get("inserted", 0),
               "score_updates": obs["scores"].get.get("changed", 0),
               "sentiment_updates": obs["sentiments"].get.get("scored", 0)}

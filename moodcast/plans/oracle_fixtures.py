@@ -51,11 +51,16 @@ select 'b' || "timestamp", 'bitcoin',
   || '<tr><td>no attribute</td><td>z</td></tr></tbody></table></div>'
 from finance_indexes where name = 'bitcoin'""",
     "scores_old": """
-select * from submission_scores where cast(id as bigint) < 6000""",
+select * from submission_scores where cast(id as bigint) % 10 < 6""",
     "scores_new": """
-select id, "timestamp" + 1200 "timestamp", upvote_ratio, ups,
-  case when cast(id as bigint) % 3 = 0 then score + 5 else score end score, num_comments
-from submission_scores where cast(id as bigint) >= 4000""",
+select id, "timestamp" + 1200 * (k + 1) "timestamp", upvote_ratio, ups,
+  cast(score + case when k = 1 or (k = 2 and cast(id as bigint) % 2 = 0) then
+      case when cast(id as bigint) % 5 = 0 then 9 when cast(id as bigint) % 3 = 0 then 5 else 0 end
+    when cast(id as bigint) % 3 = 0 then 5 else 0 end as int) score, num_comments
+from (select *, unnest(range(0, 2 + cast(id as bigint) % 3)) k from submission_scores where cast(id as bigint) % 10 >= 4) p""",
+    "polled_posts": """
+select * replace (['wallstreetbets', 'bitcoin', 'stocks', 'StockMarket', 'investing', 'cryptocurrency', 'ethereum',
+  'altcoin', 'Bitcoin', 'options'][cast(id as bigint) % 10 + 1] as subreddit) from submissions""",
     "raw_posts": """
 select cast(doc_id as varchar) id, source subreddit, substr(text, 1, 40) title, text selftext,
   1704067200 + doc_id * 600 created,
@@ -82,6 +87,7 @@ union all select 'for', cast(0.6 as double)""",
 # Views a view reads (so they are emitted first).
 DEPENDS = {
     "price_pages": ["finance_indexes"],
+    "polled_posts": ["submissions"],
     "scores_old": ["submission_scores"],
     "scores_new": ["submission_scores"],
     "poll_batch": ["raw_posts"],

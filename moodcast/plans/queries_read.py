@@ -111,9 +111,14 @@ def q_chart_hour(fx):
     return chart_series(_hourly(fx), HOUR_START, HOUR_END, False)
 
 
-@register("q_series_arrays")
+@register("q_series_arrays", _sql(f"""
+select series, visible, cast(row_number() over (partition by series order by "timestamp", "value", tooltip) - 1
+  as integer) "position", "timestamp", "value", tooltip from ({CHART_DAY_SQL}) c""", ["finance_indexes"], result=True))
 def q_series_arrays(fx):
-    return series_arrays(chart_series(_daily(fx), DAY_START, DAY_END, True, fx.finance_indexes()))
+    """The points of each series' array with their position."""
+    arrays = series_arrays(chart_series(_daily(fx), DAY_START, DAY_END, True, fx.finance_indexes()))
+    return (arrays.select("series", "visible", F.posexplode("points").alias("position", "point"))
+            .select("series", "visible", "position", "point.*"))
 
 
 @register("q_series_visible", _sql(f"select distinct series, visible from ({CHART_DAY_SQL}) c",
@@ -240,3 +245,14 @@ select *, cast(row_number() over (partition by subreddit order by created desc,
 from submissions qualify "rank" <= {P.NEWEST_N}""", ["submissions"]))
 def q_newest_n(fx):
     return newest_n(fx.submissions(), P.NEWEST_N)
+
+
+_POLLED = ", ".join(f"'{c}'" for c in P.COMMUNITIES)
+
+
+@register("q_newest_polled", _sql(f"""
+select *, cast(row_number() over (partition by subreddit order by created desc, id) as int) "rank"
+from polled_posts where subreddit in ({_POLLED}) qualify "rank" <= {P.NEWEST_N}""",
+                                  ["submissions", "polled_posts"]))
+def q_newest_polled(fx):
+    return newest_n(fx.polled_posts(), P.NEWEST_N, communities=P.COMMUNITIES)

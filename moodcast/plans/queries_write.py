@@ -156,22 +156,28 @@ def q_post_actions(fx):
 
 _METRICS = ["upvote_ratio", "ups", "score", "num_comments"]
 _DIFF_SCORES = " or ".join(f"o.{c} is distinct from n.{c}" for c in _METRICS)
+_SAME_SCORES = " and ".join(f"{c} is not distinct from lag({c}) over w" for c in _METRICS)
+# every stored and polled row of the polled ids, in order; chg: differs from the row before it
+SCORE_RUNS_SQL = f"""
+select *, row_number() over w = 1 or not ({_SAME_SCORES}) chg
+from (select 0 src, * from scores_old where id in (select id from scores_new)
+      union all select 1 src, * from scores_new) u
+window w as (partition by id order by src, "timestamp")"""
 
 
 @register("q_upsert_scores", with_fixtures(f"""
 select * from scores_old o where not exists (select 1 from scores_new n where n.id = o.id)
 union all
-select n.id, case when chg then n."timestamp" else o."timestamp" end "timestamp",
-  {", ".join(f"case when chg then n.{c} else o.{c} end {c}" for c in _METRICS)}
-from (select n.*, o.id is null or {_DIFF_SCORES} chg from scores_new n left join scores_old o on o.id = n.id) n
-left join scores_old o on o.id = n.id""", ["scores_old", "scores_new"]))
+select id, "timestamp", {", ".join(_METRICS)} from (
+  select *, row_number() over (partition by id order by src desc, "timestamp" desc) back from runs where chg) r
+where back = 1""", ["scores_old", "scores_new"], [("runs", SCORE_RUNS_SQL)]))
 def q_upsert_scores(fx):
     return upsert_scores(fx.scores_old(), fx.scores_new())[0]
 
 
-@register("q_score_changes", with_fixtures(f"""
-select n.id, n."timestamp", o.id is null or {_DIFF_SCORES} changed
-from scores_new n left join scores_old o on o.id = n.id""", ["scores_old", "scores_new"]))
+@register("q_score_changes", with_fixtures("""
+select id, "timestamp", chg changed from runs where src = 1""", ["scores_old", "scores_new"],
+                                           [("runs", SCORE_RUNS_SQL)]))
 def q_score_changes(fx):
     return upsert_scores(fx.scores_old(), fx.scores_new())[1]
 

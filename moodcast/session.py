@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,12 +46,15 @@ def build_session(master: str | None = None, app: str = "moodcast",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged writes.
 
-    Read from ``spark.checkpoint.dir`` (the cluster names a shared location);
-    only when it is unset -- local runs and tests -- a fresh scratch folder is
-    created and recorded in the session so every later call agrees.
+    Read from ``spark.checkpoint.dir`` (the cluster names a shared location).
+    Unset, a local master gets a fresh scratch folder, recorded in the session
+    so every later call agrees; a cluster's executors would not see such a
+    folder, so there it is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="moodcast-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:

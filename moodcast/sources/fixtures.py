@@ -93,16 +93,32 @@ def price_pages(events: DataFrame) -> DataFrame:
 
 
 def scores_old(events: DataFrame) -> DataFrame:
+    """The stored side: six tenths of the ids."""
     s = submission_scores(events)
-    return s.filter(F.col("id").cast("bigint") < 6000)
+    return s.filter(F.col("id").cast("bigint") % 10 < 6)
 
 
 def scores_new(events: DataFrame) -> DataFrame:
+    """Two to four polls of six tenths of the ids (a third of them not stored), 20 minutes apart.
+
+    Their scores follow patterns such as A, B, A and A, B, B.
+    """
     s = submission_scores(events)
-    score = F.when(F.col("id").cast("bigint") % 3 == 0, F.col("score") + 5).otherwise(F.col("score"))
-    return s.filter(F.col("id").cast("bigint") >= 4000).select(
-        "id", (F.col("timestamp") + 1200).alias("timestamp"), "upvote_ratio", "ups",
-        score.alias("score"), "num_comments")
+    d, k = F.col("id").cast("bigint"), F.col("k")
+    first = F.when(d % 3 == 0, 5).otherwise(0)
+    second = F.when(d % 5 == 0, 9).otherwise(first)
+    add = F.when(k == 1, second).when((k == 2) & (d % 2 == 0), second).otherwise(first)
+    polls = s.filter(d % 10 >= 4).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), 1 + d % 3)))
+    return polls.select(
+        "id", (F.col("timestamp") + 1200 * (k + 1)).alias("timestamp"), "upvote_ratio", "ups",
+        (F.col("score") + add).cast("int").alias("score"), "num_comments")
+
+
+def polled_posts(events: DataFrame) -> DataFrame:
+    """Posts dealt over the eight polled communities and two that are not polled."""
+    names = F.array(*[F.lit(c) for c in ("wallstreetbets", "bitcoin", "stocks", "StockMarket", "investing",
+                                         "cryptocurrency", "ethereum", "altcoin", "Bitcoin", "options")])
+    return submissions(events).withColumn("subreddit", F.get(names, (F.col("id").cast("bigint") % 10).cast("int")))
 
 
 def raw_posts(documents: DataFrame) -> DataFrame:
@@ -198,6 +214,9 @@ class Fixture:
     def scores_new(self):
         return scores_new(self.events)
 
+    def polled_posts(self):
+        return polled_posts(self.events)
+
     def raw_posts(self):
         return raw_posts(self.documents)
 

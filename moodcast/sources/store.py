@@ -14,6 +14,8 @@ Design (no lakehouse jar in the target image; see README):
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -26,9 +28,6 @@ from moodcast.session import scratch_path
 from moodcast.sources.tables import read_table
 
 PART = "dt"
-# A batch normally touches a handful of days; past this many distinct dates
-# the merge rewrites the table whole instead of listing partitions.
-MAX_LISTED_PARTITIONS = 10_000
 
 
 def date_of(epoch_col: str):
@@ -127,34 +126,52 @@ def as_store(root) -> TableStore:
     return root if isinstance(root, TableStore) else TableStore(str(root))
 
 
+def touched_dates(updates: DataFrame) -> list:
+    """The distinct dates of a batch: one value for each calendar day in it, None for rows without."""
+    return [r[0] for r in updates.select(PART).distinct().collect()]
+
+
 def merge_into(spark: SparkSession, store: TableStore, name: str, schema: T.StructType,
                updates: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame],
-               tag: str) -> None:
+               tag: str, dates: list | None = None) -> None:
     """Apply ``merge(stored_touched, updates)`` to the partitions ``updates`` touch.
 
-    ``updates`` must carry ``dt``. The list of touched dates is the only thing
-    collected to the driver; it is bounded by the calendar span of a batch.
+    ``updates`` must carry ``dt``. The list of touched dates (``dates``, if the
+    caller has it) is the only thing collected to the driver; it is bounded by
+    the calendar span of a batch. The partition of rows without a date is read
+    and replaced like any other.
+
     The merged rows are staged in the shared folder first, so the overwrite
-    never reads the files it replaces.
+    never reads the files it replaces. The stage belongs to this store, table
+    and ``tag``: when a run dies while partitions are replaced, its retry
+    with the same tag finds the complete stage and only repeats the overwrite. It
+    is removed once the overwrite has committed.
     """
+    path = scratch_path(spark, "merge", hashlib.md5(
+        f"{store.root}|{store.prefix}|{name}|{tag}".encode()).hexdigest())
     if not store.exists(spark, name):
         empty = spark.createDataFrame([], T.StructType(list(schema.fields) +
                                                        [T.StructField(PART, T.DateType())]))
-        store.create(stage(spark, merge(empty, updates), tag), name)
-        return
-    stored = store.read(spark, name, schema)
-    if PART in stored.columns:
-        dates = [r[0] for r in updates.select(PART).distinct().limit(MAX_LISTED_PARTITIONS + 1).collect()]
-        if len(dates) <= MAX_LISTED_PARTITIONS:
-            stored = stored.filter(F.col(PART).isin(dates))
-    store.replace_partitions(stage(spark, merge(stored, updates), tag), name)
+        store.create(_staged(spark, merge(empty, updates), path), name)
+    else:
+        stored = store.read(spark, name, schema)
+        if PART in stored.columns:
+            dates = touched_dates(updates) if dates is None else dates
+            touched = F.col(PART).isin([d for d in dates if d is not None])
+            stored = stored.filter(touched | F.col(PART).isNull() if None in dates else touched)
+        store.replace_partitions(_staged(spark, merge(stored, updates), path), name)
+    remove(spark, path)
+
 
+def _staged(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    if not table_exists(spark, f"{path}/_SUCCESS"):
+        write_table(df, path, dynamic=False)
+    return spark.read.schema(df.schema).parquet(path)
 
-def merge_partitions(spark: SparkSession, path: str, schema: T.StructType, updates: DataFrame,
-                     merge: Callable[[DataFrame, DataFrame], DataFrame], tag: str) -> None:
-    """``merge_into`` for a path-based table."""
-    root, name = path.rstrip("/").rsplit("/", 1)
-    merge_into(spark, TableStore(root), name, schema, updates, merge, tag)
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
 
 
 def publish_snapshot(spark: SparkSession, tables, dest_root: str, version: str) -> dict[str, str]:
@@ -170,24 +187,52 @@ def publish_snapshot(spark: SparkSession, tables, dest_root: str, version: str)
         sources = {n: store.read(spark, n, sch) for n, sch in schemas.items()}
     else:
         sources = {n: read_table(spark, path, sch) for n, (path, sch) in tables.items()}
+    if table_exists(spark, f"{dest_root}/{version}"):
+        raise ValueError(f"version {version} is published already")
     out = {}
     for name, df in sources.items():
         dst = f"{dest_root}/{version}/{name}"
-        write_table(df, dst)
+        write_table(df, dst, mode="errorifexists", dynamic=False)
         out[name] = dst
-    spark.createDataFrame([(version,)], "version string").coalesce(1) \
-        .write.mode("overwrite").text(f"{dest_root}/_current")
+    _point(spark, f"{dest_root}/_current", version)
     return out
 
 
+def _point(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file and rename it over ``path``, so that a reader always finds a whole one."""
+    jvm, fresh = spark.sparkContext._jvm, f"{path}.{uuid.uuid4().hex}"
+    fs, p = _fs(spark, fresh)
+    stream = fs.create(p)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(p, _fs(spark, path)[1], options)
+
+
 def current_snapshot(spark: SparkSession, dest_root: str) -> str:
-    return spark.read.text(f"{dest_root}/_current").first()[0]
+    fs, p = _fs(spark, f"{dest_root}/_current")
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def stage(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to a staging table in the shared folder and read it back:
+    """Write ``df`` to a staging table of its own in the shared folder and read it back:
     cuts lineage (the plan no longer reads its sources) and survives executor
-    loss, unlike a cache or a local checkpoint."""
-    path = scratch_path(spark, "stage", tag)
+    loss, unlike a cache or a local checkpoint. ``unstage`` removes it."""
+    path = scratch_path(spark, "stage", f"{tag}-{uuid.uuid4().hex}")
     write_table(df, path, dynamic=False)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def unstage(spark: SparkSession, tag_path: DataFrame) -> None:
+    """Remove a table made by ``stage`` that nothing reads any more."""
+    for f in tag_path.inputFiles()[:1]:
+        root = f.split("/stage/")[0] + "/stage/" + f.split("/stage/")[1].split("/")[0]
+        remove(spark, root)

@@ -24,16 +24,15 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType,
     prune directories.
     """
     fields = list(schema.fields)
-    if partition_col and _has_partition(path, partition_col):
+    if partition_col and _has_partition(spark, path, partition_col):
         fields.append(T.StructField(partition_col, T.DateType(), True))
     return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
-def _has_partition(path: str, col: str) -> bool:
-    try:
-        return any(n.startswith(col + "=") for n in os.listdir(path))
-    except OSError:
-        return False
+def _has_partition(spark: SparkSession, path: str, col: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and any(s.getPath().getName().startswith(col + "=") for s in fs.listStatus(p))
 
 
 def conform(df: DataFrame, schema: T.StructType, keep: tuple = ("dt",)) -> DataFrame:

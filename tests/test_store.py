@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from moodcast import params as P
@@ -152,3 +153,103 @@ def test_bucketed_store_joins_without_shuffle(spark, tmp_root):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
+
+
+def _post(i, created, polled, score):
+    return (i, "stocks", "a title long enough", "word " * 30, created, polled, score)
+
+
+_POST = "id string, subreddit string, title string, selftext string, created long, polled_at long, score int"
+
+
+def test_rows_without_id_or_time_are_set_aside_and_nothing_is_lost(spark, tmp_root):
+    lex = FX.lexicon(spark)
+    one = spark.createDataFrame([_post("a", 1704067200, 1, 3), _post("k", None, 1, 3)], _POST)
+    two = spark.createDataFrame([_post("b", 1704067300, 2, 3), _post("z", None, 2, 3), _post(None, 1704067300, 2, 3)], _POST)
+    assert run_ingest(spark, tmp_root, one, lex, FX.AS_OF, "n1").counts["rejected"] == 1
+    report = run_ingest(spark, tmp_root, two, lex, FX.AS_OF, "n2")
+    assert report.counts["rejected"] == 2 and report.counts["total"] == 1
+    ids = [r["id"] for r in read_table(spark, f"{tmp_root}/submissions", S.SUBMISSIONS).collect()]
+    assert sorted(ids) == ["a", "b"]
+
+
+def test_null_partition_is_merged_not_replaced(spark, tmp_root):
+    from moodcast.operators.upsert import upsert_rows
+    from moodcast.sources.store import TableStore, merge_into
+
+    store = TableStore(tmp_root)
+    for k, i in enumerate("ab"):
+        rows_ = with_dt(spark.createDataFrame([(i, None, k)], "id string, created long, score int"), "created")
+        merge_into(spark, store, "t", rows_.drop("dt").schema, rows_, lambda s, u: upsert_rows(s, u, ["id"]), f"m{k}")
+    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_root}/t").collect()) == ["a", "b"]
+
+
+def test_two_stores_with_one_batch_id_and_no_staging_left(spark, tmp_root):
+    from moodcast.session import checkpoint_dir
+
+    def left():
+        top = checkpoint_dir(spark)
+        return {os.path.join(d, n) for k in ("stage", "merge") if os.path.isdir(f"{top}/{k}")
+                for d, names, _ in os.walk(f"{top}/{k}") for n in names}
+
+    lex, before = FX.lexicon(spark), left()
+    for name in "xy":
+        df = spark.createDataFrame([_post(name, 1704067200, 1, 3)], _POST)
+        run_ingest(spark, f"{tmp_root}/{name}", df, lex, FX.AS_OF, "same")
+    for name in "xy":
+        t = read_table(spark, f"{tmp_root}/{name}/submissions", S.SUBMISSIONS)
+        assert [r["id"] for r in t.collect()] == [name]
+    assert left() == before
+
+
+def test_retry_after_a_failure_while_partitions_are_replaced(spark, tmp_root, monkeypatch):
+    from moodcast.operators.upsert import upsert_rows
+    from moodcast.sources.store import TableStore, merge_into
+
+    store = TableStore(tmp_root)
+    schema = "id string, created long, score int"
+
+    def merge(rows_, tag):
+        df = with_dt(spark.createDataFrame(rows_, schema), "created")
+        merge_into(spark, store, "t", df.drop("dt").schema, df, lambda s, u: upsert_rows(s, u, ["id"]), tag)
+
+    merge([("a", 0, 1), ("b", 0, 1)], "r0")
+    replace = TableStore.replace_partitions
+
+    def dies(self, df, name):
+        import shutil
+        shutil.rmtree(f"{tmp_root}/t/dt=1970-01-01")   # half replaced
+        raise OSError("lost")
+
+    monkeypatch.setattr(TableStore, "replace_partitions", dies)
+    with pytest.raises(OSError):
+        merge([("b", 0, 2)], "r1")
+    monkeypatch.setattr(TableStore, "replace_partitions", replace)
+    merge([("b", 0, 2)], "r1")
+    spark.catalog.refreshByPath(f"{tmp_root}/t")
+    assert sorted((r["id"], r["score"]) for r in spark.read.parquet(f"{tmp_root}/t").collect()) == [("a", 1), ("b", 2)]
+
+
+def test_publish_replaces_and_refuses(spark, tmp_root):
+    src, dest = f"{tmp_root}/src", f"{tmp_root}/serve"
+    schema = S.SUBMISSION_SCORES
+    df = spark.createDataFrame([("a", 0, 1.0, 1, 1, 1), ("b", 86400, 1.0, 1, 1, 1)], schema)
+    write_table(with_dt(df, "timestamp"), src, dynamic=False)
+    publish_snapshot(spark, {"t": (src, schema)}, dest, "v1")
+    write_table(with_dt(df.limit(1), "timestamp"), src, dynamic=False)
+    out = publish_snapshot(spark, {"t": (src, schema)}, dest, "v2")
+    assert current_snapshot(spark, dest) == "v2" and spark.read.parquet(out["t"]).count() == 1
+    with pytest.raises(ValueError):
+        publish_snapshot(spark, {"t": (src, schema)}, dest, "v2")
+    assert current_snapshot(spark, dest) == "v2"
+
+
+def test_unset_shared_folder_raises_on_a_cluster():
+    from types import SimpleNamespace
+
+    from moodcast.session import checkpoint_dir
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None),
+                           sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(fake)

@@ -274,3 +274,28 @@ def test_read_valence_file(spark, tmp_path):
     p.write_text('good\t1.9\t0.9\t[2, 1, 2]\n":)"\t2.0\t0.5\t[2, 2]\nBAD\t-2.5\t0.6\t[-3, -2]\nbroken line\n')
     got = dict((r.word, r.valence) for r in read_valence_file(spark, str(p)).collect())
     assert got == {"good": 1.9, '":)"': 2.0, "bad": -2.5}
+
+
+def test_polled_communities_are_the_eight():
+    from moodcast import params
+
+    assert params.COMMUNITIES == ("wallstreetbets", "bitcoin", "stocks", "StockMarket",
+                                  "investing", "cryptocurrency", "ethereum", "altcoin")
+
+
+def test_score_fixtures_grow_with_events(spark):
+    from moodcast.sources import fixtures as FX
+    from moodcast.sources.tables import load
+
+    small, large = (load(spark, f"/root/testdata/sf{s}", "events") for s in ("0.001", "0.01"))
+    for view in (FX.scores_old, FX.scores_new, FX.submissions, FX.polled_posts):
+        assert view(large).count() > 5 * view(small).count()
+
+
+def test_repeated_lexicon_words_count_once(spark):
+    from moodcast.operators.text import text_sentiment
+
+    once = spark.createDataFrame([("good", 1.9)], "word string, valence double")
+    df = spark.createDataFrame([(1, "a good day")], "id long, text string")
+    got = [text_sentiment(df, "id", "text", lex).first()["sentiment"] for lex in (once, once.union(once))]
+    assert got[0] == got[1]
