@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodcast import params as P
@@ -33,6 +33,23 @@ def lexicon_scorer(lexicon: DataFrame, rules: T.Rules = T.FULL) -> Scorer:
     return score
 
 
+def sentiment_todo(stored: DataFrame, batch: DataFrame, version: str = P.SCORER_VERSION,
+                   order: str | None = "polled_at") -> tuple[DataFrame, DataFrame]:
+    """FIL-10: (gated polls with their hash, keys of the latest polls whose hash is not stored).
+
+    The text is hashed in the scan (FN-9); reducing to the latest poll and the
+    anti join on (id, hash) move narrow rows only.
+    """
+    part = ["dt"] if "dt" in batch.columns else []
+    order = order if order and order in batch.columns else None
+    g = scoring_gate(batch).select("id", "title", "selftext", *part, *([order] if order else []))
+    hashed = g.withColumn("hash_check", content_hash("title", "selftext", version))
+    keys = hashed.select("id", "hash_check", *([order] if order else []))
+    if order:
+        keys = latest_per_key(keys, ["id"], [order])
+    return hashed, keys.join(stored.select("id", "hash_check"), ["id", "hash_check"], "left_anti")
+
+
 def incremental_sentiment(stored: DataFrame, batch: DataFrame, lexicon: DataFrame | None, as_of: int,
                           version: str = P.SCORER_VERSION, rules: T.Rules = T.FULL,
                           order: str | None = "polled_at",
@@ -40,21 +57,19 @@ def incremental_sentiment(stored: DataFrame, batch: DataFrame, lexicon: DataFram
                           observation=None) -> tuple[DataFrame, DataFrame]:
     """SNK-5: (merged sentiments, rows scored in this batch).
 
-    Hash first (FN-9), drop posts whose (id, hash) is already stored with a
-    left anti join (FIL-10), score only the rest -- the expensive step -- and
-    upsert. ``updated_timestamp`` is ``as_of``. ``scorer`` replaces the lexicon
+    ``sentiment_todo`` finds the posts to score from hashes; only their text is
+    then fetched with a semi join and scored -- the expensive step -- and
+    upserted. ``updated_timestamp`` is ``as_of``. ``scorer`` replaces the lexicon
     job, e.g. with a model run as a pandas UDF over Arrow batches; it gets
     ``(id, text, carry...)`` and returns ``(id, sentiment, carry...)``. Give a
     scorer its own ``version`` so a model change re-scores every post.
     """
-    g = scoring_gate(batch)
     part = ["dt"] if "dt" in batch.columns else []
-    g = g.select("id", "title", "selftext", *part,
-                 *([order] if order and order in batch.columns else []))
-    if order and order in batch.columns:
-        g = latest_per_key(g, ["id"], [order]).drop(order)
-    h = g.withColumn("hash_check", content_hash("title", "selftext", version))
-    todo = h.join(stored.select("id", "hash_check"), ["id", "hash_check"], "left_anti")
+    hashed, keys = sentiment_todo(stored, batch, version, order)
+    todo = hashed.join(keys, keys.columns, "left_semi")
+    # a redelivered poll has its row twice
+    todo = (todo.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("hash_check")))
+            .filter("_n = 1"))
     score = scorer or lexicon_scorer(lexicon, rules)
     scored = score(todo.select("id", T.post_text("title", "selftext").alias("text"), "hash_check", *part),
                    ["hash_check", *part])
@@ -106,7 +121,9 @@ class IngestResult:
         pa = self.post_actions.agg(F.count(F.lit(1)).alias("total"),
                                    F.count_if(F.col("action") == "new").alias("new_posts"))
         sa = self.score_actions.agg(F.count_if("changed").alias("score_updates"))
-        sc = self.scored.agg(F.count(F.lit(1)).alias("sentiment_updates"))
+        # counted by their hashes: no text is scored for it
+        batch, _, _, sentiments, _, _, version, _ = self._args
+        sc = sentiment_todo(sentiments, batch, version)[1].agg(F.count(F.lit(1)).alias("sentiment_updates"))
 
         def long(df, names):
             pairs = ", ".join(f"'{n}', cast({n} as bigint)" for n in names)

@@ -69,3 +69,21 @@ def test_aggregations_are_two_phase(spark):
 def test_retention_days_param_changes_result(spark):
     q = E.queries()["q_composite"](spark, SF_SMALL).count()
     assert q > 0 and P.RETENTION_DAYS == 90
+
+
+def test_ingest_hashes_first(spark):
+    """The anti join on hashes moves no text, and counting updates splits no text into tokens."""
+    from moodcast.operators.ingest import sentiment_todo
+    from moodcast.sources.fixtures import Fixture
+
+    fx = Fixture(spark, SF_SMALL)
+    keys = sentiment_todo(fx.stored_sentiments(), fx.poll_batch())[1]
+    assert keys.columns == ["id", "hash_check", "polled_at"]
+    for line in plan(keys).splitlines():
+        if "Exchange" in line or "SortAggregate" in line:
+            assert "selftext" not in line
+    assert "regexp_extract_all" not in plan(E.queries()["q_ingest_counts"](spark, SF_SMALL))
+
+
+def test_newest_has_two_levels(spark):
+    assert plan(E.queries()["q_newest_n"](spark, SF_SMALL)).count("WindowGroupLimit") >= 3
