@@ -1,23 +1,8 @@
-"""Join helpers: broadcast only behind a size check, shared partition keys."""
+"""Join helper: the keys shared by tables partitioned by post date."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from moodcast import params as P
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = P.BROADCAST_MAX_ROWS,
-                       known_rows: int | None = None) -> DataFrame:
-    """Hint ``df`` as broadcast when it has at most ``max_rows`` rows.
-
-    The count is one cheap job over a dimension-sized table; past the bound the
-    plain DataFrame is returned and Spark uses a shuffle join (AQE may still
-    switch to broadcast at runtime from real sizes).
-    """
-    n = df.count() if known_rows is None else known_rows
-    return F.broadcast(df) if n <= max_rows else df
 
 
 def join_keys(*dfs: DataFrame, key: str = "id") -> list[str]:
@@ -28,26 +13,3 @@ def join_keys(*dfs: DataFrame, key: str = "id") -> list[str]:
     if all("dt" in d.columns for d in dfs):
         return [key, "dt"]
     return [key]
-
-
-def ensure_parallelism(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread ``df`` on ``key`` when it has fewer partitions than the
-    cluster has cores (e.g. one large unsplittable file) before per-row heavy
-    work. On a big table the file splits already exceed the core count and
-    nothing is added.
-
-    Only a plan without a shuffle is inspected: its partition count comes from
-    the file listing, no job runs. (Asking an adaptive plan with shuffles for
-    its partitions would execute those shuffles first.) A plan that already
-    shuffles has the configured shuffle parallelism.
-    """
-    try:
-        if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-            return df
-        target = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 -- e.g. a remote session without plan access
-        return df
-    if parts < target:
-        return df.repartition(target, key)
-    return df

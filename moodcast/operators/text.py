@@ -1,23 +1,25 @@
 """TXT-1..5: lexicon sentiment of post text as a Spark job.
 
-Plan (one pass over the text, no Python):
+Plan (no Python, the same one whatever the sizes are):
 
-  docs --regexp_extract_all--> sentences --posexplode--> one row per sentence
-       --regexp_extract_all--> tokens with their three predecessors
+  docs --split--> sentences --posexplode--> one row per sentence
+       --split, transform--> tokens with the three before and the two after
        --explode--> one row per token
-       --broadcast hash join (size-checked lexicon)--> valence per token
-       --filter: lexicon hits only (plus one marker row per doc)-->
+       --inner join with the lexicon--> lexicon hits only
+       --three look-ups of the preceding words in the lexicon-->
        --group by (doc, sentence), partial then final--> sentence polarity
+  union one row per doc with its sentence count, which meets no lexicon
        --group by doc, partial then final--> mean over all sentences
 
-Only lexicon hits cross the first shuffle; the marker row keeps a doc with no
-hit (its sentiment is 0, or NULL when it has no sentence) and carries the
-sentence count, so no join back to the documents is needed. Both groupings
+Spark decides how to join from the lexicon's size in bytes: below its broadcast
+threshold no token crosses a shuffle, beyond it AQE splits frequent words. The
+rows that keep a doc without hits (sentiment 0, or NULL without a sentence) come
+from a second read of the text, so they never enter that join. Both groupings
 pre-aggregate map side, so a document or a sentence holding a third of all
-tokens is split over the map tasks before it meets one reducer.
+tokens is summed in its map task.
 
-Rule constants come from the published VADER method (Hutto and Gilbert, 2014);
-the lexicon itself is an input table.
+The rules are those of VADER (Hutto and Gilbert, 2014) in its NLTK 3.8 port; the
+lexicon itself is an input table.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ from pyspark.sql import functions as F
 
 from moodcast import params as P
 from moodcast.functions.exprs import col_, round_half_up
-from moodcast.operators.joins import broadcast_if_small, ensure_parallelism
 
 # Fixed values (VADER method): compound normalisation, rule weights.
 ALPHA = 15.0            # compound = x / sqrt(x^2 + ALPHA)
@@ -37,6 +38,8 @@ B_INCR = 0.293          # degree word, intensifying
 B_DECR = -0.293         # degree word, dampening
 C_INCR = 0.733          # all-caps word in mixed-case text
 N_SCALAR = -0.74        # negated word
+NEVER_SO_2 = 1.5        # "never so/this" right before the word
+NEVER_SO_3 = 1.25       # "never so/this" one further before, or "so/this" with three words before
 BUT_BEFORE = 0.5        # words before "but"
 BUT_AFTER = 1.5         # words after "but"
 EXCL_WEIGHT = 0.292     # per "!", at most EXCL_MAX of them
@@ -58,36 +61,38 @@ NEGATIONS = (
     "without", "wont", "wouldnt", "won't", "wouldn't", "rarely", "seldom", "despite",
 )
 
-# Fixed values (VADER method): single-word degree modifiers.
+# Fixed values (VADER method): degree modifiers of one word, then of two (all dampening).
 BOOSTERS_UP = (
-    "absolutely", "amazingly", "awfully", "completely", "considerable", "considerably",
-    "decidedly", "deeply", "effing", "enormous", "enormously", "entirely", "especially",
-    "exceptional", "exceptionally", "extreme", "extremely", "fabulously", "flipping",
-    "flippin", "frackin", "fracking", "fricking", "frickin", "frigging", "friggin",
-    "fully", "fuckin", "fucking", "fuggin", "fugging", "greatly", "hella", "highly",
-    "hugely", "incredible", "incredibly", "intensely", "major", "majorly", "more", "most",
-    "particularly", "purely", "quite", "really", "remarkably", "so", "substantially",
-    "thoroughly", "total", "totally", "tremendous", "tremendously", "uber",
-    "unbelievably", "unusually", "utter", "utterly", "very",
+    "absolutely", "amazingly", "awfully", "completely", "considerably", "decidedly",
+    "deeply", "effing", "enormously", "entirely", "especially", "exceptionally",
+    "extremely", "fabulously", "flipping", "flippin", "fricking", "frickin", "frigging",
+    "friggin", "fully", "fucking", "greatly", "hella", "highly", "hugely", "incredibly",
+    "intensely", "majorly", "more", "most", "particularly", "purely", "quite", "really",
+    "remarkably", "so", "substantially", "thoroughly", "totally", "tremendously", "uber",
+    "unbelievably", "unusually", "utterly", "very",
 )
 BOOSTERS_DOWN = (
     "almost", "barely", "hardly", "kinda", "kindof", "kind-of", "less", "little",
-    "marginal", "marginally", "occasional", "occasionally", "partly", "scarce",
-    "scarcely", "slight", "slightly", "somewhat", "sorta", "sortof", "sort-of",
+    "marginally", "occasionally", "partly", "scarcely", "slightly", "somewhat",
+    "sorta", "sortof", "sort-of",
 )
+BOOSTER_PAIRS = ("just enough", "kind of", "sort of")
 
-# A sentence: a run up to a terminator (. ! ? or newline), trailing marks
-# included, holding at least one non-blank character. Blank runs are squeezed
-# to one space first, so the pattern cannot backtrack over long gaps.
-BLANKS_RE = r"[\t\r\f ]+"
-SENTENCE_RE = r"[^.!?\n]*[^.!?\n\t\r\f ][^.!?\n]*[.!?]*"
-# A token: a run of letters, digits and apostrophes, or a two/three-character
-# emoticon (eyes, optional nose, mouth); one-character tokens are dropped.
-TOKEN_RE = r"[\p{L}\p{N}']+|[:;=8][-'^]?[)(\]\[dDpPoO/\\|*]"
-
+# Fixed values (VADER method): idioms and the valence of a lexicon word in or after one.
+IDIOMS = (
+    ("the shit", 3.0), ("the bomb", 3.0), ("bad ass", 1.5), ("yeah right", -2.0),
+    ("cut the mustard", 2.0), ("kiss of death", -1.5), ("hand to mouth", -2.0),
+)
 
-# Lexicons up to this many words also filter tokens inside the arrays.
-PREFILTER_MAX_WORDS = 50_000
+# A sentence ends at a newline, or at a run of terminators (closing quotes and
+# brackets included) before a blank; a dot inside a URL or a number ends none.
+BLANKS_RE = r"[\t\r\f ]+"
+END_RE = r"""([.!?]+["')\]]*) """
+# A sentence holds at least one character that is neither blank nor terminator.
+CONTENT_RE = r"[^.!? ]"
+# ASCII punctuation, stripped from both ends of a token unless that leaves less
+# than two characters (emoticons).
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 @dataclass(frozen=True)
@@ -99,9 +104,10 @@ class Rules:
     caps: bool = True
     but: bool = True
     punctuation: bool = True
+    idioms: bool = True
 
 
-BASE = Rules(False, False, False, False, False)
+BASE = Rules(False, False, False, False, False, False)
 FULL = Rules()
 
 
@@ -111,22 +117,34 @@ def post_text(title, body) -> Column:
 
 
 def sentence_array(text) -> Column:
-    """All sentences of a text, in order (empty array for NULL text)."""
+    """All sentences of a text, trimmed, in order (empty array for NULL text)."""
     squeezed = F.regexp_replace(col_(text), BLANKS_RE, " ")
-    return F.coalesce(F.regexp_extract_all(squeezed, F.lit(SENTENCE_RE), 0),
+    parts = F.split(F.regexp_replace(squeezed, END_RE, "$1\n"), "\n")
+    return F.coalesce(F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s.rlike(CONTENT_RE)),
                       F.array().cast("array<string>"))
 
 
 def token_array(sentence) -> Column:
-    toks = F.regexp_extract_all(F.coalesce(col_(sentence), F.lit("")), F.lit(TOKEN_RE), 0)
-    return F.filter(toks, lambda t: F.char_length(t) > 1)
+    """Blank-separated tokens of two or more characters, without outer punctuation."""
+    toks = F.filter(F.split(col_(sentence), " "), lambda t: F.char_length(t) > 1)
+
+    def strip(t):
+        bare = F.btrim(t, F.lit(PUNCTUATION))
+        return F.when(F.char_length(bare) > 1, bare).otherwise(t)
+
+    return F.transform(toks, strip)
 
 
-def sentences(df: DataFrame, id_col: str, text) -> DataFrame:
-    """TXT-1: (id, sent_idx, sentence), sentence trimmed, sent_idx from 0."""
-    src = ensure_parallelism(df.select(F.col(id_col).alias("id"), col_(text).alias("_text")), "id")
-    return (src.select("id", F.posexplode(sentence_array("_text")).alias("sent_idx", "sentence"))
-            .withColumn("sentence", F.trim("sentence")))
+def _source(df: DataFrame, id_col: str, text, carry: list[str], spread: int | None) -> DataFrame:
+    src = df.select(F.col(id_col).alias("id"), col_(text).alias("_text"), *carry)
+    return src.repartition(spread, "id") if spread else src
+
+
+def sentences(df: DataFrame, id_col: str, text, spread: int | None = None) -> DataFrame:
+    """TXT-1: (id, sent_idx, sentence), sent_idx from 0. ``spread`` deals the
+    documents over so many tasks first (for input in few, unsplittable files)."""
+    return _source(df, id_col, text, [], spread).select(
+        "id", F.posexplode(sentence_array("_text")).alias("sent_idx", "sentence"))
 
 
 def _count_char(s: Column, ch: str) -> Column:
@@ -145,8 +163,7 @@ def _sql_str(w: str) -> str:
 
 
 def _in_words(expr_sql: str, words) -> Column:
-    """``<expr> IN (<words>)`` parsed once on the JVM: one call for the whole
-    list instead of one per literal (a lexicon has thousands of words)."""
+    """``<expr> IN (<words>)`` parsed once on the JVM: one call for the whole list."""
     return F.expr(f"{expr_sql} IN ({', '.join(_sql_str(w) for w in words)})")
 
 
@@ -155,204 +172,142 @@ def _is_upper(t: Column) -> Column:
     return t.rlike(r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$")
 
 
-def _is_negation(name: str) -> Column:
-    return _in_words(name, NEGATIONS) | F.col(name).contains("n't")
+def _is_negation(k: int) -> Column:
+    return _in_words(f"lower(p{k})", NEGATIONS) | F.lower(f"p{k}").contains("n't")
 
 
-def _token_rows(df: DataFrame, id_col: str, text, carry: list[str],
-                per_sentence_marker: bool, rules: Rules = FULL,
-                words: list[str] | None = None) -> DataFrame:
-    """One row per token (and marker rows), with sentence-level features.
+def _token_rows(sents: DataFrame) -> DataFrame:
+    """One row per token: ``w`` (lower case), ``tok``, ``pos``, its neighbours
+    ``p1..p3`` and ``n1, n2``, and the features of its sentence."""
+    toks = sents.select("id", "sent_idx", _punct_amp(F.col("sentence")).alias("_amp"),
+                        token_array("sentence").alias("_toks"))
+    n_caps = F.size(F.filter("_toks", _is_upper))
+    feats = toks.select("id", "sent_idx", "_amp", "_toks",
+                        (F.array_position(F.transform("_toks", F.lower), "but") - 1).cast("int").alias("_but"),
+                        ((n_caps > 0) & (n_caps < F.size("_toks"))).alias("_capdiff"))
 
-    Marker rows have ``pos`` -1 and no token. With ``per_sentence_marker`` a
-    sentence's first token (or a marker, for a sentence without tokens) stands
-    for the sentence; otherwise one marker per document carries its count.
+    def context(t, i):
+        return F.struct(F.lower(t).alias("w"), t.alias("tok"), i.alias("pos"),
+                        *[F.get(F.col("_toks"), i - k).alias(f"p{k}") for k in (1, 2, 3)],
+                        *[F.get(F.col("_toks"), i + k).alias(f"n{k}") for k in (1, 2)])
 
-    ``words`` (the lexicon's words, when its size is checked small) keeps only
-    the positions of lexicon words inside each token array -- a hashed ``IN``
-    test per token -- so only those become rows; every sentence still gets a
-    marker when ``per_sentence_marker``.
-    """
-    marker = F.array(F.lit(None).cast("string"))
-    # Each regex runs once per row: the arrays are materialised as columns
-    # and the features read those columns.
-    src = ensure_parallelism(df.select(F.col(id_col).alias("id"), col_(text).alias("_text"), *carry), "id")
-    docs = src.select("id", sentence_array("_text").alias("_sents"), *carry)
-    # The count is taken before the explode so exploded rows do not carry the
-    # whole sentence array (that would be quadratic in a long document).
-    docs = docs.select("id", "_sents", F.size("_sents").alias("n_sent"), *carry)
-    base = docs.select("id", "n_sent",
-                       F.posexplode(F.concat("_sents", marker)).alias("sent_idx", "sentence"),
-                       *carry)
-    with_toks = base.select("*", token_array("sentence").alias("_toks"))
-    # Lower-case once per token; lookups and context words read this array.
-    with_toks = with_toks.select("*", F.transform("_toks", F.lower).alias("_ltoks"))
-    feats = [_punct_amp(F.coalesce(F.col("sentence"), F.lit(""))).alias("_amp")]
-    if rules.but:
-        feats.append((F.array_position("_ltoks", "but") - 1).cast("int").alias("_but"))
-    if rules.caps:
-        n_caps = F.size(F.filter("_toks", _is_upper))
-        feats.append(((n_caps > 0) & (n_caps < F.size("_toks"))).alias("_capdiff"))
-    per_sent = with_toks.select("id", "n_sent", "sent_idx", "sentence", *carry, "_toks", "_ltoks", *feats)
-
-    context = rules.negation or rules.degree
-
-    def ctx(t, i):
-        fields = [F.get(F.col("_ltoks"), i).alias("w"), i.alias("pos")]
-        if rules.caps:
-            fields.append(t.alias("tok"))
-        if context:
-            fields += [F.get(F.col("_ltoks"), i - k).alias(f"p{k}") for k in (1, 2, 3)]
-        if rules.negation:
-            fields.append(F.get(F.col("_ltoks"), i + 1).alias("n1"))
-        return F.struct(*fields)
-
-    if words is None:
-        structs = F.transform(F.col("_toks"), ctx)
-    else:
-        hit_pos = F.expr(
-            "filter(if(size(_ltoks) > 0, sequence(0, size(_ltoks) - 1), cast(array() as array<int>)), "
-            f"i -> get(_ltoks, i) IN ({', '.join(_sql_str(w) for w in words) or 'NULL'}))")
-        structs = F.transform(hit_pos, lambda i: ctx(F.get(F.col("_toks"), i), i))
-        if per_sentence_marker:
-            # materialised once: read twice below (emptiness test and rows)
-            per_sent = per_sent.withColumn("_hits", structs)
-            structs = F.col("_hits")
-    null_s = F.lit(None).cast("string")
-    mark = F.struct(null_s.alias("w"), F.lit(-1).alias("pos"),
-                    *([null_s.alias("tok")] if rules.caps else []),
-                    *([null_s.alias(f"p{k}") for k in (1, 2, 3)] if context else []),
-                    *([null_s.alias("n1")] if rules.negation else []))
-    if per_sentence_marker:
-        # a sentence with no (kept) token is represented by a marker row
-        items = (F.when(F.col("sentence").isNull(), F.array().cast(_array_type(rules)))
-                 .when(F.size(structs) == 0, F.array(mark)).otherwise(structs))
-    else:
-        items = F.when(F.col("sentence").isNull(), F.array(mark)).otherwise(structs)
-    keep = ["id", "n_sent", "sent_idx", *carry]
-    keep += [n for n in ("_amp", "_but", "_capdiff") if n in per_sent.columns]
-    return per_sent.select(*keep, F.explode(items).alias("t")).select("*", "t.*").drop("t")
-
-
-def _array_type(rules: Rules) -> str:
-    fields = ["w:string", "pos:int"] + (["tok:string"] if rules.caps else [])
-    if rules.negation or rules.degree:
-        fields += ["p1:string", "p2:string", "p3:string"]
-    if rules.negation:
-        fields += ["n1:string"]
-    return f"array<struct<{','.join(fields)}>>"
+    return (feats.select("id", "sent_idx", "_amp", "_but", "_capdiff",
+                         F.explode(F.transform("_toks", context)).alias("t"))
+            .select("id", "sent_idx", "_amp", "_but", "_capdiff", "t.*"))
 
 
-def _valence(rules: Rules) -> list[tuple[str, Column]]:
-    """Successive (name, expression) steps turning ``valence`` into the
-    modified token value; kept as separate projections so no step's
-    expression is copied into the next. A row that is not a lexicon hit
-    (a marker) keeps value 0 whatever the rules say."""
-    steps = [("v", F.coalesce(F.col("valence"), F.lit(0.0)))]
-    v = F.col("v")
-    if rules.negation:
-        # "no" before a lexicon word scores 0 itself; a word up to three
-        # places after "no" (the third only across "or"/"nor") is negated
-        steps.append(("v", F.when((F.col("w") == "no") & F.col("_n1_lex"), F.lit(0.0)).otherwise(v)))
-        after_no = ((F.col("p1") == "no") | (F.col("p2") == "no") |
-                    ((F.col("p3") == "no") & F.col("p1").isin("or", "nor")))
-        steps.append(("v", F.when(after_no, F.col("valence") * F.lit(N_SCALAR)).otherwise(v)))
-    if rules.degree:
-        # a degree word only modifies its neighbours; it scores 0 itself
-        steps.append(("v", F.when(_in_words("w", BOOSTERS_UP + BOOSTERS_DOWN), F.lit(0.0))
-                      .otherwise(v)))
+def _idiom(phrase: Column, otherwise: Column) -> Column:
+    out = None
+    for text, valence in IDIOMS:
+        out = (F if out is None else out).when(phrase == text, F.lit(valence))
+    return out.otherwise(otherwise)
+
+
+def _valence(rules: Rules) -> list[Column]:
+    """Successive expressions for ``v``, each reading the one before; kept as
+    separate projections so no step's expression is copied into the next."""
+    v, steps = F.col("v"), []
     if rules.caps:
-        steps.append(("v", F.when(_is_upper(F.col("tok")) & F.col("_capdiff"),
-                                  F.when(v > 0, v + F.lit(C_INCR)).otherwise(v - F.lit(C_INCR)))
-                      .otherwise(v)))
+        steps.append(F.when(_is_upper(F.col("tok")) & F.col("_capdiff"),
+                            F.when(v > 0, v + F.lit(C_INCR)).otherwise(v - F.lit(C_INCR))).otherwise(v))
+    so = {k: F.coalesce(F.col(f"p{k}").isin("so", "this"), F.lit(False)) for k in (1, 2)}
     for k, scale in zip((1, 2, 3), DISTANCE_SCALE):
-        pk = F.col(f"p{k}")
+        # a preceding word that is itself in the lexicon modifies nothing
+        plain = F.col(f"p{k}").isNotNull() & ~F.col(f"_lex{k}")
         if rules.degree:
-            s = (F.when(_in_words(f"p{k}", BOOSTERS_UP), F.lit(B_INCR))
-                 .when(_in_words(f"p{k}", BOOSTERS_DOWN), F.lit(B_DECR)).otherwise(F.lit(0.0)))
-            sign = F.when(v < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-            steps.append(("v", v + s * sign * F.lit(scale)))
+            s = (F.when(_in_words(f"lower(p{k})", BOOSTERS_UP), F.lit(B_INCR))
+                 .when(_in_words(f"lower(p{k})", BOOSTERS_DOWN), F.lit(B_DECR)))
+            s = F.when(v < 0, -s).otherwise(s)
+            if rules.caps:
+                up = _is_upper(F.col(f"p{k}")) & F.col("_capdiff")
+                s = F.when(up, F.when(v > 0, s + F.lit(C_INCR)).otherwise(s - F.lit(C_INCR))).otherwise(s)
+            steps.append(v + F.coalesce(F.when(plain, s), F.lit(0.0)) * F.lit(scale))
         if rules.negation:
-            steps.append(("v", F.when(pk.isNotNull() & _is_negation(f"p{k}"), v * F.lit(N_SCALAR))
-                          .otherwise(v)))
+            negated = F.when(_is_negation(k), v * F.lit(N_SCALAR)).otherwise(v)
+            if k == 2:
+                negated = F.when((F.col("p2") == "never") & so[1], v * F.lit(NEVER_SO_2)).otherwise(negated)
+            if k == 3:
+                negated = F.when(((F.col("p3") == "never") & so[2]) | so[1],
+                                 v * F.lit(NEVER_SO_3)).otherwise(negated)
+            steps.append(F.when(plain, negated).otherwise(v))
+        if rules.idioms and k == 3:
+            # the first phrase around the word that is an idiom, then one that starts with it
+            first = v
+            for names in (("p3", "p2"), ("p3", "p2", "p1"), ("p2", "p1"), ("p2", "p1", "tok"), ("p1", "tok")):
+                first = _idiom(F.concat_ws(" ", *names), first)
+            steps.append(F.when(plain, first).otherwise(v))
+            for names in (("tok", "n1"), ("tok", "n1", "n2")):
+                steps.append(F.when(plain & F.col(names[-1]).isNotNull(), _idiom(F.concat_ws(" ", *names), v))
+                             .otherwise(v))
+        if rules.degree and k == 3:
+            pair = (F.concat_ws(" ", "p3", "p2").isin(*BOOSTER_PAIRS)
+                    | F.concat_ws(" ", "p2", "p1").isin(*BOOSTER_PAIRS))
+            steps.append(F.when(plain & pair, v + F.lit(B_DECR)).otherwise(v))
     if rules.negation:
         # "least" before a word negates it, except in "at least" / "very least"
-        least = (F.col("p1") == "least") & (F.col("p2").isNull() | ~F.col("p2").isin("at", "very"))
-        steps.append(("v", F.when(least, v * F.lit(N_SCALAR)).otherwise(v)))
+        least = ((F.lower("p1") == "least") & ~F.col("_lex1")
+                 & (F.col("p2").isNull() | ~F.lower("p2").isin("at", "very")))
+        steps.append(F.when(least, v * F.lit(N_SCALAR)).otherwise(v))
+    if rules.degree:
+        # a degree word only modifies its neighbours; it scores 0 itself
+        own = _in_words("w", BOOSTERS_UP + BOOSTERS_DOWN) | ((F.col("w") == "kind") & (F.lower("n1") == "of"))
+        steps.append(F.when(own, F.lit(0.0)).otherwise(v))
     if rules.but:
         b = F.col("_but")
-        steps.append(("v", F.when(b < 0, v).when(F.col("pos") < b, v * F.lit(BUT_BEFORE))
-                      .when(F.col("pos") > b, v * F.lit(BUT_AFTER)).otherwise(v)))
-    steps.append(("v", F.when(F.col("valence").isNull(), F.lit(0.0)).otherwise(v)))
+        steps.append(F.when(b < 0, v).when(F.col("pos") < b, v * F.lit(BUT_BEFORE))
+                     .when(F.col("pos") > b, v * F.lit(BUT_AFTER)).otherwise(v))
     return steps
 
 
-def _hits(df: DataFrame, id_col: str, text, lexicon: DataFrame, rules: Rules,
-          carry: list[str], per_sentence_marker: bool) -> DataFrame:
+def _sentence_scores(sents: DataFrame, lexicon: DataFrame, rules: Rules) -> DataFrame:
+    """(id, sent_idx, polarity) of the sentences with a lexicon word: exact sum of
+    token values, punctuation, compound."""
     # a repeated word counts once, with its strongest valence (the positive one of two equal)
-    lexicon = (lexicon.filter(F.col("word").isNotNull() & F.col("valence").isNotNull()).groupBy("word")
-               .agg(F.max(F.struct(F.abs("valence").alias("a"), "valence")).alias("s")).select("word", "s.valence"))
-    lex = lexicon.select(F.col("word").alias("w"), "valence")
-    # One bounded fetch answers both questions: is the lexicon small, and
-    # which words does it hold. Never more than PREFILTER_MAX_WORDS + 1 rows.
-    head = [r[0] for r in lex.select("w").limit(PREFILTER_MAX_WORDS + 1).collect()]
-    words, n_words = None, None
-    if len(head) <= PREFILTER_MAX_WORDS:
-        words, n_words = sorted({w for w in head if w is not None}), len(head)
-    toks = _token_rows(df, id_col, text, carry, per_sentence_marker, rules, words)
-    lex = broadcast_if_small(lex, known_rows=n_words)
-    # Without the in-array filter a sentence's first token stands in for it;
-    # with it, kept tokens are all hits and hit-less sentences carry markers.
-    first_stands_in = per_sentence_marker and words is None
-    marker = (F.col("pos") <= 0) if first_stands_in else (F.col("pos") == -1)
-    joined = toks.join(lex, "w", "left").filter(F.col("valence").isNotNull() | marker)
-    if rules.negation:
-        # is the next word a lexicon word? (second lookup, hit rows only)
-        nxt = broadcast_if_small(lexicon.select(F.col("word").alias("n1")).distinct()
-                                 .withColumn("_n1_lex", F.lit(True)), known_rows=n_words)
-        joined = joined.join(nxt, "n1", "left").withColumn(
-            "_n1_lex", F.coalesce(F.col("_n1_lex"), F.lit(False)))
-    out = joined
-    for name, expr in _valence(rules):
-        out = out.withColumn(name, expr)
-    return out
-
-
-def _sentence_scores(hits: DataFrame, rules: Rules, carry: list[str]) -> DataFrame:
-    """Per (id, sentence): exact sum of token values, punctuation, compound."""
+    lex = (lexicon.filter(F.col("word").isNotNull() & F.col("valence").isNotNull()).groupBy("word")
+           .agg(F.max(F.struct(F.abs("valence").alias("a"), "valence")).alias("s"))
+           .select(F.col("word").alias("w"), F.col("s.valence").alias("v")))
+    hits = _token_rows(sents).join(lex, "w")
+    if rules.negation or rules.degree or rules.idioms:
+        for k in (1, 2, 3):
+            seen = lex.select(F.col("w").alias(f"_w{k}"), F.col("v").alias(f"_v{k}"))
+            hits = (hits.join(seen, F.lower(f"p{k}") == F.col(f"_w{k}"), "left")
+                    .withColumn(f"_lex{k}", F.col(f"_w{k}").isNotNull()).drop(f"_w{k}", f"_v{k}"))
+    for expr in _valence(rules):
+        hits = hits.withColumn("v", expr)
     agg = hits.groupBy("id", "sent_idx").agg(
-        F.sum(F.col("v").cast(P.VALENCE_DECIMAL)).cast("double").alias("x"),
-        F.max("_amp").alias("_amp"), F.max("n_sent").alias("n_sent"),
-        *[F.max(c).alias(c) for c in carry])
+        F.sum(F.col("v").cast(P.VALENCE_DECIMAL)).cast("double").alias("x"), F.max("_amp").alias("_amp"))
     x = F.col("x")
     if rules.punctuation:
         x = (F.when(x > 0, x + F.col("_amp")).when(x < 0, x - F.col("_amp")).otherwise(x))
     compound = x / F.sqrt(x * x + F.lit(ALPHA))
-    return agg.withColumn("polarity", round_half_up(compound, COMPOUND_DIGITS))
+    return agg.select("id", "sent_idx", round_half_up(compound, COMPOUND_DIGITS).alias("polarity"))
 
 
 def sentence_polarity(df: DataFrame, id_col: str, text, lexicon: DataFrame,
-                      rules: Rules = FULL) -> DataFrame:
+                      rules: Rules = FULL, spread: int | None = None) -> DataFrame:
     """TXT-2: (id, sent_idx, polarity) for every sentence, neutral ones 0."""
-    hits = _hits(df, id_col, text, lexicon, rules, [], per_sentence_marker=True)
-    return _sentence_scores(hits, rules, []).select("id", "sent_idx", "polarity")
+    sents = sentences(df, id_col, text, spread)
+    every = sents.select("id", "sent_idx", F.lit(0.0).alias("polarity"))
+    return (_sentence_scores(sents, lexicon, rules).unionByName(every).groupBy("id", "sent_idx")
+            .agg(F.sum("polarity").alias("polarity")))
 
 
-def text_sentiment(df: DataFrame, id_col: str, text, lexicon: DataFrame,
-                   rules: Rules = FULL, carry: list[str] | tuple = ()) -> DataFrame:
+def text_sentiment(df: DataFrame, id_col: str, text, lexicon: DataFrame, rules: Rules = FULL,
+                   carry: list[str] | tuple = (), spread: int | None = None) -> DataFrame:
     """TXT-3: (id, n_sentences, sentiment[, carry...]) -- mean polarity over all
     sentences, neutral ones counting 0; NULL when the text has no sentence.
 
-    ``carry`` columns of ``df`` ride on the per-document marker row and come
-    out unchanged, so callers need no join back to the documents.
+    ``carry`` columns of ``df`` ride on the row that holds a document's sentence
+    count and come out unchanged, so callers need no join back to the documents.
     """
     carry = list(carry)
-    hits = _hits(df, id_col, text, lexicon, rules, carry, per_sentence_marker=False)
-    hits = hits.withColumns({c: F.when(F.col("pos") == -1, F.col(c)) for c in carry})
-    per_sent = _sentence_scores(hits, rules, carry)
-    per_doc = per_sent.groupBy("id").agg(
-        F.sum(F.col("polarity").cast(P.POLARITY_DECIMAL)).cast("double").alias("_s"),
-        F.max("n_sent").alias("n_sentences"), *[F.max(c).alias(c) for c in carry])
+    docs = _source(df, id_col, text, carry, spread).select(
+        "id", F.lit(0).cast(P.POLARITY_DECIMAL).alias("_p"), F.size(sentence_array("_text")).alias("n_sentences"), *carry)
+    scored = _sentence_scores(sentences(df, id_col, text, spread), lexicon, rules)
+    rows = docs.unionByName(scored.select("id", F.col("polarity").cast(P.POLARITY_DECIMAL).alias("_p")),
+                            allowMissingColumns=True)
+    per_doc = rows.groupBy("id").agg(
+        F.sum("_p").cast("double").alias("_s"), F.max("n_sentences").alias("n_sentences"),
+        *[F.max(c).alias(c) for c in carry])
     return per_doc.select("id", "n_sentences",
-                          F.try_divide(F.col("_s"), F.col("n_sentences")).alias("sentiment"),
-                          *carry)
+                          F.try_divide(F.col("_s"), F.col("n_sentences")).alias("sentiment"), *carry)

@@ -54,9 +54,6 @@ POLARITY_DECIMAL = "decimal(18,9)"
 # Token values after the rules have at most ~11 decimals; twelve keep them exact.
 VALENCE_DECIMAL = "decimal(18,12)"
 
-# Largest side we hint as broadcast without checking again (rows).
-BROADCAST_MAX_ROWS = 2_000_000
-
 
 @dataclass(frozen=True)
 class AnalysisParams:

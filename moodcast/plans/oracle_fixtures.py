@@ -77,6 +77,19 @@ select id, sha256(case when created < 1704240000 then 'SentimentAnalyzer_v1' els
   cast(1706572800 as bigint) updated_timestamp, cast(0.0 as double) sentiment_value
 from raw_posts
 where selftext is not null and title_length >= 10 and selftext_length >= 100""",
+    "rule_posts": """
+select * replace (case cast(id as bigint) % 10
+    when 0 then replace(selftext, ' the ', ' not the ')
+    when 1 then replace(selftext, ' the ', ' very the ')
+    when 2 then replace(selftext, ' the ', ' VERY the ')
+    when 3 then replace(selftext, ' the ', ' never so the ')
+    when 4 then replace(selftext, ' and ', ' but ')
+    when 5 then replace(selftext, ' the ', ' least the ')
+    when 6 then replace(selftext, ' the ', ' sort of the ')
+    when 7 then replace(selftext, ' the ', ' the bomb ')
+    when 8 then replace(selftext, ' the ', ' THE ')
+    when 9 then replace(selftext, ' the ', ' for very the ') end as selftext)
+from raw_posts""",
     "lexicon": """
 select 'the' word, cast(1.5 as double) valence
 union all select 'and', cast(-0.8 as double)
@@ -91,6 +104,7 @@ DEPENDS = {
     "scores_old": ["submission_scores"],
     "scores_new": ["submission_scores"],
     "poll_batch": ["raw_posts"],
+    "rule_posts": ["raw_posts"],
     "stored_sentiments": ["raw_posts"],
 }
 

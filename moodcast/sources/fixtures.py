@@ -169,7 +169,27 @@ TEST_LEXICON = [("the", 1.5), ("and", -0.8), ("that", -1.9), ("for", 0.6)]
 
 
 def lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEST_LEXICON, "word string, valence double")
+    # as VALUES, so that Spark knows its size as it does of a table in files
+    rows = ", ".join(f"('{word}', {valence!r}D)" for word, valence in TEST_LEXICON)
+    return spark.sql(f"select * from values {rows} as t(word, valence)")
+
+
+# The replacement of FIXTURES.md for each remainder of the id by ten,
+# in this order; together they reach every polarity rule.
+RULE_WORDS = [
+    (" the ", " not the "), (" the ", " very the "), (" the ", " VERY the "),
+    (" the ", " never so the "), (" and ", " but "), (" the ", " least the "),
+    (" the ", " sort of the "), (" the ", " the bomb "), (" the ", " THE "), (" the ", " for very the "),
+]
+
+
+def rule_posts(documents: DataFrame) -> DataFrame:
+    """raw_posts whose bodies hold negations, degree words, "but", idioms and capitals."""
+    body, kind = F.col("selftext"), F.col("id").cast("bigint") % 10
+    out = body
+    for i, (old, new) in enumerate(RULE_WORDS):
+        out = F.when(kind == i, F.replace(body, F.lit(old), F.lit(new))).otherwise(out)
+    return raw_posts(documents).withColumn("selftext", out)
 
 
 class Fixture:
@@ -220,6 +240,9 @@ class Fixture:
     def raw_posts(self):
         return raw_posts(self.documents)
 
+    def rule_posts(self):
+        return rule_posts(self.documents)
+
     def lexicon(self):
         if "_lexicon" not in self._tables:
             self._tables["_lexicon"] = lexicon(self.spark)

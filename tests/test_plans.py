@@ -38,6 +38,23 @@ def test_lexicon_join_is_broadcast(spark):
     assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
 
 
+def test_rows_without_hits_stay_outside_the_lexicon_join(spark):
+    """Only tokens meet the lexicon, in an inner join; the rows that keep a document join at a union above."""
+    p = E.queries()["q_text_sentiment"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in p.splitlines() if "Join " in line]
+    assert len(joins) == 1 and "Join Inner" in joins[0]
+    union, join = p.index("Union"), p.index("Join Inner")
+    assert union < join
+    assert "explode(" in p[join:]
+
+
+def test_planning_a_text_query_runs_no_job(spark):
+    lex = spark.range(3).selectExpr("cast(assert_true(id < 0) as string) word", "1.0D valence")
+    docs = spark.range(2).selectExpr("cast(id as string) id", "cast(assert_true(id < 0) as string) text")
+    from moodcast.operators import text as T
+    plan(T.text_sentiment(docs, "id", "text", lex))
+
+
 def test_newest_n_uses_group_limit(spark):
     df = E.queries()["q_newest_n"](spark, SF_SMALL)
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString() or \
