@@ -172,8 +172,25 @@ def _is_upper(t: Column) -> Column:
     return t.rlike(r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$")
 
 
-def _is_negation(k: int) -> Column:
-    return _in_words(f"lower(p{k})", NEGATIONS) | F.lower(f"p{k}").contains("n't")
+def _modifiers(hits: DataFrame, rules: Rules) -> DataFrame:
+    """What each preceding word does, as columns that the rules then read: ``_b1..3``
+    (degree), ``_u1..3`` (in capitals), ``_neg1..3``."""
+    out = hits.withColumns({f"l{k}": F.lower(f"p{k}") for k in (1, 2, 3)})
+    cols = {}
+    for k in (1, 2, 3):
+        # a preceding word that is itself in the lexicon modifies nothing
+        plain = F.col(f"l{k}").isNotNull() & ~F.col(f"_lex{k}")
+        cols[f"_plain{k}"] = plain
+        if rules.degree:
+            cols[f"_b{k}"] = F.when(plain & _in_words(f"l{k}", BOOSTERS_UP), F.lit(B_INCR)).when(
+                plain & _in_words(f"l{k}", BOOSTERS_DOWN), F.lit(B_DECR))
+        if rules.negation:
+            cols[f"_neg{k}"] = plain & (_in_words(f"l{k}", NEGATIONS) | F.col(f"l{k}").contains("n't"))
+    out = out.withColumns(cols)
+    if rules.degree and rules.caps:
+        out = out.withColumns({f"_u{k}": F.when(F.col(f"_b{k}").isNotNull() & F.col("_capdiff"),
+                                                _is_upper(F.col(f"p{k}"))).otherwise(False) for k in (1, 2, 3)})
+    return out
 
 
 def _token_rows(sents: DataFrame) -> DataFrame:
@@ -196,11 +213,10 @@ def _token_rows(sents: DataFrame) -> DataFrame:
             .select("id", "sent_idx", "_amp", "_but", "_capdiff", "t.*"))
 
 
-def _idiom(phrase: Column, otherwise: Column) -> Column:
-    out = None
-    for text, valence in IDIOMS:
-        out = (F if out is None else out).when(phrase == text, F.lit(valence))
-    return out.otherwise(otherwise)
+def _idiom(*phrases: tuple[str, ...]) -> Column:
+    """The valence of the first of the phrases (column names) that is an idiom, else NULL."""
+    known = F.create_map(*[F.lit(x) for pair in IDIOMS for x in pair])
+    return F.coalesce(*[F.try_element_at(known, F.concat_ws(" ", *names)) for names in phrases])
 
 
 def _valence(rules: Rules) -> list[Column]:
@@ -212,18 +228,15 @@ def _valence(rules: Rules) -> list[Column]:
                             F.when(v > 0, v + F.lit(C_INCR)).otherwise(v - F.lit(C_INCR))).otherwise(v))
     so = {k: F.coalesce(F.col(f"p{k}").isin("so", "this"), F.lit(False)) for k in (1, 2)}
     for k, scale in zip((1, 2, 3), DISTANCE_SCALE):
-        # a preceding word that is itself in the lexicon modifies nothing
-        plain = F.col(f"p{k}").isNotNull() & ~F.col(f"_lex{k}")
+        plain = F.col(f"_plain{k}") if rules.negation or rules.degree or rules.idioms else None
         if rules.degree:
-            s = (F.when(_in_words(f"lower(p{k})", BOOSTERS_UP), F.lit(B_INCR))
-                 .when(_in_words(f"lower(p{k})", BOOSTERS_DOWN), F.lit(B_DECR)))
-            s = F.when(v < 0, -s).otherwise(s)
+            b = F.when(v < 0, -F.col(f"_b{k}")).otherwise(F.col(f"_b{k}"))
             if rules.caps:
-                up = _is_upper(F.col(f"p{k}")) & F.col("_capdiff")
-                s = F.when(up, F.when(v > 0, s + F.lit(C_INCR)).otherwise(s - F.lit(C_INCR))).otherwise(s)
-            steps.append(v + F.coalesce(F.when(plain, s), F.lit(0.0)) * F.lit(scale))
+                b = b + F.when(F.col(f"_u{k}"), F.when(v > 0, F.lit(C_INCR)).otherwise(F.lit(-C_INCR))).otherwise(
+                    F.lit(0.0))
+            steps.append(v + F.coalesce(b, F.lit(0.0)) * F.lit(scale))
         if rules.negation:
-            negated = F.when(_is_negation(k), v * F.lit(N_SCALAR)).otherwise(v)
+            negated = F.when(F.col(f"_neg{k}"), v * F.lit(N_SCALAR)).otherwise(v)
             if k == 2:
                 negated = F.when((F.col("p2") == "never") & so[1], v * F.lit(NEVER_SO_2)).otherwise(negated)
             if k == 3:
@@ -231,22 +244,17 @@ def _valence(rules: Rules) -> list[Column]:
                                  v * F.lit(NEVER_SO_3)).otherwise(negated)
             steps.append(F.when(plain, negated).otherwise(v))
         if rules.idioms and k == 3:
-            # the first phrase around the word that is an idiom, then one that starts with it
-            first = v
-            for names in (("p3", "p2"), ("p3", "p2", "p1"), ("p2", "p1"), ("p2", "p1", "tok"), ("p1", "tok")):
-                first = _idiom(F.concat_ws(" ", *names), first)
-            steps.append(F.when(plain, first).otherwise(v))
-            for names in (("tok", "n1"), ("tok", "n1", "n2")):
-                steps.append(F.when(plain & F.col(names[-1]).isNotNull(), _idiom(F.concat_ws(" ", *names), v))
-                             .otherwise(v))
+            around = _idiom(("p1", "tok"), ("p2", "p1", "tok"), ("p2", "p1"), ("p3", "p2", "p1"), ("p3", "p2"))
+            from_here = _idiom(("tok", "n1", "n2"), ("tok", "n1"))
+            steps.append(F.when(plain, F.coalesce(from_here, around, v)).otherwise(v))
         if rules.degree and k == 3:
             pair = (F.concat_ws(" ", "p3", "p2").isin(*BOOSTER_PAIRS)
                     | F.concat_ws(" ", "p2", "p1").isin(*BOOSTER_PAIRS))
             steps.append(F.when(plain & pair, v + F.lit(B_DECR)).otherwise(v))
     if rules.negation:
         # "least" before a word negates it, except in "at least" / "very least"
-        least = ((F.lower("p1") == "least") & ~F.col("_lex1")
-                 & (F.col("p2").isNull() | ~F.lower("p2").isin("at", "very")))
+        least = ((F.col("l1") == "least") & ~F.col("_lex1")
+                 & (F.col("l2").isNull() | ~F.col("l2").isin("at", "very")))
         steps.append(F.when(least, v * F.lit(N_SCALAR)).otherwise(v))
     if rules.degree:
         # a degree word only modifies its neighbours; it scores 0 itself
@@ -272,6 +280,7 @@ def _sentence_scores(sents: DataFrame, lexicon: DataFrame, rules: Rules) -> Data
             seen = lex.select(F.col("w").alias(f"_w{k}"), F.col("v").alias(f"_v{k}"))
             hits = (hits.join(seen, F.lower(f"p{k}") == F.col(f"_w{k}"), "left")
                     .withColumn(f"_lex{k}", F.col(f"_w{k}").isNotNull()).drop(f"_w{k}", f"_v{k}"))
+        hits = _modifiers(hits, rules)
     for expr in _valence(rules):
         hits = hits.withColumn("v", expr)
     agg = hits.groupBy("id", "sent_idx").agg(
