@@ -3,18 +3,28 @@
 Three base patterns (assignments, access keys, hexadecimal runs) are found
 leftmost and without overlap. Besides, every run of 20 or more token characters
 is a candidate. Its encoding is inferred (the smallest alphabet that holds it)
-and three tests ask whether it is as random as a key of that encoding:
+and three tests look at it:
 
 * chi-squared statistic of the symbol counts against uniform counts,
 * number of runs above and below the middle of the alphabet,
 * serial correlation of neighbouring symbols.
 
-The null hypothesis of each test is that the run is structured: less uniform
-than ``EFFECT`` allows, or dependent by more than ``DEPENDENCE``. The p-value
-of a run is the largest of the three (all must reject), so short runs, which
-can't show randomness, keep large p-values. A Benjamini-Hochberg step with
-weights in proportion to length, over the runs of all documents, bounds the
-share of false discoveries by ``FDR``. The step needs only a histogram of the
+A run that one of them finds too far from random (``FAR`` standard deviations,
+either side) is structured: sequences, repetitions, few symbols. The others are
+held against ordinary text. Its model is a chain over the classes lower, upper,
+digit and mark, with letters by their frequency in European languages; a second
+one has the cases swapped, and the likelier one counts. The likelihood of
+independent uniform symbols over that of the text has mean 1 at most under the
+text model, so its inverse, times the number of encodings, bounds the p-value
+(Markov) at any length. Keys of 20 characters already differ clearly.
+
+What is structured, and numbers, which text has as well, can still be found
+when long: there the null hypothesis of each test is that the run is less
+uniform than its effect allows, or dependent by more than ``DEPENDENCE``, and the
+p-value is the largest of the three. The p-value of a run is twice the smaller
+of both, or this last one alone if the run is structured. A Benjamini-Hochberg step
+with weights in proportion to length, over the runs of all documents, bounds
+the share of false discoveries by ``FDR``. The step needs only a histogram of the
 weighted p-values (512 rows), not their order.
 
 All positions are code points, ends exclusive.
@@ -27,6 +37,8 @@ is left out; an empty table gives an empty result; extra columns are kept by
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +70,14 @@ ENCODINGS: tuple[tuple[str, str, float], ...] = (
     ("base66", UPPER + LOWER + DIGITS + "+/-_", 0.9),
 )
 DEPENDENCE = 0.5
+FAR = 3.5
+# text: letters in percent (a to z), and the next symbol's class (lower, upper, digit,
+# mark) at the start and after each class, in percent
+LETTER_RATES = (8.2, 1.5, 2.9, 4.3, 14.0, 1.5, 1.8, 3.5, 7.5, 0.4, 0.8, 4.6, 2.7,
+                7.6, 6.1, 2.3, 0.5, 6.6, 7.1, 6.9, 4.8, 1.3, 1.0, 0.3, 1.0, 0.7)
+LETTER_FLOOR = 0.1   # share of uniform letters mixed in: names, abbreviations, other languages
+CLASS_RATES = ((25, 25, 25, 25), (80, 8, 4, 8), (45, 45, 4, 6), (8, 6, 76, 10), (55, 15, 20, 10))
+MARKS = "+/-_"
 FDR = 0.05
 BINS_PER_OCTAVE = 8
 BINS = 512
@@ -95,8 +115,25 @@ def _normal_cdf(z: str) -> str:
     return (f"(1.0D / (1.0D + exp(-1.5957691216D * ({z}) * (1.0D + 0.044715D * ({z}) * ({z})))))")
 
 
+def _text_bits(part: str) -> str:
+    """SQL: -log2 of the likelihood of ``part`` under the text model, the likelier of both cases."""
+    rates = [(1 - LETTER_FLOOR) * r / sum(LETTER_RATES) + LETTER_FLOOR / 26 for r in LETTER_RATES]
+    symbol = ", ".join(f"{-math.log2(r)!r}D" for r in rates + [0.1] * 10 + [0.25] * len(MARKS))
+    classes = "l" * 26 + "u" * 26 + "d" * 10 + "m" * len(MARKS)
+    chain = ", ".join(f"{-math.log2(r / 100)!r}D" for row in CLASS_RATES for r in row)
+
+    def steps(order: str) -> str:
+        return (f"aggregate(split(translate({part}, '{LOWER + UPPER + DIGITS + MARKS}', '{classes}'), ''), "
+                f"named_struct('last', 0, 't', 0.0D), (t, c) -> named_struct('last', instr('{order}', c), "
+                f"'t', t.t + element_at(array({chain}), t.last * 4 + instr('{order}', c))), t -> t.t)")
+
+    symbols = (f"aggregate(split(lower({part}), ''), 0.0D, "
+               f"(t, c) -> t + element_at(array({symbol}), instr('{LOWER + DIGITS + MARKS}', c)))")
+    return f"({symbols} + least({steps('ludm')}, {steps('uldm')}))"
+
+
 def _scored(spans: str) -> str:
-    """SQL: the spans of array ``spans`` with encoding, n (length) and p (largest p-value of the battery).
+    """SQL: the spans of array ``spans`` with encoding, n (length) and p (see the module's text).
 
     Each ``transform`` names the values that the next one uses.
     """
@@ -120,9 +157,16 @@ def _scored(spans: str) -> str:
     uniform = _normal_cdf("(q.r.chi - (q.r.k - 1 + q.r.n * q.r.a.effect)) / sqrt(2 * (q.r.k - 1 + 2 * q.r.n * q.r.a.effect))")
     runs = _normal_cdf(f"(abs(q.r.runs - q.mu) - {DEPENDENCE}D * (q.mu - 1)) / sqrt((q.mu - 1) * (q.mu - 2) / (q.r.n - 1))")
     serial = _normal_cdf(f"(abs(q.r.cov / q.r.var) - {DEPENDENCE}D) * sqrt(cast(q.r.n as double))")
-    return f"""transform({x}, q -> named_struct('start', q.r.s.start, 'end', q.r.s.end, 'kind', q.r.s.kind,
-        'part', q.r.s.part, 'encoding', q.r.a.name, 'n', q.r.n,
-        'p', greatest({uniform}, if(q.mu <= 2, 1.0D, {runs}), if(q.r.var = 0, 1.0D, {serial}))))"""
+    x = f"""transform({x}, q -> named_struct('q', q, 'battery',
+        greatest({uniform}, if(q.mu <= 2, 1.0D, {runs}), if(q.r.var = 0, 1.0D, {serial})),
+        'structured', q.mu <= 2 or q.r.var = 0 or coalesce(
+            abs(q.r.chi - (q.r.k - 1)) > {FAR}D * sqrt(2 * (q.r.k - 1) * (q.r.n - 1) / q.r.n)
+            or abs(q.r.runs - q.mu) > {FAR}D * sqrt((q.mu - 1) * (q.mu - 2) / (q.r.n - 1))
+            or abs(q.r.cov / q.r.var) * sqrt(cast(q.r.n as double)) > {FAR}D, true),
+        'text', if(q.r.a.name = 'decimal', 1.0D, {len(ENCODINGS)}D * power(2.0D, q.r.n * log2(cast(q.r.k as double)) - {_text_bits('q.r.s.part')}))))"""
+    return f"""transform({x}, w -> named_struct('start', w.q.r.s.start, 'end', w.q.r.s.end, 'kind', w.q.r.s.kind,
+        'part', w.q.r.s.part, 'encoding', w.q.r.a.name, 'n', w.q.r.n,
+        'p', if(w.structured, w.battery, least(1.0D, 2 * w.battery, 2 * w.text))))"""
 
 
 def _candidates(docs: DataFrame, text_col: str) -> DataFrame:

@@ -111,6 +111,19 @@ def test_secret_spans_on_awkward_texts(spark):
     assert S.mask_secrets(df).columns == df.columns
 
 
+@pytest.mark.parametrize("length", [32, 40, 64])
+def test_keys_of_ordinary_length_among_words(spark, length):
+    rng = random.Random(length)
+    plain = ["getElementsByClassNameFromRoot", "SPARK_SQL_SHUFFLE_PARTITIONS", "Donaudampfschifffahrtsgesellschaft",
+             "src/main/java/org/apache/spark/sql/catalyst", "abcdefghijklmnopqrstuvwxyz", "12345678901234567890",
+             "INTERNATIONALIZATIONSERVICE", "the-quick-brown-fox-jumps-over-the-lazy-dog"]
+    keys = ["".join(rng.choices(S.UPPER + S.LOWER + S.DIGITS + "+/", k=length)) for _ in range(20)]
+    df = spark.createDataFrame([(i, f"{sentence(20, i)} {t} and more") for i, t in enumerate(keys + plain)], "doc_id long, text string")
+    found = {r["doc_id"]: [s["part"] for s in r["added_spans"]] for r in S.find_secrets(df).collect()}
+    assert sum(found[i] == [k] for i, k in enumerate(keys)) >= 18
+    assert not any(found[i] for i in range(len(keys), len(found)))
+
+
 def test_secrets_edge_rows(spark):
     assert S.find_secrets(edge_docs(spark)).count() == 16
     assert sorted(map(str, S.mask_secrets(edge_docs(spark)).collect())) == sorted(map(str, edge_docs(spark).collect()))
