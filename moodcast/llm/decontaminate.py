@@ -1,17 +1,21 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks of 13 words look at 8 word positions and ignore the others, so a
-benchmark passage is found although words were replaced. The hashes of all mask
-positions of the benchmark join those of the documents; around each hit the
-document and the item are compared word by word along the hit's diagonal, and
-the best segment (match +1, substitution -2) is the overlap.
+Fixed masks look at 8 positions of 13 words, or at 5 of 7 and of 11, and ignore
+the others, so a benchmark passage is found although words were replaced: no
+choice of substitutions that keeps the identity of an item of 13 to 25 words
+misses all masks. The hashes of all mask positions of the benchmark join those of
+the documents; around each hit the document and the item are compared word by
+word along the hit's diagonal, and the best segment (match +1, substitution -2)
+is the overlap. Where it fails a limit, the segment with most equal words among
+those that keep both limits is. An item of fewer than 15 words needs 0.8 of its
+words, others ``MIN_MATCHED``.
 
 The join side of the documents is thinned by a Bloom filter of the benchmark's
 hashes of a fixed size (2 MB whatever the benchmark's size); the join itself is
 an ordinary shuffle join, so a benchmark of any size is handled whole.
 
-Defined cases: null or empty texts match nothing, and so do items and documents
-shorter than a mask (13 words); repeated benchmark rows count once; repeated
+Defined cases: null or empty texts match nothing, and so do items of fewer than
+``MIN_ITEM`` words; repeated benchmark rows count once; repeated
 document rows give one result row each pair; null ids stay null and are still
 matched by text; extra columns are ignored; an empty table on either side gives
 an empty result.
@@ -20,16 +24,18 @@ an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodcast.llm.common import chunks, map_arrow, materialise, mix, text_column, window_hashes, word_hashes
 
-MASKS = ("1101010011011", "1110100101011", "1011011100101")
+MASKS = ("1101010011011", "1110100101011", "1011011100101", "1101011", "10000001111")
 FILTER_BITS = 24
+MIN_ITEM = 13        # words of an item
 MIN_MATCHED = 12     # words equal in the overlap
 MIN_IDENTITY = 0.8   # their share of the overlap
 MISMATCH = -2
@@ -56,7 +62,7 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = {"id": b.column("id"), "words": [], "pos": [], "seed": []}
         for text in text_column(b, "text"):
             w, _ = word_hashes([text])
-            seeds = seed_hashes(w)
+            seeds = seed_hashes(w if len(w) >= MIN_ITEM else w[:0])
             rows["words"].append(w.tobytes())
             rows["pos"].append(np.concatenate([np.arange(len(s), dtype=np.int32) for s in seeds]))
             rows["seed"].append(np.concatenate(seeds).view(np.int64))
@@ -123,17 +129,51 @@ def best_segment(same: np.ndarray) -> tuple[int, int]:
     return int(np.argmin(total[:end + 1])), end
 
 
+def _least(share: float) -> tuple[int, int]:
+    """``share`` as a whole fraction, for exact comparisons."""
+    f = Fraction(str(share))
+    return f.numerator, f.denominator
+
+
+def widest_segment(same: np.ndarray, identity: float = MIN_IDENTITY) -> tuple[int, int]:
+    """Start and end of the segment with most equal words among those with a share of at least ``identity``
+    (of these the shortest, then the first)."""
+    num, den = _least(identity)
+    total = np.concatenate([[0], np.cumsum(np.where(same, den - num, -num))])
+    # the longest such segment to each end starts at the first total that is not above the end's
+    start = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+    equal = np.concatenate([[0], np.cumsum(same)])
+    matched = equal - equal[start]
+    ends = np.flatnonzero(matched == matched.max())
+    end = int(ends[np.argmin(ends - start[ends])])
+    a, hits = int(start[end]), np.flatnonzero(same[start[end]:end])
+    return (a + int(hits[0]), a + int(hits[-1]) + 1) if len(hits) else (a, a)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = []
-        for d, i in zip(b.column("d").to_pylist(), b.column("i").to_pylist()):
+        out, kept = [], []
+        num, den = _least(MIN_IDENTITY)
+        for k, (d, i, need) in enumerate(zip(b.column("d").to_pylist(), b.column("i").to_pylist(), b.column("need").to_pylist())):
             same = np.frombuffer(d, np.int64) == np.frombuffer(i, np.int64)
+            if same.sum() < need:   # no segment can do
+                continue
             a, z = best_segment(same)
+            if same[a:z].sum() < need or den * same[a:z].sum() < num * (z - a):
+                a, z = widest_segment(same)
             out.append((a, z - a, int(same[a:z].sum())))
+            kept.append(k)
         cols = list(zip(*out)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays(
-            [b.column(c) for c in ("did", "iid", "d_from", "i_from")] + [pa.array(c, pa.int32()) for c in cols],
-            ["did", "iid", "d_from", "i_from", "at", "n_words", "n_matched"])
+            [b.column(c).take(pa.array(kept, pa.int64())) for c in ("did", "iid", "d_from", "i_from", "need")]
+            + [pa.array(c, pa.int32()) for c in cols],
+            ["did", "iid", "d_from", "i_from", "need", "at", "n_words", "n_matched"])
+
+
+def _needed(item_words: Column) -> Column:
+    """Equal words that an overlap with an item of so many words needs."""
+    num, den = _least(MIN_IDENTITY)
+    return F.least(F.lit(MIN_MATCHED), F.ceil(item_words * num / den).cast("int"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -169,12 +209,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
             .withColumn("i_from", F.greatest(-F.col("diag"), F.lit(0)))
             .withColumn("n", F.least((F.length("dw") / 8).cast("int") - F.col("d_from"),
                                      (F.length("iw") / 8).cast("int") - F.col("i_from")))
-            .select("did", "iid", "d_from", "i_from",
+            .select("did", "iid", "d_from", "i_from", _needed(F.length("iw") / 8).alias("need"),
                     F.expr("substring(dw, d_from * 8 + 1, n * 8)").alias("d"),
                     F.expr("substring(iw, i_from * 8 + 1, n * 8)").alias("i")))
-    found = map_arrow(pair, _verify, "did long, iid long, d_from int, i_from int, at int, n_words int, n_matched int")
-    best = (found.where((F.col("n_matched") >= MIN_MATCHED)
-                        & (F.col("n_matched") >= F.lit(MIN_IDENTITY) * F.col("n_words")))
+    found = map_arrow(pair, _verify, "did long, iid long, d_from int, i_from int, need int, at int, n_words int, n_matched int")
+    num, den = _least(MIN_IDENTITY)
+    best = (found.where((F.col("n_matched") >= F.col("need")) & (F.col("n_matched") * den >= F.col("n_words") * num))
             .groupBy("did", "iid").agg(F.max(F.struct(
                 "n_matched", (-F.col("n_words")).alias("less"), (-(F.col("d_from") + F.col("at"))).alias("d"),
                 (-(F.col("i_from") + F.col("at"))).alias("i"))).alias("b")))

@@ -1,5 +1,7 @@
 """Overlaps equal a direct search; substitutions are tolerated, clean texts are left alone."""
 
+import itertools
+
 import numpy as np
 
 from moodcast.llm import decontaminate as D
@@ -70,3 +72,46 @@ def test_best_segment_is_the_maximum():
         best = max([0] + [score[a:z].sum() for a in range(len(same)) for z in range(a + 1, len(same) + 1)])
         a, z = D.best_segment(same)
         assert score[a:z].sum() == best
+
+
+def _replaced(item, places):
+    return [f"sub{k}" if k in places else w for k, w in enumerate(item)]
+
+
+def test_exact_passage_beside_a_weak_one(spark):
+    docs, bench = [], []
+    for i, (exact, weak) in enumerate([(40, 200), (13, 100), (20, 100), (30, 200)]):
+        item = words(sentence(exact + weak, 60 + i))
+        bench.append((i, " ".join(item), 0))
+        docs.append((i, " ".join(_replaced(item, range(exact + 3, exact + weak, 4)))))
+    rows = D.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, BENCH)).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in rows) == [(i, i) for i in range(4)]
+    assert all(5 * r["n_matched"] >= 4 * r["n_words"] and r["n_matched"] >= 13 for r in rows)
+
+
+def test_every_substitution_of_short_items_is_found(spark):
+    docs, bench = [], []
+    for n, s in ((13, 2), (14, 2), (15, 3)):
+        item = words(sentence(n, 70 + n))
+        bench.append((n, " ".join(item), 0))
+        for places in itertools.combinations(range(n), s):
+            docs.append((n * 1000 + len(docs), " ".join(_replaced(item, places))))
+    # 13 and 14 words with one substitution too many, and an item that is too short
+    bench.append((12, sentence(12, 90), 0))
+    clean = [(1, " ".join(_replaced(words(bench[0][1]), (2, 6, 10)))), (2, " ".join(_replaced(words(bench[1][1]), (2, 6, 10)))),
+             (3, sentence(12, 90))]
+    rows = D.overlaps(spark.createDataFrame(docs + clean, "doc_id long, text string"), spark.createDataFrame(bench, BENCH)).collect()
+    whole = {r["doc_id"] for r in rows}
+    cut = {d for d, t in docs if t.startswith("sub") or t.split()[-1].startswith("sub")}
+    assert {d for d, _ in docs} - cut <= whole
+    assert not whole & {1, 2, 3}
+
+
+def test_widest_segment_is_the_best_that_keeps_the_identity():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        same = rng.random(rng.integers(1, 18)) < 0.7
+        best = max([0] + [int(same[a:z].sum()) for a in range(len(same)) for z in range(a + 1, len(same) + 1)
+                          if 5 * same[a:z].sum() >= 4 * (z - a)])
+        a, z = D.widest_segment(same)
+        assert same[a:z].sum() == best and 5 * best >= 4 * (z - a)
