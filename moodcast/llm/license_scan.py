@@ -4,16 +4,23 @@ A text is brought to a canonical form (lower case; copyright lines dropped;
 equivalent spellings replaced; everything but letters and digits one space) and
 its MD5 digest is joined with the digests of known licence texts and notices.
 The whole text of a document is looked up, and so is each of its paragraphs and
-lines, as notices stand in larger documents.
+lines, as notices stand in larger documents. A licence of several paragraphs in a
+larger document is looked up as well: from each paragraph that begins like a known
+text, the paragraphs whose canonical forms are together as long as that text. The
+known texts are the notices below and the published texts in ``licenses/``, with
+and without their titles and what follows their terms.
 
 Defined cases: null and empty texts match nothing, and so do units without a
-letter or digit; a text of one paragraph or one line is looked up once, as a
+letter or digit; a run of paragraphs is one of at least two and not the whole text; a text of one paragraph or one line is looked up once, as a
 text, and a paragraph of one line as a line; repeated rows are scanned each; null ids stay
 null; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +67,16 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "Released under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+# BSD-3-Clause: the third condition between the second and the disclaimer
+_BSD_HEAD, _BSD_END = BSD2.split("\nTHIS SOFTWARE", 1)
+BSD3 = (_BSD_HEAD + "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE" + _BSD_END)
+TITLED = (("ISC", "ISC License\n" + ISC), ("BSD-2-Clause", "BSD 2-Clause License\n" + BSD2), ("BSD-3-Clause", BSD3),
+          ("BSD-3-Clause", "BSD 3-Clause License\n" + BSD3))
+PUBLISHED = Path(__file__).parent / "licenses"   # name.txt
+TERMS_END = "END OF TERMS AND CONDITIONS"
+PARAGRAPH = r"\n[ \t]*\n\s*"
+ANCHOR = 24   # first characters of a canonical form that mark where a known text may begin
 # Equivalent spellings, each replaced as whole words by the second.
 SPELLINGS: tuple[tuple[str, str], ...] = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"),
@@ -84,18 +101,61 @@ def canonical(text: Column, spellings: tuple[tuple[str, str], ...] = SPELLINGS)
         F.contains(acc, p["old"]), F.regexp_replace(acc, p["pattern"], p["new"])).otherwise(acc))
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """``(digest, license)`` of the known texts."""
-    return (spark.createDataFrame(list(known), "license string, text string")
-            .select(F.md5(canonical(F.col("text"))).alias("digest"), "license").distinct())
+def _paragraph_forms(text: Column) -> Column:
+    """Canonical forms of the paragraphs that have one."""
+    return F.filter(F.transform(F.split(text, PARAGRAPH), lambda x: canonical(x)), lambda c: c != "")
+
+
+def published() -> tuple[tuple[str, str], ...]:
+    """``(license, text)`` of the published texts: whole and up to the end of the terms, with and without the title."""
+    out = list(TITLED)
+    for path in sorted(PUBLISHED.glob("*.txt")):
+        text = path.read_text(encoding="utf-8").strip()
+        ends = [text] + [text[:text.index(mark) + k] for mark in (TERMS_END,) if mark in text for k in (0, len(mark))]
+        for t in ends:
+            out += [(path.stem, t), (path.stem, re.split(r"\n[ \t]*\n\s*", t, maxsplit=1)[1])]
+    return tuple(out)
+
+
+def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """``(digest, license, anchor, n_chars)`` of the known texts, ``KNOWN`` and ``published()`` if not given;
+    the last two are the first characters and the length of the canonical form."""
+    rows = list(KNOWN + published() if known is None else known)
+    forms = F.array(canonical(F.col("text")), F.array_join(_paragraph_forms(F.col("text")), " "))
+    return (spark.createDataFrame(rows, "license string, text string")
+            .select("license", F.explode(forms).alias("c"))
+            .select(F.md5("c").alias("digest"), "license", F.substring("c", 1, ANCHOR).alias("anchor"),
+                    F.length("c").alias("n_chars")).distinct())
+
+
+def _runs(docs: DataFrame, digests: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """Known texts that are two or more paragraphs of a larger text."""
+    anchors = [row["anchor"] for row in digests.select("anchor").distinct().collect()]   # one for each known beginning
+    at = F.filter(F.sequence(F.lit(0), F.size("__p") - 1),
+                  lambda i: F.substring(F.get(F.col("__p"), i), 1, ANCHOR).isin(anchors))
+    # ends of the runs from there on, as lengths
+    ends = F.transform(F.sequence(F.lit(2), F.size("__r")), lambda k: F.length(F.array_join(F.slice("__r", 1, k), " ")))
+    found = (docs.where(text.rlike(PARAGRAPH)).select(F.col(id_col), _paragraph_forms(text).alias("__p"))
+             .where(F.size("__p") > 2).select(id_col, "__p", F.explode(at).alias("position"))
+             .withColumn("__r", F.slice("__p", F.col("position") + 1, F.size("__p")))
+             .where(F.size("__r") > 1)
+             .withColumn("anchor", F.substring(F.get("__r", F.lit(0)), 1, ANCHOR))
+             .withColumn("__t", F.array_join("__r", " ")).withColumn("__ends", ends).drop("__p", "__r"))
+    whole = (F.col("position") == 0) & (F.col("n_chars") == F.length("__t"))
+    return (found.join(F.broadcast(digests.withColumnRenamed("digest", "__known")), "anchor")
+            .where(F.array_contains("__ends", F.col("n_chars")) & ~whole)
+            .withColumn("digest", F.md5(F.substring(F.col("__t"), F.lit(1), F.col("n_chars"))))
+            .where("digest = __known")
+            .select(id_col, F.lit("paragraphs").alias("unit"), "position", "license", "digest"))
 
 
 def scan(docs: DataFrame, digests: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each licence found: ``id_col``, ``unit`` (text, paragraph or line), ``position``
-    (of the unit among those of its kind, from 0), ``license``, ``digest``."""
+    """One row for each licence found: ``id_col``, ``unit`` (text, paragraph, line or paragraphs), ``position``
+    (of the unit among those of its kind, from 0; of a run of paragraphs the first one's among those with a
+    letter or digit), ``license``, ``digest``."""
     text = F.col(text_col)
     trimmed = F.trim(text)
-    paragraphs = F.split(text, r"\n[ \t]*\n\s*")
+    paragraphs = F.split(text, PARAGRAPH)
     lines = F.split(text, r"\n")
 
     def units(kind: str, parts: Column) -> Column:
@@ -110,4 +170,6 @@ def scan(docs: DataFrame, digests: DataFrame, id_col: str = "doc_id", text_col:
     found = (docs.where(F.length(trimmed) > 0).select(F.col(id_col), F.explode(parts).alias("u"))
              .select(id_col, "u.unit", "u.position", canonical(F.col("u.part")).alias("__c"))
              .where("__c <> ''").withColumn("digest", F.md5("__c")).drop("__c"))
-    return found.join(digests, "digest").select(id_col, "unit", "position", "license", "digest")
+    names = digests.select("digest", "license").distinct()
+    return (found.join(F.broadcast(names), "digest").select(id_col, "unit", "position", "license", "digest")
+            .unionAll(_runs(docs, digests, id_col, text)))

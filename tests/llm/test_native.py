@@ -176,6 +176,25 @@ def test_licence_forms(spark):
     assert L.scan(edge_docs(spark), known).count() == 0 and L.scan(empty_docs(spark), known).count() == 0
 
 
+def test_whole_licences_and_licences_in_larger_files(spark):
+    known = L.known_digests(spark)
+    own = "Copyright (c) 2020 Some One\n\n"
+    texts = {p.stem: p.read_text() for p in L.PUBLISHED.glob("*.txt")}
+    mit, bsd3 = L.MIT.replace("\n", "\n\n"), L.BSD3.replace("\n", "\n\n")
+    rows = [(name, text) for name, text in texts.items()] + [
+        ("bsd3", "BSD 3-Clause License\n\n" + own + bsd3), ("mit inside", "A readme.\n\nMIT License\n\n" + own + mit + "\n\nThe end."),
+        ("bsd3 inside", "Intro\n\n" + own + bsd3 + "\n\nmore\n\n" + mit), ("cut", "Intro\n\n" + mit.rsplit("\n\n", 1)[0] + "\n\nend"),
+        ("joined", "Intro\n\n" + mit + " and more"), ("apache inside", "Intro words\n\n" + texts["Apache-2.0"] + "\n\nmore")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = collections.defaultdict(set)
+    for r in L.scan(df, known).collect():
+        got[r["doc_id"]].add((r["unit"], r["license"]))
+    assert all(("text", name) in got[name] for name in texts)
+    assert got["bsd3"] >= {("text", "BSD-3-Clause")} and got["mit inside"] >= {("paragraphs", "MIT")}
+    assert got["bsd3 inside"] >= {("paragraphs", "BSD-3-Clause"), ("paragraphs", "MIT")}
+    assert not got["cut"] and not got["joined"] and ("paragraphs", "Apache-2.0") in got["apache inside"]
+
+
 # ---- URL lists ----------------------------------------------------------------------
 
 def test_temporal_lists(spark):
