@@ -10,6 +10,9 @@ piece with the largest dot product of its vector and the remaining capacity
 fill the sequence. So all sequences are full to within ``MIN_CUT`` tokens, but for those closed by
 another limit and the last one of each task.
 
+The ids are those of the tokenizer's file, also where a text holds the string of
+an added token.
+
 Defined cases: a null text is empty and has only the end id; repeated rows are
 packed each; a null id stays null; an empty table gives an empty result; extra
 columns are ignored.
@@ -47,13 +50,18 @@ class WordTokenizer:
     Byte-level BPE never merges across pre-tokens, so the ids of a text are
     those of its pre-tokens in order. Pre-tokens are cut by the published
     pattern ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``.
-    Special tokens' strings in a text are ordinary text.
+    ``encode`` takes added tokens' strings for ordinary text; ``encode_as_file`` gives
+    the ids of the tokenizer's file, where texts that hold such a string (they are
+    rare) are encoded whole by the library.
     """
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
+        self.whole = Tokenizer.from_file(path)
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -108,7 +116,7 @@ class WordTokenizer:
         return bounds[:-1], bounds[1:], kind[bounds[:-1]] != _SEP
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and each text's range of them (offsets)."""
+        """All ids, and each text's range of them (offsets); added tokens' strings are ordinary text."""
         codes, starts = code_points(texts)
         first, after, real = self._cuts(codes, starts)
         at = np.zeros(len(codes), np.int32)
@@ -136,6 +144,18 @@ class WordTokenizer:
             self.entry[slot[miss[example]]] = new
         return self._assemble(entry, first, starts)
 
+    def encode_as_file(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and each text's range of them (offsets), as the tokenizer's file says."""
+        rare = [i for i, t in enumerate(texts) if self.added.search(t)] if self.added else []
+        if not rare:
+            return self.encode(texts)
+        aside = set(rare)
+        ids, off = self.encode(["" if i in aside else t for i, t in enumerate(texts)])
+        parts = [ids[off[i]:off[i + 1]] for i in range(len(texts))]
+        for i in rare:
+            parts[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, np.int32)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+
     def _assemble(self, entry, first, starts) -> tuple[np.ndarray, np.ndarray]:
         n = self.length[entry]
         ends = np.cumsum(n, dtype=np.int64)
@@ -306,7 +326,7 @@ def _run(path: str, limits: Limits, end_id: int, id_type: pa.DataType):
             for b in batches:
                 texts, keys = text_column(b, "text"), b.column("id").to_pylist()
                 for lo, hi in chunks(texts, 1 << 20):
-                    ids, off = tokenizer.encode(texts[lo:hi])
+                    ids, off = tokenizer.encode_as_file(texts[lo:hi])
                     for i, key in enumerate(keys[lo:hi]):
                         mine = np.concatenate([ids[off[i]:off[i + 1]], end])
                         # the end id bears no loss

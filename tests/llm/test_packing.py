@@ -45,6 +45,18 @@ def test_forgetting_changes_nothing(reference, monkeypatch):
             assert ids[off[i]:off[i + 1]].tolist() == reference.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_those_of_the_file(spark):
+    unmodified = Tokenizer.from_file(PATH)
+    assert unmodified.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    texts = ["a <|endoftext|> b", "", "plain words", "<|endoftext|>", "<|endoftext|><|endoftext|> it's\n <|endoftext", "x" * 50 + "<|endoftext|>"]
+    ids, off = K.word_tokenizer(PATH).encode_as_file(texts)
+    want = [unmodified.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids[off[i]:off[i + 1]].tolist() for i in range(len(texts))] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in K.pack_documents(df, PATH).collect()}
+    assert got == {i: w + [1] for i, w in enumerate(want)}
+
+
 def check(rows, texts, reference):
     """Every id in one piece, sequences gapless and within the limits; returns the padded share."""
     by_doc, by_seq = {}, {}
