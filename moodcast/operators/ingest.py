@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,7 +67,10 @@ def incremental_sentiment(stored: DataFrame, batch: DataFrame, lexicon: DataFram
     """
     part = ["dt"] if "dt" in batch.columns else []
     hashed, keys = sentiment_todo(stored, batch, version, order)
-    todo = hashed.join(keys, keys.columns, "left_semi")
+    # null-safe: a poll may lack polled_at, a post its title
+    todo = hashed.alias("h").join(keys.alias("k"), reduce(and_, [
+        F.col("h.id") == F.col("k.id"), *[F.col(f"h.{c}").eqNullSafe(F.col(f"k.{c}")) for c in keys.columns if c != "id"]]),
+        "left_semi")
     # a redelivered poll has its row twice
     todo = (todo.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("hash_check")))
             .filter("_n = 1"))

@@ -299,3 +299,21 @@ def test_repeated_lexicon_words_count_once(spark):
     df = spark.createDataFrame([(1, "a good day")], "id long, text string")
     got = [text_sentiment(df, "id", "text", lex).first()["sentiment"] for lex in (once, once.union(once))]
     assert got[0] == got[1]
+
+
+def test_posts_without_poll_time_or_title_are_scored(spark):
+    from moodcast.operators.ingest import incremental_sentiment, sentiment_todo
+    batch = spark.createDataFrame(
+        [("a", "title long enough", "x" * 120, None), ("b", "title long enough", "y" * 120, 7), ("c", None, "z" * 120, 7),
+         ("d", "title long enough", "v" * 120, None), ("d", "title long enough", "w" * 120, 3), ("d", "title long enough", "v" * 120, None)],
+        "id string, title string, selftext string, polled_at long") \
+        .withColumn("title_length", F.lit(17)).withColumn("selftext_length", F.lit(120))
+    stored = spark.createDataFrame([], "id string, hash_check string, updated_timestamp long, sentiment_value double")
+
+    def scorer(df, carry):
+        return df.select("id", F.substring("text", -1, 1).cast("string").alias("last"), *carry).select(
+            "id", F.when(F.col("last") == "w", 2.0).otherwise(1.0).alias("sentiment"), *carry)
+
+    keys = sentiment_todo(stored, batch)[1]
+    fresh = {r.id: r.sentiment_value for r in incremental_sentiment(stored, batch, None, 9, scorer=scorer)[1].collect()}
+    assert fresh == {"a": 1.0, "b": 1.0, "c": 1.0, "d": 2.0} and keys.count() == len(fresh)
