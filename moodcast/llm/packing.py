@@ -59,10 +59,9 @@ class WordTokenizer:
         import regex
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.tokenizer = Tokenizer.from_file(path)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)   # bytes of each id
@@ -152,8 +151,10 @@ class WordTokenizer:
         aside = set(rare)
         ids, off = self.encode(["" if i in aside else t for i, t in enumerate(texts)])
         parts = [ids[off[i]:off[i + 1]] for i in range(len(texts))]
+        self.tokenizer.encode_special_tokens = False   # one tokenizer in memory for both
         for i in rare:
-            parts[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, np.int32)
+            parts[i] = self._encode(texts[i])
+        self.tokenizer.encode_special_tokens = True
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
 
     def _assemble(self, entry, first, starts) -> tuple[np.ndarray, np.ndarray]:
