@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 import moodcast
@@ -160,6 +161,20 @@ def window_hashes(words: np.ndarray, positions: Iterable[int]) -> np.ndarray:
 def text_column(batch: pa.RecordBatch, name: str) -> list[str]:
     return ["" if t is None else t for t in batch.column(name).to_pylist()]
 
+def text_slices(batch: pa.RecordBatch, name: str, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int, list[str]]]:
+    """Row ranges of about ``limit`` bytes of the text column (one row at least), with their texts (null: empty).
+
+    Strings are made for one range at a time, so a batch of long texts isn't held twice.
+    """
+    column = batch.column(name)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    lo = 0
+    while lo < len(ends):
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield lo, hi, ["" if t is None else t for t in column.slice(lo, hi - lo).to_pylist()]
+        lo = hi
+
 
 # ---- streaming over sorted groups --------------------------------------------
 

@@ -111,4 +111,17 @@ select p.page_id, p.url, p.fetched_at, best.verdict as verdict, best.key as matc
 from pages2 p left join best b on p.page_id = b.page_id and p.url = b.url and p.fetched_at = b.fetched_at
 """
 
-ORACLE = {"op2_license_digests": LICENSES, "op8_chat_format": CHAT, "op10_temporal_url_lists": URL_LISTS}
+TOP_K = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as w from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id,
+    cast(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 20
+"""
+
+ORACLE = {"op2_license_digests": LICENSES, "op8_chat_format": CHAT, "op10_temporal_url_lists": URL_LISTS,
+          "op12_va_top_k": TOP_K}

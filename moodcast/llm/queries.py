@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodcast.llm import (ann_srs, chat_format, decontaminate, language_id, license_scan, ngram_join, packing, secret_scan,
-                          sharding, url_lists)
+from moodcast.llm import (alignment, ann_srs, chat_format, decontaminate, importance, language_id, license_scan, ngram_join,
+                          packing, secret_scan, sharding, url_lists, va_file)
 from moodcast.llm.oracle import ORACLE  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,25 @@ def op6_srs_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every vector whose id is divisible by 20."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann_srs.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight toward the benchmark's texts, and the rank of the tenth that is drawn."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_va_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest integer inner products of every vector whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return va_file.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two public tokenizers in every document."""
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))[0]

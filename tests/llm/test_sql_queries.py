@@ -11,7 +11,7 @@ from tests.conftest import SF_SMALL
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_equals_duckdb(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{SF_SMALL}/{t}.parquet')")
     df = Q.QUERIES[name](spark, SF_SMALL)
     rel = con.sql(ORACLE[name])
