@@ -1,8 +1,10 @@
 """The ingest job (reference: the 20-minute crawler run) on stored tables.
 
-One batch of polled rows -> three touched-partition merges. Each merge is
+One batch of polled rows -> four touched-partition merges. Each merge is
 idempotent, so replaying a batch (a restarted stream, a retried job) leaves
-the tables as one application would.
+the tables as one application would. Polls may come late: the score history
+takes them at their own time, score rows are its latest runs, and post rows and texts
+follow the newest poll of a post, whichever batch brings it.
 """
 
 from __future__ import annotations
@@ -17,13 +19,15 @@ from moodcast import params as P
 from moodcast import schemas as S
 from moodcast.operators import text as T
 from moodcast.operators.ingest import incremental_sentiment
-from moodcast.operators.upsert import upsert_posts, upsert_scores
+from moodcast.operators.history import history_of, latest_scores, newest_polls, splice
+from moodcast.operators.upsert import upsert_posts, upsert_rows
 from moodcast.sources.store import as_store, merge_into, stage, unstage, with_dt
 from moodcast.sources.tables import conform
 
 TABLES = {
     "submissions": S.SUBMISSIONS,
     "submission_scores": S.SUBMISSION_SCORES,
+    "score_history": S.SCORE_HISTORY,
     "submission_sentiments": S.SUBMISSION_SENTIMENTS,
 }
 
@@ -44,9 +48,11 @@ def run_ingest(spark: SparkSession, root, batch: DataFrame, lexicon: DataFrame,
     """Apply one batch to the three post tables.
 
     Rows without an id or a creation time (such as malformed landed lines) are
-    set aside and counted as ``rejected``.
+    set aside and counted as ``rejected``. A poll without a time counts as taken
+    when its post was created.
     """
-    raw = stage(spark, with_dt(conform(batch, S.RAW_POSTS), "created"), f"batch_{batch_id}")
+    polled = conform(batch, S.RAW_POSTS).withColumn("polled_at", F.coalesce("polled_at", "created"))
+    raw = stage(spark, with_dt(polled, "created"), f"batch_{batch_id}")
     whole = F.col("id").isNotNull() & F.col("created").isNotNull()
     b = raw.filter(whole)   # read three times: from the staged table
     per_date = {r["dt"]: r["n"] for r in b.groupBy("dt").agg(F.count("*").alias("n")).collect()}
@@ -55,6 +61,15 @@ def run_ingest(spark: SparkSession, root, batch: DataFrame, lexicon: DataFrame,
     store = as_store(root)
     obs = {k: Observation(f"{k}_{batch_id}_{uuid.uuid4().hex[:8]}")
            for k in ("sentiments", "posts", "scores")}
+    if not store.exists(spark, "score_history") and store.exists(spark, "submission_scores"):
+        # tables from before the history: each score row is one poll
+        store.create(history_of(store.read(spark, "submission_scores", S.SUBMISSION_SCORES)), "score_history")
+    polls = b.selectExpr("id", "polled_at as timestamp", *S.SCORE_METRICS, "dt")
+    merge_into(spark, store, "score_history", S.SCORE_HISTORY, polls,
+               lambda stored, u: splice(stored, u, observation=obs["scores"]), f"history_{batch_id}", dates)
+    history = store.read(spark, "score_history", S.SCORE_HISTORY).filter(F.col("dt").isin(dates)).join(
+        b.select("id", "dt"), ["id", "dt"], "left_semi")
+    b = newest_polls(b, history)
     merge_into(
         spark, store, "submission_sentiments", S.SUBMISSION_SENTIMENTS, b,
         lambda stored, u: incremental_sentiment(stored, u, lexicon, as_of, version, rules,
@@ -67,11 +82,8 @@ def run_ingest(spark: SparkSession, root, batch: DataFrame, lexicon: DataFrame,
                                        observation=obs["posts"])[0],
         f"posts_{batch_id}", dates)
     merge_into(
-        spark, store, "submission_scores", S.SUBMISSION_SCORES, b,
-        lambda stored, u: upsert_scores(
-            stored, u.selectExpr("id", "polled_at as timestamp", *S.SCORE_METRICS, "dt")
-                     .dropDuplicates(["id", "timestamp"]), observation=obs["scores"])[0],
-        f"scores_{batch_id}", dates)
+        spark, store, "submission_scores", S.SUBMISSION_SCORES, latest_scores(history),
+        lambda stored, u: upsert_rows(stored, u, ["id"]), f"scores_{batch_id}", dates)
     unstage(spark, raw)
     counts = {"total": sum(per_date.values()), "rejected": rejected,
               "new_posts": obs["posts"].get.get("inserted", 0),

@@ -23,6 +23,11 @@ SUBMISSION_SCORES = _struct(
     ("id", _S), ("timestamp", _L), ("upvote_ratio", _D), ("ups", _I), ("score", _I),
     ("num_comments", _I))
 
+# runs of equal metrics with the times of their polls (operators/history.py)
+SCORE_HISTORY = T.StructType([
+    *SUBMISSION_SCORES.fields[:2], T.StructField("until", _L, True), T.StructField("polls", T.ArrayType(_L), True),
+    *SUBMISSION_SCORES.fields[2:]])
+
 SUBMISSION_SENTIMENTS = _struct(
     ("id", _S), ("hash_check", _S), ("updated_timestamp", _L), ("sentiment_value", _D))
 
