@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ _ALNUM: np.ndarray | None = None
 
 # ---- tables in the shared folder -----------------------------------------
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, scoped: bool = True) -> DataFrame:
     """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back.
 
     Cuts the lineage with a table every executor can read, so a lost executor
@@ -34,16 +35,38 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     become stable here.
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
+    if scoped and _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``materialise`` that no later step reads."""
-    spark = df.sparkSession
     for f in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, f.rsplit("/", 1)[0])
+
+
+_SCOPES: list[list[str]] = []   # tables to delete, a list for each open scope
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end all that ``materialise`` wrote inside, but for tables with ``scoped=False``.
+
+    What a caller keeps of the work inside has to be written by then.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
 
 
 _SHIPPED: set[str] = set()
@@ -158,9 +181,6 @@ def window_hashes(words: np.ndarray, positions: Iterable[int]) -> np.ndarray:
     return mix(out)
 
 
-def text_column(batch: pa.RecordBatch, name: str) -> list[str]:
-    return ["" if t is None else t for t in batch.column(name).to_pylist()]
-
 def text_slices(batch: pa.RecordBatch, name: str, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int, list[str]]]:
     """Row ranges of about ``limit`` bytes of the text column (one row at least), with their texts (null: empty).
 
@@ -211,3 +231,36 @@ def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterable[p
 
     n = partitions or shuffle_partitions(df.sparkSession)
     return map_arrow(df.repartition(n, *keys).sortWithinPartitions(*keys), run, schema)
+
+
+# ---- SQL expressions ---------------------------------------------------------
+
+BLOCK = 512   # values of a running total that are folded one by one
+
+
+def let(name: str, value: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` bound to ``value``, which is computed once a row (a lambda's argument)."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def running(values: str, op: str) -> str:
+    """SQL: the running result of ``op`` (of ``a`` and ``b``, from 0 on) over an array of whole numbers that are not negative.
+
+    Folds append to arrays of at most ``BLOCK`` values; the blocks' totals are
+    then folded and added, so the work is in proportion to the array.
+    """
+    def fold(array: str, value: str, kept: str) -> str:
+        step = op.format(a="t.s", b=value)
+        return (f"aggregate({array}, named_struct('s', 0, 'o', cast(array() as array<int>)), "
+                f"(t, y) -> named_struct('s', {step}, 'o', array_append(t.o, {kept.format(step=step)})), t -> t.o)")
+
+    parts = (f"transform(sequence(0, (size(rv) - 1) div {BLOCK}), "
+             f"rb -> {fold(f'slice(rv, cast(rb * {BLOCK} + 1 as int), {BLOCK})', 'y', '{step}')})")
+    whole = (f"flatten(zip_with(rp, {fold('rp', 'element_at(y, -1)', 't.s')}, "
+             f"(rl, rs) -> transform(rl, x -> {op.format(a='rs', b='x')})))")
+    return let("rv", values, f"if(size(rv) = 0, rv, {let('rp', parts, whole)})")
+
+
+def quoted(pattern: str) -> str:
+    """SQL literal of a regular expression."""
+    return "r'" + pattern.replace("'", "\\x27") + "'"

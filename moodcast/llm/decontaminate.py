@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodcast.llm.common import chunks, map_arrow, materialise, mix, text_column, window_hashes, word_hashes
+from moodcast.llm.common import map_arrow, materialise, mix, text_slices, window_hashes, word_hashes
 
 MASKS = ("1101010011011", "1110100101011", "1011011100101", "1101011", "10000001111")
 FILTER_BITS = 24
@@ -60,7 +60,7 @@ def seed_hashes(words: np.ndarray, masks: tuple[str, ...] = MASKS) -> list[np.nd
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = {"id": b.column("id"), "words": [], "pos": [], "seed": []}
-        for text in text_column(b, "text"):
+        for text in (t for _, _, texts in text_slices(b, "text") for t in texts):
             w, _ = word_hashes([text])
             seeds = seed_hashes(w if len(w) >= MIN_ITEM else w[:0])
             rows["words"].append(w.tobytes())
@@ -89,9 +89,8 @@ def _probe(bits_broadcast):
         packed = bits_broadcast.value
         known = np.unpackbits(packed, bitorder="little").view(bool)
         for b in batches:
-            texts = text_column(b, "text")
-            for lo, hi in chunks(texts):
-                words, off = word_hashes(texts[lo:hi])
+            for lo, hi, texts in text_slices(b, "text"):
+                words, off = word_hashes(texts)
                 hit_pos, hit_seed = [], []
                 for m, s in zip(MASKS, seed_hashes(words)):
                     at = np.flatnonzero(known[s & _BIT] & known[(s >> _U(FILTER_BITS)) & _BIT])

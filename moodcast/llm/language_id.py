@@ -15,7 +15,10 @@ counting as one space.
 Defined cases: a text that is null or has no letter gives ``und`` with score 0;
 ties go to the language that sorts first; rows without language are not learned
 from; without any labelled row everything is ``und``; a null id is not held out.
-At most 64 languages can be learned (more raise ValueError).
+Masks are as wide as the languages ask for (planes of 64 bits); of more than
+``MAX_LANGUAGES`` labels the most frequent are learned (ties: those that sort first).
+An n-gram belongs to a language if at least ``MIN_RATE`` of the language's fitted
+documents hold it (the noise floor); its bit is then set, whatever other languages do.
 """
 
 from __future__ import annotations
@@ -28,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodcast.llm.common import chunks, code_points, map_arrow, mix, text_column
+from moodcast.llm.common import code_points, map_arrow, mix, text_slices
 
 N = 4                 # characters of an n-gram
 FIT_DOCS = 5000       # documents of each language that fitting reads at most (about)
 SLOT_BITS = 20        # 2^20 slots
 K = 3                 # slots of an n-gram
 MIN_RATE = 0.002      # share of a language's documents that must hold an n-gram
-MIN_RATIO = 0.2       # of the largest such share among the languages
+MAX_LANGUAGES = 1024  # 16 planes: 128 MB
 MIN_SHARE = 0.2       # below this share of known n-grams the text is in no learned language
 UNDETERMINED = "und"
 
@@ -85,7 +88,8 @@ def _slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
 
 @dataclass
 class LanguageFilters:
-    """The fitted filter: language names, a bitmask for each slot, false-positive rate of each bit plane."""
+    """The fitted filter: language names, bitmasks (a row for each plane of 64 languages, a column for each
+    slot), false-positive rate of each language's bits."""
 
     languages: list[str]
     slots: np.ndarray
@@ -94,15 +98,15 @@ class LanguageFilters:
     def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(n-grams of each text, corrected share of them in each language)."""
         h, off = ngrams(texts)
-        bits = int(len(self.slots)).bit_length() - 1
+        bits = int(self.slots.shape[1]).bit_length() - 1
         mask = None
         for s in _slots(h, bits):
-            mask = self.slots[s] if mask is None else mask & self.slots[s]
+            mask = self.slots[:, s] if mask is None else mask & self.slots[:, s]
         n = np.diff(off)
         out = np.zeros((len(texts), len(self.languages)))
         some = np.flatnonzero(n)
         for k, f in enumerate(self.false_positive):
-            one = ((mask >> mask.dtype.type(k)) & mask.dtype.type(1)).astype(np.int64)
+            one = ((mask[k // 64] >> mask.dtype.type(k % 64)) & mask.dtype.type(1)).astype(np.int64)
             if len(some):
                 found = np.add.reduceat(one, off[:-1][some]) / n[some]
                 out[some, k] = np.clip((found - f) / max(1 - f, 1e-9), 0, 1)
@@ -112,9 +116,9 @@ class LanguageFilters:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents that hold each n-gram, by language, for each chunk of texts."""
     for b in batches:
-        texts, langs = text_column(b, "text"), b.column("lang").to_pylist()
-        for lo, hi in chunks(texts, 1 << 21):
-            h, off = ngrams(texts[lo:hi])
+        langs = b.column("lang").to_pylist()
+        for lo, hi, texts in text_slices(b, "text"):
+            h, off = ngrams(texts)
             doc = np.repeat(np.arange(hi - lo), np.diff(off))
             names, code = np.unique(np.array(langs[lo:hi], dtype=object).astype(str), return_inverse=True)
             for k, name in enumerate(names.tolist()):
@@ -134,47 +138,41 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     """Learn the filters from the labelled rows of ``docs`` (a bounded sample of them)."""
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                            F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(65).collect()}
-    if len(sizes) > 64:
-        raise ValueError("more than 64 languages")
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n"))
+             .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     names = sorted(sizes)
     if not names:
-        return LanguageFilters([], np.zeros(1 << slot_bits, np.uint8), np.zeros(0))
+        return LanguageFilters([], np.zeros((1, 1 << slot_bits), np.uint8), np.zeros(0))
     share = F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, fit_docs / sizes[n]))])
     # uniform in [0, 1), the same for every run; a null id is spread by its text
     spread = F.pmod(F.xxhash64(F.lit("fit"), "id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.where(spread < F.element_at(share, F.col("lang")))
     used = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     per_doc = F.create_map(*[F.lit(x) for n in names for x in (n, 1.0 / max(1, used.get(n, 0)))])
-    bit = F.create_map(*[F.lit(x) for k, n in enumerate(names) for x in (n, _signed(1 << k))])
+    number = F.create_map(*[F.lit(x) for k, n in enumerate(names) for x in (n, k)])
     counted = map_arrow(sample.select("text", "lang"), _count, "lang string, gram long, n long")
     rates = (counted.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
              .select("gram", (F.col("n") * F.element_at(per_doc, F.col("lang"))).alias("rate"),
-                     F.element_at(bit, F.col("lang")).alias("bit")).where(F.col("rate") >= MIN_RATE)
-             .groupBy("gram").agg(F.collect_list(F.struct("rate", "bit")).alias("r"), F.max("rate").alias("top"))
-             .select("gram", F.expr(f"aggregate(filter(r, x -> x.rate >= {MIN_RATIO} * top), 0L, (a, x) -> a | x.bit)").alias("mask")))
+                     F.element_at(number, F.col("lang")).alias("number")).where(F.col("rate") >= MIN_RATE)
+             .groupBy("gram", F.expr("number div 64").alias("plane"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(number % 64 as int))")).alias("mask")))
     mask = (1 << slot_bits) - 1
     slot = F.explode(F.array(*[F.expr(f"shiftrightunsigned(gram, {k * slot_bits}) & {mask}L") for k in range(K)]))
-    rows = (rates.select(slot.alias("slot"), "mask").groupBy("slot").agg(F.bit_or("mask").alias("mask"))
-            .toArrow())   # at most 2^slot_bits rows of 16 bytes
-    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= len(names))
-    slots = np.zeros(1 << slot_bits, kind)
-    slots[rows["slot"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64).astype(kind)
-    fill = np.array([((slots >> kind(k)) & kind(1)).mean() for k in range(len(names))])
+    rows = (rates.select(slot.alias("slot"), "plane", "mask").groupBy("slot", "plane")
+            .agg(F.bit_or("mask").alias("mask")).toArrow())   # at most 2^slot_bits rows of 24 bytes a plane
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= min(len(names), 64))
+    slots = np.zeros((-(-len(names) // 64), 1 << slot_bits), kind)
+    slots[rows["plane"].to_numpy(), rows["slot"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64).astype(kind)
+    fill = np.array([((slots[k // 64] >> kind(k % 64)) & kind(1)).mean() for k in range(len(names))])
     return LanguageFilters(names, slots, fill ** K)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
 def _predict(model_broadcast, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: LanguageFilters = model_broadcast.value
         for b in batches:
-            texts = text_column(b, text_col)
-            for lo, hi in chunks(texts):
-                n, shares = model.shares(texts[lo:hi])
+            for lo, hi, texts in text_slices(b, text_col):
+                n, shares = model.shares(texts)
                 if model.languages:
                     best = shares.argmax(axis=1)
                     score = shares[np.arange(hi - lo), best]

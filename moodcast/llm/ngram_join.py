@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodcast.llm.common import (by_group, chunks, map_arrow, materialise, mix, text_column,
+from moodcast.llm.common import (by_group, chunks, map_arrow, materialise, mix, text_slices,
                                  window_hashes, word_hashes)
 from moodcast.llm.components import connected_components
 
@@ -102,9 +102,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     mult = mix(np.arange(11, 11 + BAND_ROWS, dtype=_U)) | _U(1)
     band = np.arange(BANDS, dtype=_U) * _U(0x51ED27)
     for batch in batches:
-        texts = text_column(batch, "text")
-        for lo, hi in chunks(texts):
-            sets = list(shingle_sets(texts[lo:hi]))
+        for lo, hi, texts in text_slices(batch, "text"):
+            sets = list(shingle_sets(texts))
             some = [i for i, s in enumerate(sets) if len(s)]
             h1, h2 = [None] * len(sets), [None] * len(sets)
             sig, bands = [None] * len(sets), [None] * len(sets)

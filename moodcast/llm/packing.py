@@ -29,16 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodcast.llm.common import chunks, code_points, map_arrow, mix, powers, text_column
+from moodcast.llm.common import code_points, map_arrow, mix, powers, text_slices
 
 MAX_TOKENS = 2048
 MAX_SEGMENTS = 64
-MAX_LOSS = 2048
 MIN_CUT = 8
+MAX_LOSS = MAX_TOKENS - MIN_CUT   # a few tokens of every full sequence bear no loss
 POOL = 1024            # pieces a task holds while packing
 END_ID = 1
-CACHE_BITS = 21        # slots of the pre-tokens a worker remembers (2^21)
-CACHE_ENTRIES = 2_000_000   # pre-tokens encoded before it forgets them all
+CACHE_BITS = 20        # slots of the pre-tokens a task remembers (2^20, 12 MB)
+CACHE_ENTRIES = 500_000   # pre-tokens encoded before it forgets them all
 
 _U = np.uint64
 _SEP, _LETTER, _NUMBER, _SPACE, _OTHER = range(5)
@@ -74,11 +74,11 @@ class WordTokenizer:
                 a, z = ord(every[m.start()]), ord(every[m.end() - 1])
                 self.kind[a:z + 1] = code
         self.kind[0xD800:0xE000] = _OTHER
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
-        self.known = np.zeros(1 << CACHE_BITS, _U)            # a pre-token's hash, at the slot it picks
-        self.entry = np.zeros(1 << CACHE_BITS, np.int32)      # and its entry below
+    def clear(self) -> None:
+        """Forget all pre-tokens."""
+        self.known, self.entry = np.zeros(0, _U), np.zeros(0, np.int32)
         self.start, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.ids, self.used, self.entries = np.zeros(1 << 18, np.int32), 0, 0
 
@@ -126,6 +126,9 @@ class WordTokenizer:
         first, after = first[real], after[real]
         if not len(h):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        if not len(self.known):
+            self.known = np.zeros(1 << CACHE_BITS, _U)            # a pre-token's hash, at the slot it picks
+            self.entry = np.zeros(1 << CACHE_BITS, np.int32)      # and its entry below
         slot = (h & _U((1 << CACHE_BITS) - 1)).astype(np.int64)
         hit = self.known[slot] == h
         if hit.all():
@@ -134,7 +137,7 @@ class WordTokenizer:
             miss = np.flatnonzero(~hit)
             keys, example, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
             if self.entries and self.entries + len(keys) > CACHE_ENTRIES:
-                self._clear()
+                self.clear()
                 return self.encode(texts)
             entry = self.entry[slot]
             new = self._learn(texts, starts, first[miss[example]], after[miss[example]])
@@ -303,6 +306,13 @@ class Packer:
                     self.open[slot], self.owner[slot] = False, None
 
 
+def _loss_range(values: tuple, length: int) -> tuple[int, int]:
+    """Loss-bearing ids of an example of ``length`` ids and the end id, which never bears loss."""
+    low, high = values
+    low = 0 if low is None else min(max(low, 0), length)
+    return low, max(low, length if high is None else min(high, length))
+
+
 def _run(path: str, limits: Limits, end_id: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, packer = word_tokenizer(path), Packer(limits)
@@ -325,13 +335,13 @@ def _run(path: str, limits: Limits, end_id: int, id_type: pa.DataType):
 
         def pieces():
             for b in batches:
-                texts, keys = text_column(b, "text"), b.column("id").to_pylist()
-                for lo, hi in chunks(texts, 1 << 20):
-                    ids, off = tokenizer.encode_as_file(texts[lo:hi])
+                keys = b.column("id").to_pylist()
+                loss = list(zip(b.column("loss_from").to_pylist(), b.column("loss_to").to_pylist()))
+                for lo, hi, texts in text_slices(b, "text"):
+                    ids, off = tokenizer.encode_as_file(texts)
                     for i, key in enumerate(keys[lo:hi]):
                         mine = np.concatenate([ids[off[i]:off[i + 1]], end])
-                        # the end id bears no loss
-                        yield from packer.add((key, mine), len(mine), 0, len(mine) - 1)
+                        yield from packer.add((key, mine), len(mine), *_loss_range(loss[lo + i], len(mine) - 1))
             yield from packer.finish()
 
         for p in pieces():
@@ -342,14 +352,22 @@ def _run(path: str, limits: Limits, end_id: int, id_type: pa.DataType):
                 out, size = [], 0
         if out:
             yield batch()
+        tokenizer.clear()   # the worker lives on, other stages need its memory
     return run
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-                   limits: Limits = Limits(), end_id: int = END_ID) -> DataFrame:
+                   limits: Limits = Limits(), end_id: int = END_ID, loss_from_col: str | None = None,
+                   loss_to_col: str | None = None) -> DataFrame:
     """One row for each piece: ``id_col``, start, length, ids (little-endian unsigned 32-bit),
-    doc_tokens, sequence_id, offset in the sequence."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    doc_tokens, sequence_id, offset in the sequence.
+
+    ``loss_from_col`` and ``loss_to_col`` name columns with the range of loss-bearing ids (end exclusive; not
+    given or null: all ids of the text). The end id bears no loss.
+    """
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                      *[(F.lit(None) if c is None else F.col(c)).cast("long").alias(n)
+                        for c, n in ((loss_from_col, "loss_from"), (loss_to_col, "loss_to"))])
     id_field = src.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 

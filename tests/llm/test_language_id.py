@@ -60,6 +60,51 @@ def test_bounded_sample_fits_within_the_bound(spark):
     assert np.mean([r["__lang_pred"] == r["lang"] for r in found]) > 0.9
 
 
+def grams_of(text):
+    """The n-grams of a text, one character at a time."""
+    if not any(c.isalpha() for c in text.lower()):
+        return []
+    out = "  "
+    for c in text.lower() + " ":
+        c = c if c.isalpha() else " "
+        if c != " " or out[-1] != " " or len(out) < 2:
+            out += c
+    return [out[i:i + 4] for i in range(len(out) - 3)]
+
+
+def test_decision_equals_exact_sets(spark):
+    """The decision of a plain version: sets of n-grams without hashing, every language of each n-gram."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").where("lang is not null and text is not null")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    held, sizes = {}, {}
+    for r in rows:
+        sizes[r["lang"]] = sizes.get(r["lang"], 0) + 1
+        for g in set(grams_of(r["text"])):
+            held.setdefault(r["lang"], {}).setdefault(g, 0)
+            held[r["lang"]][g] += 1
+    names = sorted(sizes)
+    sets = {n: {g for g, c in held[n].items() if c / sizes[n] >= L.MIN_RATE} for n in names}
+    found = {r["doc_id"]: r for r in L.identify(docs, L.fit(docs)).collect()}
+    assert len(found) == len(rows) > 50
+    for r in rows:
+        grams = grams_of(r["text"])
+        share = [sum(g in sets[n] for g in grams) / max(1, len(grams)) for n in names]
+        best = found[r["doc_id"]]
+        assert best["__n_grams"] == len(grams)
+        assert abs(best["__score"] - max(share)) < 0.05
+        if sorted(share)[-1] - sorted(share)[-2] > 0.05:
+            assert best["__lang_pred"] == names[int(np.argmax(share))]
+
+
+def test_more_labels_than_a_mask_has_bits(spark):
+    rows = [(k * 3 + i, " ".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}{x}" for x in ("ab", "cd", "ef")), f"l{k:03d}")
+            for k in range(150) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    assert len(model.languages) == 150 and model.slots.shape == (3, 1 << L.SLOT_BITS)
+    assert all(r["__lang_pred"] == r["lang"] for r in L.identify(docs, model).collect())
+
+
 def test_edge_rows(spark):
     docs = edge_docs(spark)
     model = L.fit(docs)

@@ -125,3 +125,33 @@ def test_simultaneous_limits():
             at += n
         assert at <= 100 and len(pieces) <= 4
         assert sum(max(0, min(a + n, loss[e][2]) - max(a, loss[e][1])) for _, n, e, a in pieces) <= 30
+
+
+def test_loss_columns_bind(spark):
+    """Half of the examples bear loss on their second half only: the loss limit, not the tokens, closes sequences."""
+    rows = [(i, " ".join(["word"] * (40 + i % 17)), (20 if i % 2 else None), None) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, a long, b long").coalesce(1)
+    limits = K.Limits(tokens=256, segments=16, loss=100, min_cut=4)
+    out = K.pack_documents(docs, PATH, limits=limits, loss_from_col="a", loss_to_col="b").collect()
+    total, loss, pieces = {}, {}, {}
+    for r in out:
+        first = rows[r["doc_id"]][2] or 0
+        s = r["sequence_id"]
+        total[s] = total.get(s, 0) + r["length"]
+        loss[s] = loss.get(s, 0) + max(0, min(r["start"] + r["length"], r["doc_tokens"] - 1) - max(r["start"], first))
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"]))
+    assert max(loss.values()) <= 100 and max(total.values()) <= 256
+    bound = [s for s in loss if loss[s] > 100 - 4]
+    assert len(bound) > 0.9 * len(loss) and np.mean([total[s] for s in bound]) < 220
+    for parts in pieces.values():
+        at = 0
+        for start, n, whole in sorted(parts):
+            assert start == at
+            at += n
+        assert at == whole
+
+
+def test_default_loss_limit_binds(spark):
+    docs = spark.createDataFrame([(1, " word" * 5000)], "doc_id long, text string")
+    out = K.pack_documents(docs, PATH).collect()
+    assert max(r["length"] for r in out) == K.MAX_LOSS < K.MAX_TOKENS
