@@ -70,13 +70,13 @@ def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every licence found in the documents' texts, paragraphs and lines."""
-    return license_scan.scan(table(spark, sf_dir, "documents"), F.broadcast(license_scan.known_digests(spark)))
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.known_digests(spark))
 
 
 @query
 def op7_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of every document: base patterns, and runs the battery adds."""
-    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"), columns=["doc_id"])
     base = F.col("base_spans")
 
     def count(kind: int):
