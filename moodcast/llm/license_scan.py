@@ -6,12 +6,14 @@ its MD5 digest is joined with the digests of known licence texts and notices.
 The whole text of a document is looked up, and so is each of its paragraphs and
 lines, as notices stand in larger documents. A licence of several paragraphs in a
 larger document is looked up as well: from each paragraph that begins like a known
-text, the paragraphs whose canonical forms are together as long as that text. The
-known texts are the notices below and the published texts in ``licenses/``, with
+text, the paragraphs whose canonical forms are together as long as that text. So are
+the comments of source files: block comments and lines with a comment mark, with
+paragraphs where a line is empty or has marks only. The known texts are the notices below and the published texts in ``licenses/``, with
 and without their titles and what follows their terms.
 
 Defined cases: null and empty texts match nothing, and so do units without a
-letter or digit; a run of paragraphs is one of at least two and not the whole text; a text of one paragraph or one line is looked up once, as a
+letter or digit; a run of paragraphs is one of at least two and not the whole text; one found as a run
+has ``ANCHOR`` characters or more; a licence whose comment is the whole text is found as text and as comment; a text of one paragraph or one line is looked up once, as a
 text, and a paragraph of one line as a line; repeated rows are scanned each; null ids stay
 null; an empty table gives an empty result; extra columns are ignored.
 """
@@ -24,6 +26,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moodcast.llm.common import let, quoted, running
+
 # Licence names, texts and notices as published.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -85,25 +89,59 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     ("v 2", "version 2"), ("v 3", "version 3"), ("v2", "version 2"), ("v3", "version 3"),
     ("https", "http"), ("copyright holders", "copyright holder"), ("copyright owner", "copyright holder"),
 )
-COPYRIGHT_LINE = r"(?m)^[^A-Za-z0-9\n]*(?:copyright\b[^A-Za-z\n]*(?:\(c\)|©|[0-9])|\(c\) |© ?[0-9]|all rights reserved)[^\n]*$"
+# What follows "copyright" in licence terms, and words that stand in a holder's line.
+TERMS_AFTER = ("notice", "notices", "holder", "holders", "owner", "owners", "and", "or", "law", "laws", "license", "licenses",
+               "licence", "licences", "interest", "interests", "in", "is", "of", "to", "on", "for", "as", "that", "which",
+               "statement", "statements", "treaty", "act", "protection", "doctrine", "disclaimer")
+HOLDER_WORDS = ("inc", "ltd", "llc", "corp", "corporation", "company", "gmbh", "foundation", "project", "authors", "author",
+                "contributors", "developers", "developer", "team", "university", "institute", "et al", "[12][0-9]{3}")
+COPYRIGHT_LINE = (
+    r"(?m)^[^A-Za-z0-9\n]*(?:(?:portions )?copyright\b(?:[^A-Za-z\n]*(?:\(c\)|©|[0-9])|"
+    rf"(?! (?:{'|'.join(TERMS_AFTER)})\b) [^\n]*\b(?:{'|'.join(HOLDER_WORDS)})\b)|\(c\) |© ?[0-9]|all rights reserved)[^\n]*$")
+NOT_A_WORD = r"[\x00-\x2f\x3a-\x60\x7b-\x7f\u0080-\u00bf\u2000-\u206f]+"
+# comments: blocks, lines that begin with a mark, lines of marks only
+COMMENTED = r"(?m)^[ \t]*(?:/\*|//|#|;|--|%)"
+COMMENT_BLOCK = r"/\*[\s\S]*?\*/"
+CODE_LINE = r"(?m)^(?![ \t]*(?://|#|;|--|%))[^\n]*$"
+MARKS_ONLY = r"(?m)^[ \t]*(?:/\*+!?|\*+/?|//+|#+|;+|--+|%+)[ \t]*$"
 
 
-NOT_A_WORD = r"[\x00-\x2f\x3a-\x60\x7b-\x7f\u0080-\u00bf\u2000-\u206f]+"
+def _plain(text: str) -> str:
+    """SQL: words of a-z, 0-9 and other letters between single spaces, without copyright lines."""
+    return (f"trim(regexp_replace(regexp_replace(lower({text}), {quoted(COPYRIGHT_LINE)}, ' '), {quoted(NOT_A_WORD)}, ' '))")
+
+
+def _spelled(form: str, spellings: tuple[tuple[str, str], ...] = SPELLINGS) -> str:
+    """SQL: ``form`` with equivalent spellings replaced, one after the other."""
+    for old, new in spellings:
+        form = f"regexp_replace({form}, r'\\b{old}\\b', '{new}')"
+    return form
+
+
+def _has_spelling(form: str, spellings: tuple[tuple[str, str], ...] = SPELLINGS) -> str:
+    first = "".join(sorted({old[0] for old, _ in spellings}))
+    return f"{form} rlike r'\\b(?=[{first}])(?:{'|'.join(old for old, _ in spellings)})\\b'"
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form of a text."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " "), NOT_A_WORD, " "))
+    first = "".join(sorted({old[0] for old, _ in SPELLINGS}))
+    spelled = rf"\b(?=[{first}])(?:{'|'.join(old for old, _ in SPELLINGS)})\b"
 
+    def step(c: Column) -> Column:
+        out = c
+        for old, new in SPELLINGS:
+            out = F.regexp_replace(out, rf"\b{old}\b", new)
+        return F.when(c.rlike(spelled), out).otherwise(c)
 
-def canonical(text: Column, spellings: tuple[tuple[str, str], ...] = SPELLINGS) -> Column:
-    """The canonical form: words of a-z, 0-9 and other letters between single spaces."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    out = F.trim(F.regexp_replace(out, NOT_A_WORD, " "))
-    pairs = F.array(*[F.struct(F.lit(a).alias("old"), F.lit(rf"\b{a}\b").alias("pattern"), F.lit(b).alias("new"))
-                      for a, b in spellings])
-    return F.aggregate(pairs, out, lambda acc, p: F.when(
-        F.contains(acc, p["old"]), F.regexp_replace(acc, p["pattern"], p["new"])).otherwise(acc))
+    return F.get(F.transform(F.array(plain), step), F.lit(0))   # the plain form is computed once
 
 
-def _paragraph_forms(text: Column) -> Column:
-    """Canonical forms of the paragraphs that have one."""
-    return F.filter(F.transform(F.split(text, PARAGRAPH), lambda x: canonical(x)), lambda c: c != "")
+def _paragraphs(text: str) -> str:
+    """SQL: canonical forms of all paragraphs (an empty one for those without a word)."""
+    plain = f"transform(split({text}, {quoted(PARAGRAPH)}), x -> {_plain('x')})"
+    return let("pp", plain, f"if({_has_spelling('array_join(pp, chr(10))')}, transform(pp, x -> {_spelled('x')}), pp)")
 
 
 def published() -> tuple[tuple[str, str], ...]:
@@ -121,55 +159,68 @@ def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] | None
     """``(digest, license, anchor, n_chars)`` of the known texts, ``KNOWN`` and ``published()`` if not given;
     the last two are the first characters and the length of the canonical form."""
     rows = list(KNOWN + published() if known is None else known)
-    forms = F.array(canonical(F.col("text")), F.array_join(_paragraph_forms(F.col("text")), " "))
+    joined = F.expr(f"array_join(filter({_paragraphs('text')}, c -> c != ''), ' ')")
     return (spark.createDataFrame(rows, "license string, text string")
-            .select("license", F.explode(forms).alias("c"))
+            .select("license", F.explode(F.array(canonical(F.col("text")), joined)).alias("c"))
             .select(F.md5("c").alias("digest"), "license", F.substring("c", 1, ANCHOR).alias("anchor"),
                     F.length("c").alias("n_chars")).distinct())
 
 
-def _runs(docs: DataFrame, digests: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """Known texts that are two or more paragraphs of a larger text."""
-    anchors = [row["anchor"] for row in digests.select("anchor").distinct().collect()]   # one for each known beginning
-    at = F.filter(F.sequence(F.lit(0), F.size("__p") - 1),
-                  lambda i: F.substring(F.get(F.col("__p"), i), 1, ANCHOR).isin(anchors))
-    # ends of the runs from there on, as lengths
-    ends = F.transform(F.sequence(F.lit(2), F.size("__r")), lambda k: F.length(F.array_join(F.slice("__r", 1, k), " ")))
-    found = (docs.where(text.rlike(PARAGRAPH)).select(F.col(id_col), _paragraph_forms(text).alias("__p"))
-             .where(F.size("__p") > 2).select(id_col, "__p", F.explode(at).alias("position"))
-             .withColumn("__r", F.slice("__p", F.col("position") + 1, F.size("__p")))
-             .where(F.size("__r") > 1)
-             .withColumn("anchor", F.substring(F.get("__r", F.lit(0)), 1, ANCHOR))
-             .withColumn("__t", F.array_join("__r", " ")).withColumn("__ends", ends).drop("__p", "__r"))
-    whole = (F.col("position") == 0) & (F.col("n_chars") == F.length("__t"))
-    return (found.join(F.broadcast(digests.withColumnRenamed("digest", "__known")), "anchor")
-            .where(F.array_contains("__ends", F.col("n_chars")) & ~whole)
-            .withColumn("digest", F.md5(F.substring(F.col("__t"), F.lit(1), F.col("n_chars"))))
-            .where("digest = __known")
-            .select(id_col, F.lit("paragraphs").alias("unit"), "position", "license", "digest"))
+_NO_UNITS = "cast(array() as array<struct<unit:string,position:int,c:string>>)"
+
+
+def _runs(forms: str, unit: str, least: int, lengths: str) -> str:
+    """SQL: units of the runs of at least ``least`` paragraphs that are as long as a known text with the same
+    beginning (``lengths``: a map from beginnings to lengths), but for the run of all paragraphs.
+
+    ``fe`` holds the end of each paragraph in the joined forms, so the paragraphs of
+    a known length are found by position; no run is joined but those looked up.
+    """
+    start = "if(i = 0, 0, get(fe, i - 1))"
+    # a run of n characters has at most n div 2 + 1 paragraphs
+    count = f"cast(array_position(slice(fe, i + 1, n div 2 + 1), {start} + n + 1) as int)"
+    run = (f"transform(filter(transform(element_at(lm, get(fa, i)), n -> named_struct('i', i, 'k', {count})), "
+           f"r -> r.k >= {least} and (r.i > 0 or r.k < size(fp) or {least} = 1)), "
+           f"r -> named_struct('unit', '{unit}', 'position', r.i, 'c', array_join(slice(fp, r.i + 1, r.k), ' ')))")
+    at = "filter(sequence(0, size(fp) - 1), i -> map_contains_key(lm, get(fa, i)))"
+    # the first characters from each paragraph on
+    begin = (f"transform(fp, (c, i) -> substring(if(length(c) >= {ANCHOR}, c, array_join(transform("
+             f"slice(fp, i + 1, {ANCHOR // 2 + 1}), x -> substring(x, 1, {ANCHOR})), ' ')), 1, {ANCHOR}))")
+    body = let("fe", running("transform(fp, c -> length(c) + 1)", "{a} + {b}"),
+               let("fa", begin, f"flatten(transform({at}, i -> {run}))"))
+    return let("lm", lengths, let("fp", f"filter({forms}, c -> c != '')", f"if(size(fp) = 0, {_NO_UNITS}, {body})"))
+
+
+def _units(text: str, lengths: str) -> str:
+    """SQL: all units of a text with their canonical forms (empty ones are left out)."""
+    lines = let("ls", "split(tx, chr(10))", let("lu", f"transform(ls, x -> {_plain('x')})", let(
+        "lj", "array_join(filter(lu, c -> c != ''), ' ')", let("lg", _has_spelling("lj"), f"""concat(
+            array(named_struct('unit', 'text', 'position', 0, 'c', if(lg, {_spelled('lj')}, lj))),
+            if(size(ls) > 1, transform(lu, (c, i) -> named_struct('unit', 'line', 'position', i, 'c', if(lg, {_spelled('c')}, c))),
+               {_NO_UNITS}))"""))))
+    paragraphs = let("pt", f"split(tx, {quoted(PARAGRAPH)})", f"if(size(pt) > 1, " + let("pf", _paragraphs("tx"), f"""concat(
+        filter(transform(pf, (c, i) -> named_struct('unit', if(contains(get(pt, i), chr(10)), 'paragraph', ''), 'position', i, 'c', c)),
+               u -> u.unit = 'paragraph'),
+        {_runs('pf', 'paragraphs', 2, lengths)})""") + f", {_NO_UNITS})")
+    block = f"array_join(regexp_extract_all(tx, {quoted(COMMENT_BLOCK)}, 0), '\n\n')"
+    comment = (f"regexp_replace(concat({block}, '\n\n', regexp_replace(tx, {quoted(CODE_LINE)}, '')), {quoted(MARKS_ONLY)}, '')")
+    comments = (f"if(tx rlike {quoted(COMMENTED)}, "
+                + let("ct", comment, _runs(_paragraphs("ct"), "comment", 1, lengths)) + f", {_NO_UNITS})")
+    return let("tx", text, f"filter(concat({lines}, {paragraphs}, {comments}), u -> u.c != '')")
 
 
 def scan(docs: DataFrame, digests: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each licence found: ``id_col``, ``unit`` (text, paragraph, line or paragraphs), ``position``
+    """One row for each licence found: ``id_col``, ``unit`` (text, paragraph, line, paragraphs or comment), ``position``
     (of the unit among those of its kind, from 0; of a run of paragraphs the first one's among those with a
-    letter or digit), ``license``, ``digest``."""
-    text = F.col(text_col)
-    trimmed = F.trim(text)
-    paragraphs = F.split(text, PARAGRAPH)
-    lines = F.split(text, r"\n")
-
-    def units(kind: str, parts: Column) -> Column:
-        return F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("unit"), i.alias("position"), x.alias("part")))
-
-    none = F.array().cast("array<struct<unit:string,position:int,part:string>>")
-    parts = F.concat(
-        units("text", F.array(text)),
-        F.when(F.size(paragraphs) > 1, F.filter(units("paragraph", paragraphs),
-                                                lambda u: F.contains(u["part"], F.lit("\n")))).otherwise(none),
-        F.when(F.size(lines) > 1, units("line", lines)).otherwise(none))
-    found = (docs.where(F.length(trimmed) > 0).select(F.col(id_col), F.explode(parts).alias("u"))
-             .select(id_col, "u.unit", "u.position", canonical(F.col("u.part")).alias("__c"))
-             .where("__c <> ''").withColumn("digest", F.md5("__c")).drop("__c"))
-    names = digests.select("digest", "license").distinct()
-    return (found.join(F.broadcast(names), "digest").select(id_col, "unit", "position", "license", "digest")
-            .unionAll(_runs(docs, digests, id_col, text)))
+    letter or digit, in the text or in its comments), ``license``, ``digest``."""
+    beginnings: dict[str, list[int]] = {}
+    for r in digests.select("anchor", "n_chars").distinct().collect():   # a few for each known text
+        beginnings.setdefault(r["anchor"], []).append(r["n_chars"])
+    pairs = ", ".join(f"'{a}', array({', '.join(map(str, sorted(n)))})" for a, n in sorted(beginnings.items()))
+    lengths = f"map({pairs})" if pairs else "cast(map() as map<string,array<int>>)"
+    found = (docs.where(F.length(F.trim(F.col(text_col))) > 0)
+             .select(F.col(id_col), F.explode(F.expr(_units(f"`{text_col}`", lengths))).alias("u"))
+             .select(id_col, "u.unit", "u.position", F.md5("u.c").alias("digest")))
+    # a caller's table of any size: Spark broadcasts it by its size, or shuffles
+    return found.join(digests.select("digest", "license").distinct(), "digest").select(
+        id_col, "unit", "position", "license", "digest")

@@ -37,7 +37,12 @@ def _sql(s: str) -> str:
 
 
 def _canonical(text: str) -> str:
-    out = f"regexp_replace(lower({text}), {_sql(license_scan.COPYRIGHT_LINE)}, ' ', 'g')"
+    start = r"^[^A-Za-z0-9]*(?:portions )?copyright"
+    marked = start + r"\b[^A-Za-z]*(?:\(c\)|©|[0-9])|^[^A-Za-z0-9]*(?:\(c\) |© ?[0-9]|all rights reserved)"
+    named = rf"{start} .*\b(?:{'|'.join(license_scan.HOLDER_WORDS)})\b"
+    terms = rf"{start} (?:{'|'.join(license_scan.TERMS_AFTER)})\b"
+    out = (f"array_to_string(list_transform(string_split(lower({text}), chr(10)), lambda l: case when regexp_matches(l, {_sql(marked)}) "
+           f"or (regexp_matches(l, {_sql(named)}) and not regexp_matches(l, {_sql(terms)})) then ' ' else l end), chr(10))")
     word = re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", license_scan.NOT_A_WORD)   # the spelling of RE2
     out = f"trim(regexp_replace({out}, {_sql(word)}, ' ', 'g'))"
     for old, new in license_scan.SPELLINGS:

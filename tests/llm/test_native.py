@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -124,6 +126,138 @@ def test_keys_of_ordinary_length_among_words(spark, length):
     assert not any(found[i] for i in range(len(keys), len(found)))
 
 
+def cdf(z):
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
+def test_normal_tails(spark):
+    z = [x / 4 for x in range(-48, 25)]
+    rows = spark.createDataFrame([(x,) for x in z], "z double").selectExpr("z", f"{S.normal_cdf('z')} as p").collect()
+    for r in rows:
+        assert abs(r["p"] / cdf(r["z"]) - 1) < 3e-7
+
+
+def direct_battery(part):
+    """(encoding, p) of a run, by plain loops."""
+    name, letters, effect = next(e for e in S.ENCODINGS if set(part) <= set(e[1]))
+    n, k = len(part), len(letters)
+    x = [letters.index(c) + 1 for c in part]
+    chi = sum((x.count(v) - n / k) ** 2 / (n / k) for v in range(1, k + 1))
+    up = [v * 2 > k for v in x]
+    n1 = sum(up)
+    runs = 1 + sum(a != b for a, b in zip(up, up[1:]))
+    mu = 2 * n1 * (n - n1) / n + 1
+    mean = sum(x) / n
+    var = sum((v - mean) ** 2 for v in x)
+    cov = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:]))
+    battery = cdf((chi - (k - 1 + n * effect)) / math.sqrt(2 * (k - 1 + 2 * n * effect)))
+    structured = mu <= 2 or var == 0
+    if mu > 2:
+        sd = math.sqrt((mu - 1) * (mu - 2) / (n - 1))
+        battery = max(battery, cdf((abs(runs - mu) - S.DEPENDENCE * (mu - 1)) / sd))
+        structured = structured or abs(runs - mu) > S.FAR * sd
+    else:
+        battery = 1.0
+    if var:
+        r = abs(cov / var) * math.sqrt(n)
+        battery = max(battery, cdf(r - S.DEPENDENCE * math.sqrt(n)))
+        structured = structured or r > S.FAR
+    else:
+        battery = 1.0
+    structured = structured or abs(chi - (k - 1)) > S.FAR * math.sqrt(2 * (k - 1) * (n - 1) / n)
+    rate = [0.9 * v / sum(S.LETTER_RATES) + 0.1 / 26 for v in S.LETTER_RATES]
+    symbols = sum(math.log2(rate[ord(c) - 97] if c in S.LOWER else 0.1 if c in S.DIGITS else 0.25) for c in part.lower())
+
+    def chain(order):
+        last, total = 0, 0.0
+        for c in part:
+            kind = "l" if c in S.LOWER else "u" if c in S.UPPER else "d" if c in S.DIGITS else "m"
+            at = order.index(kind)
+            total += math.log2(S.CLASS_RATES[last][at] / 100)
+            last = at + 1
+        return total
+
+    text = 1.0 if name == "decimal" else len(S.ENCODINGS) * 2 ** (symbols + max(chain("ludm"), chain("uldm")) + n * math.log2(k))
+    return name, battery if structured else min(1.0, 2 * battery, 2 * text)
+
+
+def planted_runs():
+    rng = random.Random(4)
+    runs = ["".join(rng.choices(e[1], k=n)) for e in S.ENCODINGS for n in (20, 24, 33, 64, 200)]
+    runs += ["getElementsByClassNameFromRoot", "SPARK_SQL_SHUFFLE_PARTITIONS", "a" * 30, "ab" * 20, "1234567890" * 4,
+             "src/main/java/org/apache/spark", "the-quick-brown-fox-jumps-over", "Z" * 19 + "a", "zzzzzzzzzzzzzzzzzzzzB"]
+    return [r for r in runs if not re.fullmatch("[0-9a-f]{24,}|AKIA[A-Z0-9]{16,}", r)]
+
+
+def test_battery_and_discovery_step_equal_direct_versions(spark):
+    runs = planted_runs()
+    df = spark.createDataFrame([(i, f"word {r}, word") for i, r in enumerate(runs)], "doc_id long, text string")
+    scored = (df.withColumn("s", F.expr(S._scan("text"))).select("doc_id", F.explode(F.expr(S._scored("s.runs"))).alias("r"))
+              .select("doc_id", "r.*"))
+    got = {r["doc_id"]: r for r in scored.collect()}
+    assert len(got) == len(runs)
+    p = {}
+    for i, run in enumerate(runs):
+        name, want = direct_battery(run)
+        assert got[i]["part"] == run and got[i]["encoding"] == name and got[i]["n"] == len(run)
+        assert got[i]["p"] == pytest.approx(want, rel=1e-6, abs=1e-290), run
+        p[i] = want
+    # the weighted step on p-values rounded up to bins, by sorting all of them
+    mean = sum(map(len, runs)) / len(runs)
+    up = {i: 2.0 ** (-min(S.BINS, max(0, math.floor(-math.log2(max(v * mean / len(runs[i]), 1e-300)) * S.BINS_PER_OCTAVE)))
+                     / S.BINS_PER_OCTAVE) for i, v in p.items()}
+    order = sorted(up.values())
+    last = max((k for k, v in enumerate(order, 1) if len(runs) * v <= S.FDR * k), default=0)
+    threshold, avg = S.discovery_threshold(scored)
+    assert avg == pytest.approx(mean) and sum(v <= threshold for v in up.values()) == last
+    # rounding is on the safe side of the step without bins
+    exact = sorted((v * mean / len(runs[i]), i) for i, v in p.items())
+    most = max((k for k, (v, _) in enumerate(exact, 1) if len(runs) * v <= S.FDR * k), default=0)
+    found = {r["doc_id"] for r in S.find_secrets(df).collect() if r["added_spans"]}
+    assert found == {i for i in p if p[i] * mean / len(runs[i]) <= threshold}
+    assert found <= {i for _, i in exact[:most]} and len(found) > 20
+
+
+def test_many_secrets_in_one_text(spark):
+    """20,000 digests, as many assignments and keys: positions and masks of a plain scan, in work that follows the text."""
+    rng = random.Random(9)
+    lines = []
+    for k in range(20_000):
+        lines.append(hashlib.sha256(str(k).encode()).hexdigest() + f"  é😀{k}.txt")
+        if k % 2:
+            lines.append(f"token={k:08d}x password = '{rng.getrandbits(48):012x}' ok")
+        if k % 100 == 0:
+            lines.append("".join(rng.choices(S.UPPER + S.LOWER + S.DIGITS + "+/", k=64)) + " end")
+    text = "\n".join(lines)
+    df = spark.createDataFrame([(1, text, len(text)), (2, "none", 4)], "doc_id long, text string, n_chars long")
+    began = time.perf_counter()
+    row = next(r for r in S.find_secrets(df).collect() if r["doc_id"] == 1)
+    masked = {r["doc_id"]: r for r in S.mask_secrets(df).collect()}
+    assert time.perf_counter() - began < 120
+    assert [(s["start"], s["kind"], s["end"]) for s in row["base_spans"]] == base(text)
+    assert len(row["added_spans"]) > 190 and all(text[s["start"]:s["end"]] == s["part"] for s in row["added_spans"])
+    out, at = [], 0
+    for s in sorted(row["base_spans"] + row["added_spans"]):
+        if s["start"] >= at:
+            out += [text[at:s["start"]], S.MASK]
+        at = max(at, s["end"])
+    want = "".join(out) + text[at:]
+    assert masked[1]["text"] == want and masked[1]["n_chars"] == len(want) and masked[2]["text"] == "none"
+
+
+def test_masks_of_overlapping_spans(spark):
+    texts = ["0123456789abcdef01234567api_key=secretvalue1 x", "token=" + "ab" * 20 + ".x", "AKIA" + "Z" * 20 + "token=abcdefg",
+             "x" * 3000 + " " + "0a" * 700 + " é" * 900 + " passwd:abcdefgh", "0a" * 512 + "token=abcdefgh"]
+    df = spark.createDataFrame(list(enumerate(texts)), "base_spans long, text string")
+    for r in S.mask_secrets(df).collect():
+        text, out, at = texts[r["base_spans"]], [], 0
+        for a, _, z in base(text):
+            if a >= at:
+                out += [text[at:a], S.MASK]
+            at = max(at, z)
+        assert r["text"] == "".join(out) + text[at:]
+
+
 def test_secrets_edge_rows(spark):
     assert S.find_secrets(edge_docs(spark)).count() == 16
     assert sorted(map(str, S.mask_secrets(edge_docs(spark)).collect())) == sorted(map(str, edge_docs(spark).collect()))
@@ -195,6 +329,75 @@ def test_whole_licences_and_licences_in_larger_files(spark):
     assert not got["cut"] and not got["joined"] and ("paragraphs", "Apache-2.0") in got["apache inside"]
 
 
+def direct_runs(paragraphs, known):
+    """(position, licence) of the runs of two or more paragraphs, not all, whose joined forms are a known text."""
+    forms = [p for p in paragraphs if p]
+    out = set()
+    for i in range(len(forms)):
+        for z in range(i + 2, len(forms) + 1):
+            if z - i < len(forms):
+                out |= {(i, lic) for lic in known.get(" ".join(forms[i:z]), ())}
+    return out
+
+
+def test_runs_equal_all_runs(spark):
+    rng = random.Random(2)
+    known_texts = [("A", "one two\n\nthree four five six seven"), ("B", "one two\n\nthree four\n\none two three"), ("C", "three four\none two\n\nthree four five"),
+                   ("D", "alpha beta gamma delta epsilon zeta\n\neta"), ("E", "one two")]
+    known = collections.defaultdict(set)
+    for lic, t in known_texts:
+        known[" ".join(t.split())].add(lic)
+    parts = ["one two", "three four", "three four five six seven", "alpha beta gamma delta epsilon zeta", "eta", "...", "five", "one two three"]
+    texts = ["\n\n".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(200)] + ["\n\n".join(rng.choices(parts, k=1500))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = collections.defaultdict(set)
+    for r in L.scan(df, L.known_digests(spark, tuple(known_texts))).where("unit = 'paragraphs'").collect():
+        got[r["doc_id"]].add((r["position"], r["license"]))
+    for i, t in enumerate(texts[:-1]):
+        assert got[i] == direct_runs([p.replace(".", "") for p in t.split("\n\n")], known), t
+    assert len(got[200]) > 50
+
+
+def test_long_notices(spark):
+    """1,000 licences in one text of over 1 MB: each is found, in work that follows the text."""
+    mit = L.MIT.replace("\n", "\n\n")
+    text = "\n\n".join(f"package{k} by its writers\n\nCopyright (c) 20{k % 100:02d} Writer {k}\n\n{mit}" for k in range(1000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    rows = L.scan(df, L.known_digests(spark)).collect()
+    assert time.perf_counter() - began < 60
+    assert len(text) > 1_000_000
+    assert sorted(r["position"] for r in rows if r["unit"] == "paragraphs") == [4 * k + 1 for k in range(1000)]
+
+
+def test_copyright_lines(spark):
+    lines = ["Copyright Joyent, Inc. and other Node contributors.", "Copyright The Kubernetes Authors", "Copyright Foo Inc. 2019",
+             "Portions copyright (c) 2001 Some One", " * Copyright 2020 A", "(c) 2020 B", "All rights reserved."]
+    terms = ["copyright notice and this permission", "COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS", "copyright and related rights 1999",
+             "copyright owner or its contributors"]
+    df = spark.createDataFrame([(x,) for x in lines + terms], "t string").select("t", L.canonical(F.col("t")).alias("c"))
+    form = {r["t"]: r["c"] for r in df.collect()}
+    assert all(form[x] == "" for x in lines) and all(form[x] for x in terms)
+    rows = [(k, f"{x}\n{L.MIT}") for k, x in enumerate(lines)]
+    found = L.scan(spark.createDataFrame(rows, "doc_id long, text string"), L.known_digests(spark)).where("unit = 'text'").collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(len(lines)))
+
+
+def test_licences_in_comments(spark):
+    known = L.known_digests(spark)
+    header = L.APACHE_HEADER.split("\n")
+    mit = L.MIT.split("\n")
+    rows = [(1, "/*\n * Copyright 2020 A\n *\n * " + "\n *\n * ".join(header) + "\n */\npackage x;\nint a;"),
+            (2, "#!/bin/sh\n# tool that does things\n#\n# " + "\n#\n# ".join(header) + "\nset -e\nls"),
+            (3, "// " + "\n// ".join(mit) + "\nfn main() {}"), (4, "/* " + "\n\n".join(mit) + " */ int x;"),
+            (5, "/* some words */ int x; // others"), (6, "-- " + "\n-- ".join(header) + "\n--\n-- more\nselect 1")]
+    got = collections.defaultdict(set)
+    for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string"), known).collect():
+        got[r["doc_id"]].add((r["unit"], r["license"]))
+    assert {k: ("comment", "Apache-2.0") in got[k] for k in (1, 2, 6)} == {1: True, 2: True, 6: True}
+    assert ("comment", "MIT") in got[3] and ("comment", "MIT") in got[4] and not got[5]
+
+
 # ---- URL lists ----------------------------------------------------------------------
 
 def test_temporal_lists(spark):
@@ -220,7 +423,3 @@ def test_temporal_lists(spark):
     # other spans give the same verdicts
     again = {(r["page_id"], r["verdict"], tuple(r["lists"])) for r in U.judge(df, changes, span=10**7).collect()}
     assert again == got
-
-
-def test_sentence_helper_is_stable():
-    assert sentence(5, 1) == sentence(5, 1)
