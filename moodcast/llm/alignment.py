@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -87,7 +88,7 @@ class TokenPair:
         a, off = self.a.encode([" " + t if t else "" for t in texts])
         parts = self.b.encode(texts, num_threads=1) if texts else []
         n_a, n_b = np.diff(off), np.array([len(p) if t else 0 for p, t in zip(parts, texts)], np.int64)
-        b = np.fromiter((i for p, t in zip(parts, texts) if t for i in p), np.int64, int(n_b.sum()))
+        b = np.fromiter(chain.from_iterable(p for p, t in zip(parts, texts) if t), np.int64, int(n_b.sum()))
         raw = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
         size = np.array([len(r) for r in raw], np.int64)
         want = np.frombuffer(b"".join(raw), np.uint8)
@@ -119,11 +120,15 @@ def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     """All pairs of tokens that overlap: columns doc, a, b, a_end, b_end."""
     def covering(left: pd.DataFrame, right: pd.DataFrame, l: str, r: str) -> pd.DataFrame:
         """The right side's token that covers the start of each left token."""
-        hit = pd.merge_asof(left, right, on="start", by="doc", suffixes=("_l", "_r"))
-        return pd.DataFrame({"doc": hit["doc"], l: hit["token_l"], r: hit["token_r"], f"{l}_end": hit["end_l"], f"{r}_end": hit["end_r"]})
+        hit = pd.merge_asof(left, right.assign(other=right["start"]), on="start", by="doc", suffixes=("_l", "_r"))
+        return pd.DataFrame({"doc": hit["doc"], l: hit["token_l"], r: hit["token_r"], f"{l}_end": hit["end_l"], f"{r}_end": hit["end_r"],
+                             "same_start": hit["start"] == hit["other"]})
 
-    both = pd.concat([covering(a, b, "a", "b"), covering(b, a, "b", "a")[["doc", "a", "b", "a_end", "b_end"]]])
-    return both.drop_duplicates(["a", "b"]).sort_values(["a", "b"], ignore_index=True)
+    # tokens that start together are found from both sides
+    other = covering(b, a, "b", "a")
+    both = pd.concat([covering(a, b, "a", "b"), other[~other["same_start"]]])[["doc", "a", "b", "a_end", "b_end"]]
+    # from one overlap to the next, one token or both go on: the sum of their numbers orders them
+    return both.iloc[np.argsort((both["a"] + both["b"]).to_numpy(), kind="stable")]
 
 
 class _Labels:
@@ -148,7 +153,7 @@ def aligned(pair: TokenPair, labels: _Labels, texts: list[str]) -> dict[str, lis
     link = both[both["a_end"] == both["b_end"]]
     docs = len(texts)
     n_links = np.bincount(link["doc"], minlength=docs)
-    ends = np.unique(link["a_end"].to_numpy())
+    ends = link["a_end"].to_numpy()   # in order, each once
     doc_of = np.searchsorted(ends, np.cumsum(np.bincount(a["doc"], a["end"] - a["start"], docs)), "right")
     n_groups = np.diff(doc_of, prepend=0)
     # tokens in order of group, side and place
@@ -156,7 +161,7 @@ def aligned(pair: TokenPair, labels: _Labels, texts: list[str]) -> dict[str, lis
     side = np.repeat([0, 1], [len(a), len(b)])
     group = np.searchsorted(ends, np.concatenate([a["end"], b["end"]]), "left")
     doc = np.concatenate([a["doc"], b["doc"]])
-    order = np.lexsort((side, group))   # stable: places stay in order
+    order = np.argsort(group * 2 + side, kind="stable")   # places stay in order
     token, side, group, doc = token[order], side[order], group[order], doc[order]
     last = np.append(group[1:] != group[:-1], True) if len(group) else np.zeros(0, bool)
     turn = np.append(side[1:] != side[:-1], True) if len(side) else last
@@ -165,11 +170,13 @@ def aligned(pair: TokenPair, labels: _Labels, texts: list[str]) -> dict[str, lis
     cut = np.searchsorted(doc, np.arange(docs + 1)).tolist()
     digest = [hashlib.sha256("".join(text[x:y]).encode()).hexdigest() if y > x else "" for x, y in zip(cut, cut[1:])]
     # distinct pairs of each text
-    linked = pd.DataFrame({"doc": link["doc"], "pair": ids_a[link["a"]] * PAIR + ids_b[link["b"]]}).value_counts(
-        sort=False).reset_index(name="n").sort_values(["doc", "pair"])
-    at = np.searchsorted(linked["doc"].to_numpy(), np.arange(docs + 1))
+    wide, kinds = len(pair.bytes_b.length), len(pair.bytes_a.length) * len(pair.bytes_b.length)
+    key = np.sort(link["doc"].to_numpy() * kinds + ids_a[link["a"]] * wide + ids_b[link["b"]])
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    key, times = key[first], np.diff(first, append=len(key))
+    at = np.searchsorted(key, np.arange(docs + 1) * kinds)
     return {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups_sha256": digest,
-            "pairs": _lists(linked["pair"].to_numpy(), at), "times": _lists(linked["n"].to_numpy(), at)}
+            "pairs": _lists(key % kinds // wide * PAIR + key % wide, at), "times": _lists(times, at)}
 
 
 def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
