@@ -19,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from moodcast.llm import decontaminate, language_id, ngram_join, packing, secret_scan
-from moodcast.llm.common import materialise
+from moodcast.llm.common import discard, materialise, temporary_tables
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +57,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+    for n, (name, stage) in enumerate(STAGES):
+        with temporary_tables(spark):   # only the stage's output outlives it
+            kept = materialise(stage(spark, docs, sf_dir), name, scoped=False)
+        if n:
+            discard(docs)
+        docs = kept
     return docs
