@@ -63,9 +63,9 @@ def learned_abbreviations(counts: DataFrame, threshold: float = ABBREVIATION_SCO
     """(type, n, n_period, score) of the types with a letter whose score reaches ``threshold``."""
     types = counts.where("type rlike '[a-z]'").groupBy("type").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("period"), F.col("n")).otherwise(0)).alias("n_period"))
-    whole = counts.agg(F.sum("n").alias("_n"), F.sum(F.when(F.col("period"), F.col("n")).otherwise(0)).alias("_p"))
-    t = types.where("n_period > 0").join(F.broadcast(whole))   # one row
-    rate = F.col("_p") / F.col("_n")
+    ended = F.sum(F.when(F.col("period"), F.col("n")).otherwise(0))
+    t = types.where("n_period > 0").withColumn("_rate", counts.agg(ended / F.sum("n")).scalar())   # one number
+    rate = F.col("_rate")
     without = F.col("n") - F.col("n_period")
     chance = _xlog(F.col("n_period"), rate) + _xlog(without, 1 - rate)
     abbreviation = _xlog(F.col("n_period"), F.lit(PERIOD_RATE)) + _xlog(without, F.lit(1 - PERIOD_RATE))
@@ -80,8 +80,8 @@ def learned_starters(counts: DataFrame, abbreviations: DataFrame, threshold: flo
     words = counts.groupBy(F.col("type").alias("word")).agg(F.sum("n").alias("n"))
     after = (counts.where("period and next <> ''").join(abbreviations.select("type"), "type", "left_anti")
              .groupBy(F.col("next").alias("word")).agg(F.sum("n").alias("n_after")))
-    whole = words.agg(F.sum("n").alias("_n")).join(after.agg(F.sum("n_after").alias("_a")))   # one row each
-    t = after.join(words, "word").join(F.broadcast(whole))
+    t = (after.join(words, "word").withColumn("_n", words.agg(F.sum("n")).scalar())
+         .withColumn("_a", after.agg(F.sum("n_after")).scalar()))   # one number each
     k, a, n, total = F.col("n_after"), F.col("_a"), F.col("n"), F.col("_n")
     p, p1, p2 = n / total, k / a, (n - k) / (total - a)
 
