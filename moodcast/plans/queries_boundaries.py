@@ -42,6 +42,48 @@ select "type", n, n_period, score from (
              (select all_n all_n0, all_p all_p0 from whole) w where n_period > 0) h) k
 where score >= 0.3"""),
 ]
+_K, _A, _N, _ALL = "n_after", "after_n", "word_n", "words_n"
+
+
+def _log_likelihood(hits: str, tries: str, rate: str) -> str:
+    return (f"(case when {hits} > 0 then {hits} * ln({rate}) else 0 end"
+            f" + case when {tries} - {hits} > 0 then ({tries} - {hits}) * ln(1 - {rate}) else 0 end)")
+
+
+_ONE, _IN, _OUT = f"({_N} / {_ALL})", f"({_K} / {_A})", f"(({_N} - {_K}) / ({_ALL} - {_A}))"
+_REST = f"({_N} - {_K})", f"({_ALL} - {_A})"
+_SPLIT = _LEARN + [
+    ("after_stop", """
+select nxt word, cast(sum(n) as double) n_after from counts
+where period and nxt <> '' and "type" not in (select "type" from abbr) group by 1"""),
+    ("candidates", """
+select a.word, a.n_after, w.word_n, (select cast(sum(n) as double) from counts) words_n,
+  (select sum(n_after) from after_stop) after_n
+from after_stop a join (select "type", cast(sum(n) as double) word_n from counts group by 1) w on a.word = w."type" """),
+    ("starters", f"""
+select word from candidates where {_K} <= {_A} and {_N} >= {_K} and {_ALL} > {_A} and {_IN} > {_ONE}
+  and -2 * ({_log_likelihood(_K, _A, _ONE)} + {_log_likelihood(*_REST, _ONE)}
+            - {_log_likelihood(_K, _A, _IN)} - {_log_likelihood(*_REST, _OUT)}) > 30"""),
+    ("cut", r"""
+select id, line_no, string_split(regexp_replace(line, '([.!?]+[\])''"]*) ', '\1' || chr(10), 'g'), chr(10)) ps from lines"""),
+    ("parts", """
+select *, row_number() over (partition by id order by line_no, i) "at" from (
+  select id, line_no, i, trim(ps[i], ' ') part from (select *, unnest(generate_series(1, len(ps))) i from cut) x) y
+where part <> ''"""),
+    ("ends", f"""
+select *, {_bare("string_split(part, ' ')[-1]")} last_token, string_split(part, ' ')[1] first_token from parts"""),
+    ("known", f"""
+select *, coalesce(ends_with(last_token, '.') and {_STEM.format('last_token')} in (select "type" from abbr), false) abbreviated,
+  coalesce(regexp_matches(first_token, '^[^a-zA-Z0-9]*[A-Z]')
+           and {_STEM.format(_bare('first_token'))} in (select word from starters), false) starts
+from ends"""),
+    ("opened", """
+select *, case when lag(abbreviated) over w and not starts and lag(line_no) over w = line_no then 0 else 1 end opens
+from known window w as (partition by id order by "at")"""),
+    ("joined", """
+select id, s, string_agg(part, ' ' order by "at") sentence
+from (select *, sum(opens) over (partition by id order by "at") s from opened) z group by id, s"""),
+]
 
 
 def _texts(fx):
@@ -60,7 +102,9 @@ def q_learned_abbreviations(fx):
     return found.select("type", "n", "n_period", F.round("score", 6).alias("score"))
 
 
-@register("q_learned_sentences")
+@register("q_learned_sentences", with_fixtures("""
+select id, cast(row_number() over (partition by id order by s) - 1 as int) sent_idx, sentence
+from joined where regexp_matches(sentence, '[^.!? ]')""", ["raw_posts"], _SPLIT))
 def q_learned_sentences(fx):
     """Sentences of the texts, split with the learned abbreviations and starters."""
     texts = _texts(fx)
