@@ -295,7 +295,11 @@ def _sentence_scores(sents: DataFrame, lexicon: DataFrame, rules: Rules) -> Data
 def sentence_polarity(df: DataFrame, id_col: str, text, lexicon: DataFrame,
                       rules: Rules = FULL, spread: int | None = None) -> DataFrame:
     """TXT-2: (id, sent_idx, polarity) for every sentence, neutral ones 0."""
-    sents = sentences(df, id_col, text, spread)
+    return score_sentences(sentences(df, id_col, text, spread), lexicon, rules)
+
+
+def score_sentences(sents: DataFrame, lexicon: DataFrame, rules: Rules = FULL) -> DataFrame:
+    """TXT-2 on sentences that are cut already: (id, sent_idx, sentence) -> (id, sent_idx, polarity)."""
     every = sents.select("id", "sent_idx", F.lit(0.0).alias("polarity"))
     return (_sentence_scores(sents, lexicon, rules).unionByName(every).groupBy("id", "sent_idx")
             .agg(F.sum("polarity").alias("polarity")))

@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from moodcast import params as P
 from moodcast import schemas as S
 from moodcast.operators import text as T
-from moodcast.operators.ingest import incremental_sentiment
+from moodcast.operators.ingest import Scorer, incremental_sentiment
 from moodcast.operators.history import history_of, latest_scores, newest_polls, splice
+from moodcast.operators.memo import memo_version, sentence_refs, sentiment_from_memo, unseen_polarities
 from moodcast.operators.upsert import upsert_posts, upsert_rows
-from moodcast.sources.store import as_store, merge_into, stage, unstage, with_dt
+from moodcast.sources.store import TableStore, as_store, merge_into, stage, unstage, with_dt, write_table
 from moodcast.sources.tables import conform
 
 TABLES = {
@@ -42,11 +43,37 @@ class IngestReport:
     counts: dict
 
 
+def memo_scorer(spark: SparkSession, store: TableStore, lexicon: DataFrame, rules: T.Rules,
+                as_of: int, tag: str, scratch: list[DataFrame]) -> Scorer:
+    """A scorer that looks sentences up in ``sentence_memo`` and appends those it lacks.
+
+    Polarities depend on nothing but their key, so a retry that appends a row
+    again changes no result. The rows lie under the date of ``as_of``. Staged
+    tables are put into ``scratch`` for the caller to remove.
+    """
+    version = memo_version(lexicon, rules)
+
+    def score(df: DataFrame, carry: list) -> DataFrame:
+        refs = stage(spark, sentence_refs(df, "id", "text", carry), f"refs_{tag}")
+        stored = (store.read(spark, "sentence_memo", S.SENTENCE_MEMO) if store.exists(spark, "sentence_memo")
+                  else spark.createDataFrame([], S.SENTENCE_MEMO))
+        fresh = unseen_polarities(df, "text", refs, lexicon, stored, version, rules)
+        fresh = stage(spark, with_dt(fresh.withColumn("_as_of", F.lit(int(as_of))), "_as_of").drop("_as_of"), f"memo_{tag}")
+        write_table(fresh, store.path("sentence_memo"), mode="append")
+        scratch.extend([refs, fresh])
+        return sentiment_from_memo(refs, store.read(spark, "sentence_memo", S.SENTENCE_MEMO), version, carry)
+
+    return score
+
+
 def run_ingest(spark: SparkSession, root, batch: DataFrame, lexicon: DataFrame,
                as_of: int, batch_id: str, version: str = P.SCORER_VERSION,
-               rules: T.Rules = T.FULL) -> IngestReport:
+               rules: T.Rules = T.FULL, memo: bool = False) -> IngestReport:
     """Apply one batch to the three post tables.
 
+    With ``memo`` the polarities of sentences are kept in ``sentence_memo`` and
+    only sentences it lacks are scored (``memo_scorer``); results are the same.
+
     Rows without an id or a creation time (such as malformed landed lines) are
     set aside and counted as ``rejected``. A poll without a time counts as taken
     when its post was created.
@@ -70,11 +97,15 @@ def run_ingest(spark: SparkSession, root, batch: DataFrame, lexicon: DataFrame,
     history = store.read(spark, "score_history", S.SCORE_HISTORY).filter(F.col("dt").isin(dates)).join(
         b.select("id", "dt"), ["id", "dt"], "left_semi")
     b = newest_polls(b, history)
+    scratch: list[DataFrame] = []
+    scorer = memo_scorer(spark, store, lexicon, rules, as_of, batch_id, scratch) if memo else None
     merge_into(
         spark, store, "submission_sentiments", S.SUBMISSION_SENTIMENTS, b,
         lambda stored, u: incremental_sentiment(stored, u, lexicon, as_of, version, rules,
-                                                observation=obs["sentiments"])[0],
+                                                scorer=scorer, observation=obs["sentiments"])[0],
         f"sentiments_{batch_id}", dates)
+    for table in scratch:
+        unstage(spark, table)
     fields = [f for f in S.POST_FIELDS if f != "id"] + ["dt"]
     merge_into(
         spark, store, "submissions", S.SUBMISSIONS, b,

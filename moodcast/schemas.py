@@ -31,6 +31,9 @@ SCORE_HISTORY = T.StructType([
 SUBMISSION_SENTIMENTS = _struct(
     ("id", _S), ("hash_check", _S), ("updated_timestamp", _L), ("sentiment_value", _D))
 
+# polarities by content (operators/memo.py)
+SENTENCE_MEMO = _struct(("version", _S), ("hash", T.BinaryType()), ("polarity", _D))
+
 HOURLY = _struct(("timestamp", _L), ("subreddit", _S), ("sum_sentiment_score", _D))
 
 DAILY = _struct(("timestamp", _L), ("subreddit", _S), ("sum_sentiment_score", _D),

@@ -43,7 +43,7 @@ def dedupe_polls(polls: DataFrame, delay: str = "1 hour") -> DataFrame:
 def start_ingest_stream(spark: SparkSession, landing: str, root: str, lexicon: DataFrame,
                         checkpoint: str, as_of_fn=None, available_now: bool = True,
                         fmt: str = "parquet", analyse: P.AnalysisParams | None = None,
-                        max_files: int | None = None) -> StreamingQuery:
+                        max_files: int | None = None, memo: bool = False) -> StreamingQuery:
     """STR-1: landing files -> foreachBatch(set-based ingest) with a checkpoint.
 
     ``as_of_fn(batch_id)`` supplies the clock (tests pass a fixed one). A
@@ -58,7 +58,7 @@ def start_ingest_stream(spark: SparkSession, landing: str, root: str, lexicon: D
 
     def apply(df: DataFrame, batch_id: int) -> None:
         as_of = as_of_fn(batch_id) if as_of_fn else int(_time.time())
-        touched = run_ingest(spark, root, df, lexicon, as_of, f"{batch_id:08d}").dates
+        touched = run_ingest(spark, root, df, lexicon, as_of, f"{batch_id:08d}", memo=memo).dates
         if analyse is not None and touched:
             p = dataclasses.replace(analyse, as_of=as_of)
             run_analysis(spark, root, p, f"stream_{batch_id:08d}", dates=touched)
