@@ -92,6 +92,70 @@ def price_pages(events: DataFrame) -> DataFrame:
     return nasdaq.unionByName(bitcoin)
 
 
+# The row of FIXTURES.md for each remainder of the event id by ten, in this
+# order, for both layouts: {d} the date or time, {v} the price with a thousands comma,
+# {p} its three digits after that comma.
+ROWS_A = (
+    '<tr class="datatable_row__Hk3IV"><td><time>{d}</time></td><td> {v} </td></tr>',
+    "<tr data-n='1 > 0' class='odd datatable_row__Hk3IV'><td><time>{d}</time></td><td>{v}</td></tr>",
+    '<tr class="datatable_row__Hk3IVx"><td><time>1/1/2000</time></td><td>9</td></tr>'
+    '<tr class=datatable_row__Hk3IV><td><time>{d}</time></td><td>{v}</td></tr>',
+    '<TR CLASS="datatable_row__Hk3IV"><TD><TIME>{d}</TIME></TD><TD>{v}</TD></TR>',
+    '<!-- <tr class="datatable_row__Hk3IV"><td><time>1/1/2000</time></td><td>9</td></tr> -->'
+    '<tr class="datatable_row__Hk3IV"><td><time>{d}</time></td><td>{v}</td></tr>',
+    '<tr class="datatable_row__Hk3IV"><td>{d}</td><td>{v}</td></tr>',
+    '<tr class="datatable_row__Hk3IV"><td><time>{d}</time><td>{v}',
+    '<tr class="datatable_row__Hk3IV"><td><time>{d}</time></td><td>{v}</td>'
+    '<td><table><tr><td>x</td><td>5</td></tr></table></td></tr>',
+    '<tr class="datatable_row__Hk3IV"><td>&nbsp;<time>{d}</time></td><td><b>1&#44;</b>{p}&#x2e;50&nbsp;</td></tr>',
+    '<tr class="datatable_row__Hk3IV"><td><time>{d}</time></td><td>n/a</td></tr>',
+)
+ROWS_B = (
+    '<tr><td data-real-value="{d}">x</td><td data-real-value="{v}">y</td></tr>',
+    "<tr><td class='a > b' data-real-value='{d}'>x</td><td data-real-value='{v}'>y</td></tr>",
+    '<tr><td data-real-value={d}>x</td><td data-real-value={v}>y</td></tr>',
+    '<TR><TD DATA-REAL-VALUE="{d}">x</TD><TD DATA-REAL-VALUE="{v}">y</TD></TR>',
+    '<!-- <tr><td data-real-value="1">x</td><td data-real-value="2">y</td></tr> -->'
+    '<tr><td data-real-value="{d}">x</td><td data-real-value="{v}">y</td></tr>',
+    '<tr><td>no attribute</td><td data-real-value="{v}">y</td></tr>',
+    '<tr><td data-real-value="{d}">x<td data-real-value="{v}">y',
+    '<tr><td data-real-value="{d}">x</td><td data-real-value="{v}"><div>y</div></td>'
+    '<td><table><tr><td data-real-value="1">x</td><td data-real-value="2">y</td></tr></table></td></tr>',
+    '<tr><td data-real-value="{d}">x</td><td title=" data-real-value=7" data-real-value="1&#44;{p}&#x2E;25">y</td></tr>',
+    '<tr><td data-real-value="{d}">x</td><td data-real-value="">y</td></tr>',
+)
+PAGE_A = ("<html><script>var t = '<tr class=\"datatable_row__Hk3IV\"><td><time>1/2/2001</time></td><td>7</td></tr>';</script>"
+          "<body><table>", "</table></body></html>")
+PAGE_B = ('<div><div id=results_box><div><table><thead><tr><td data-real-value="1">a</td><td data-real-value="2">b</td></tr>'
+          '</thead><tbody>', '</tbody></table></div></div><table><tbody><tr><td data-real-value="1">a</td>'
+          '<td data-real-value="2">b</td></tr></tbody></table></div>')
+PAGE_EVENTS = 100
+
+
+def price_archive(events: DataFrame) -> DataFrame:
+    """Pages of many rows, malformed and nested ones included: one for each 100 event ids and series."""
+    digits = F.lpad((F.floor("value").cast("bigint") % 1000).cast("string"), 3, "0")
+    day = F.date_format(F.date_from_unix_date(F.floor(epoch("ts") / 86400.0).cast("int")), "MM/dd/yyyy")
+
+    def rows(forms, when: Column, cents: str) -> Column:
+        price = F.concat(F.lit("1,"), digits, F.lit(cents))
+        form = F.get(F.array(*[F.lit(x) for x in forms]), F.pmod(_eid(), F.lit(10)).cast("int"))
+        return F.replace(F.replace(F.replace(form, F.lit("{d}"), when), F.lit("{v}"), price), F.lit("{p}"), digits)
+
+    first = F.col("event_type").isin("click", "view")
+    row = F.when(first, rows(ROWS_A, day, ".50")).otherwise(rows(ROWS_B, epoch("ts").cast("string"), ".25"))
+    name = F.when(first, F.lit("nasdaq")).otherwise(F.lit("bitcoin"))
+    page = F.floor(_eid() / F.lit(PAGE_EVENTS)).cast("string")
+    pages = (events.select(F.concat(F.substring(name, 1, 1), page).alias("page_id"), name.alias("name"), _eid().alias("e"),
+                           row.alias("row")).groupBy("page_id", "name")
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("e", "row"))), lambda x: x["row"]), "")
+                  .alias("rows")))
+    a = F.col("name") == "nasdaq"
+    return pages.select("page_id", "name", F.concat(
+        F.when(a, F.lit(PAGE_A[0])).otherwise(F.lit(PAGE_B[0])), "rows",
+        F.when(a, F.lit(PAGE_A[1])).otherwise(F.lit(PAGE_B[1]))).alias("html"))
+
+
 def scores_old(events: DataFrame) -> DataFrame:
     """The stored side: six tenths of the ids."""
     s = submission_scores(events)
@@ -228,6 +292,9 @@ class Fixture:
     def price_pages(self):
         return price_pages(self.events)
 
+    def price_archive(self):
+        return price_archive(self.events)
+
     def scores_old(self):
         return scores_old(self.events)
 
