@@ -29,4 +29,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from moodcast.plans import queries_boundaries, queries_core, queries_delta, queries_history, queries_markup, queries_memo, queries_read, queries_text, queries_write  # noqa: F401
+    from moodcast.plans import queries_boundaries, queries_core, queries_delta, queries_history, queries_markup, queries_memo, queries_phrases, queries_read, queries_text, queries_write  # noqa: F401

@@ -256,6 +256,20 @@ def rule_posts(documents: DataFrame) -> DataFrame:
     return raw_posts(documents).withColumn("selftext", out)
 
 
+PHRASE_WORDS = (1, 2, 3, 5)
+
+
+def phrase_lexicon(benchmark: DataFrame) -> DataFrame:
+    """All runs of 1, 2, 3 and 5 words of the benchmark texts (words of two or more letters), with a value from their length."""
+    words = F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N} ]+", ""), " "), lambda w: F.length(w) > 1)
+
+    def runs(n: int) -> Column:
+        return F.transform("w", lambda w, i: F.when(i + n <= F.size("w"), F.array_join(F.slice("w", i + 1, n), " ")))
+
+    return (benchmark.select(words.alias("w")).select(F.explode(F.concat(*map(runs, PHRASE_WORDS))).alias("phrase")).where("phrase is not null")
+            .distinct().withColumn("valence", (F.length("phrase") % 9 - 4).cast("double") / 2))
+
+
 class Fixture:
     """Lazily derived fixture tables for one scale-factor directory."""
 
@@ -295,6 +309,9 @@ class Fixture:
     def price_archive(self):
         return price_archive(self.events)
 
+    def phrase_lexicon(self):
+        return phrase_lexicon(self.table("benchmark"))
+
     def scores_old(self):
         return scores_old(self.events)
 
