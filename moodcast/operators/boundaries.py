@@ -41,17 +41,25 @@ def _bare(token: Column) -> Column:
 
 def token_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(type, period, next, n): tokens of each type with and without a final period; after a period also the next
-    word's type (empty at the end of a line), which is NULL elsewhere so that the table stays small."""
-    toks = F.flatten(F.transform(_lines(F.col(text_col)), lambda x: F.concat(
-        F.filter(F.split(F.trim(x), " "), lambda t: t != ""), F.array(F.lit("")))))   # an empty token ends a line
-    # each token with the next one: one array, exploded once
-    pairs = F.zip_with(toks, F.slice(toks, 2, F.greatest(F.size(toks), F.lit(1))), lambda a, b: F.struct(
-        _bare(a).alias("token"), F.coalesce(_bare(b), F.lit("")).alias("next")))
-    rows = df.select(F.explode(pairs).alias("p")).select("p.token", "p.next").where("token rlike '[a-z0-9]'")
+    word's type (empty at the end of a line), which is NULL elsewhere so that the table stays small.
+
+    Tokens are first counted as they are written, in the map tasks; the patterns then read each distinct one once.
+    A job that reads the counts more than once stages them, so that the texts are read once.
+    """
+    ends_lines = F.replace(F.regexp_replace(F.col(text_col), BLANKS_RE, " "), F.lit("\n"), F.lit(" \n "))   # an end is a token
+    toks = df.select(F.filter(F.split(ends_lines, " "), lambda t: t != "").alias("_toks"))
+    # each token with the next one, kept only where a period may stand before it: one array, exploded once
+    pairs = F.arrays_zip(F.col("_toks").alias("token"), F.slice("_toks", 2, F.greatest(F.size("_toks"), F.lit(1))).alias("next"))
+    raw = (toks.select(F.explode(pairs).alias("p")).where(F.col("p.token") != "\n")
+           .select(F.lower("p.token").alias("token"), F.when(F.contains("p.token", F.lit(".")), F.lower("p.next")).alias("next"))
+           .groupBy("token", "next").agg(F.count("*").alias("n")))
+    # the condition names the count, so that it is tested on the counted tokens, not on every one before
+    rows = (raw.select(_bare(F.col("token")).alias("token"), F.coalesce(_bare(F.col("next")), F.lit("")).alias("next"), "n")
+            .where(F.when(F.col("n") > 0, F.col("token").rlike("[a-z0-9]"))))
     period = F.col("token").endswith(".")
     return (rows.select(F.regexp_replace("token", r"\.+$", "").alias("type"), period.alias("period"),
-                        F.when(period, F.regexp_replace("next", r"\.+$", "")).alias("next"))
-            .groupBy("type", "period", "next").agg(F.count("*").alias("n")))
+                        F.when(period, F.regexp_replace("next", r"\.+$", "")).alias("next"), "n")
+            .groupBy("type", "period", "next").agg(F.sum("n").alias("n")))
 
 
 def _xlog(k: Column, p: Column) -> Column:

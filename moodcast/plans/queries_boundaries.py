@@ -8,6 +8,7 @@ from moodcast.operators import text as T
 from moodcast.operators.boundaries import learned_abbreviations, learned_sentences, learned_starters, token_counts
 from moodcast.plans.oracle_fixtures import with_fixtures
 from moodcast.plans.registry import register
+from moodcast.sources.store import stage
 
 # abbreviations put into the given texts: "vs." for a word that is frequent, "e.g." for another
 _SWAPS = ((" with ", " vs. "), (" by ", " e.g. "))
@@ -94,11 +95,16 @@ def _texts(fx):
         fx.spark.sparkContext.defaultParallelism, "id")
 
 
+def _counts(fx, texts):
+    """The token counts, which every later step reads: staged, so that the texts are counted once."""
+    return stage(fx.spark, token_counts(texts), "query_tokens")
+
+
 @register("q_learned_abbreviations", with_fixtures(
     'select "type", n, n_period, round(score, 6) score from abbr', ["raw_posts"], _LEARN))
 def q_learned_abbreviations(fx):
     """Types that carry a final period as an abbreviation does."""
-    found = learned_abbreviations(token_counts(_texts(fx)))
+    found = learned_abbreviations(_counts(fx, _texts(fx)))
     return found.select("type", "n", "n_period", F.round("score", 6).alias("score"))
 
 
@@ -108,6 +114,6 @@ from joined where regexp_matches(sentence, '[^.!? ]')""", ["raw_posts"], _SPLIT)
 def q_learned_sentences(fx):
     """Sentences of the texts, split with the learned abbreviations and starters."""
     texts = _texts(fx)
-    counts = token_counts(texts)
+    counts = _counts(fx, texts)
     abbreviations = learned_abbreviations(counts)
     return learned_sentences(texts, "id", "text", abbreviations, learned_starters(counts, abbreviations))

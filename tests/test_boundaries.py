@@ -2,8 +2,10 @@
 
 import math
 
+from __spark_entry__ import queries
 from moodcast.operators.boundaries import learned_abbreviations, learned_sentences, learned_starters, token_counts
-from tests.conftest import rows
+from tests.conftest import SF_SMALL, rows
+from tests.test_plans import plan
 
 WORDS = ("again", "others", "twice", "today", "later")
 TEXTS = ["The U.S. index fell by a lot. It rose later.", "He met Dr. Smith today. It was fine."] + [
@@ -55,3 +57,18 @@ def test_awkward_texts(spark):
                    (6, 0, "a!"), (6, 1, "b?"), (6, 2, "c"), (7, 0, "(see vs.) other")]
     assert token_counts(frame(spark, texts).limit(0)).count() == 0
     assert learned_abbreviations(token_counts(frame(spark, texts).limit(0))).count() == 0
+
+
+def test_texts_are_counted_once(spark):
+    learn = plan(token_counts(frame(spark)))
+    below = learn.rsplit("partial_count", 1)[1].split("Generate")[0]   # between the tokens and their first count
+    assert "RLIKE" not in below and "regexp_replace" not in below
+    for name, scans in (("q_learned_abbreviations", 0), ("q_learned_sentences", 1)):   # the split reads them, the counts are staged
+        assert plan(queries()[name](spark, SF_SMALL)).count("FileScan parquet [doc_id") == scans, name
+
+
+def test_counts_of_awkward_lines(spark):
+    texts = ["a.\tb.\r\n.. c. \n\n (D.) e.\x0b f.", "\n", " g.", None]
+    assert rows(token_counts(frame(spark, texts))) == [
+        ("a", True, "b", 1), ("b", True, "", 1), ("c", True, "", 1), ("d", True, "e", 1), ("e", True, "f", 1),
+        ("f", True, "", 1), ("g", True, "", 1)]
