@@ -12,7 +12,9 @@ tokens of a page play the automaton:
 So attributes may stand in any order, with either quotes or none, tags in any
 case, values behind entities, and tables inside cells: their text belongs to
 their own cells. All windows and groupings are by page first, so one shuffle of
-tokens serves them all and a long page spills instead of growing in memory.
+pages serves them all and a long page spills instead of growing in memory.
+The pages are dealt over as many tasks as they have ``TASK_BYTES``: each window
+sorts a task's tokens anew, so what a task holds must not grow with the table.
 
 Defined cases: a page without an id gives no rows (``page_id`` is the key of the
 table); a NULL or empty page, or one without such rows, gives none; rows whose
@@ -22,6 +24,8 @@ opens no tag is text; a tag with over 400 quoted parts is text.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +48,8 @@ EDGES_RE = r"^[\s\u00a0]+|[\s\u00a0]+$"
 ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 CELLS = ("td", "th")
 SECTIONS = ("tbody", "thead", "tfoot")
+# Pages of so many bytes share a task; all sorts of their tokens together take about a hundred times that.
+TASK_BYTES = 4 << 20
 
 
 def decode_entities(c) -> Column:
@@ -76,9 +82,17 @@ def attribute(tag, name: str) -> Column:
     return F.when(F.array_contains(names, name), decode_entities(bare))
 
 
+def dealt(pages: DataFrame, html: str = "html", task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The pages with an id, dealt by it over one task for each ``task_bytes`` of them (a number read from the table)."""
+    known = pages.where("page_id is not null")
+    size = known.agg(F.sum(F.octet_length(col_(html)))).first()[0] or 0
+    least = pages.sparkSession.sparkContext.defaultParallelism
+    return known.repartition(max(least, math.ceil(size / task_bytes)), "page_id")
+
+
 def tokens(pages: DataFrame, html: str = "html") -> DataFrame:
     """(page_id, pos, tok, name): tags with their lower-case name ("/name" for end tags), text with an empty one."""
-    toks = pages.where("page_id is not null").select(
+    toks = dealt(pages, html).select(
         "page_id", F.posexplode(F.regexp_extract_all(col_(html), F.lit(TOKEN_RE), 0)).alias("pos", "tok"))
     return (toks.where(~F.col("tok").rlike(SKIPPED_RE))
             .withColumn("name", F.lower(F.regexp_extract("tok", NAME_RE, 1))))
@@ -144,7 +158,10 @@ def table_rows(toks: DataFrame, carry: tuple = ()) -> DataFrame:
 
     flags = [F.max(F.when(at_tr, F.col(c))).alias(c) for c in ("in_body", *carry)]
     tags = [F.max(F.when((F.col("cell") == k) & name.isin(*CELLS), F.col("tok"))).alias(f"open_{k}") for k in (1, 2)]
-    kept = table_tokens(toks).where(F.col("in_row") & (at_tr | (name == "time") | F.col("cell").between(1, 2)))
+    # other tags open and close nothing here, and only rows, cells and text are read
+    used = toks.where(name.isin("", "time", "table", "tr", *CELLS, *SECTIONS, *_ends("table", "tr", *CELLS, *SECTIONS)))
+    used = used.withColumn("tok", F.when(name.isin("", "tr", *CELLS), F.col("tok")))
+    kept = table_tokens(used).where(F.col("in_row") & (at_tr | (name == "time") | F.col("cell").between(1, 2)))
     return kept.groupBy("page_id", "depth", "table", "row").agg(
         F.min("pos").alias("start"), F.max(F.when(at_tr, F.col("tok"))).alias("tag"),
         F.max(name == "time").alias("has_time"), *flags, *tags, text(1), text(2)).drop("depth", "table", "row")

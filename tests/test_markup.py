@@ -86,3 +86,11 @@ def test_pages_grow_with_events(spark):
 def test_one_shuffle_of_tokens(spark):
     plan = markup_prices_b(pages(spark, "x"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_tasks_are_dealt_by_the_bytes_of_the_pages(spark):
+    from moodcast.sources.markup import dealt
+    pages = spark.createDataFrame([(f"p{i}", "x" * 1000) for i in range(100)] + [(None, "x" * 1000)], "page_id string, html string")
+    assert dealt(pages, task_bytes=1000).rdd.getNumPartitions() == 100
+    assert dealt(pages.unionAll(pages), task_bytes=1000).rdd.getNumPartitions() == 200
+    assert dealt(pages.limit(0)).count() == 0
