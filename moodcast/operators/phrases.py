@@ -54,11 +54,14 @@ def phrase_matches(sents: DataFrame, phrases: DataFrame) -> DataFrame:
     table = phrase_table(phrases)
     longest = table.agg(F.coalesce(F.max("n_words"), F.lit(1))).scalar()
     toks = sents.select("id", "sent_idx", _words("sentence").alias("_w")).withColumn("_longest", longest)
-    at = toks.select("id", "sent_idx", F.posexplode(F.transform("_w", lambda w, i: F.slice(
-        F.col("_w"), i + 1, F.col("_longest")))).alias("pos", "_ahead"))
+    following = F.slice("_w", 2, F.greatest(F.size("_w"), F.lit(1)))
+    at = toks.select("id", "sent_idx", F.posexplode(F.arrays_zip(
+        F.col("_w").alias("w"), following.alias("w2"),
+        F.transform("_w", lambda w, i: F.slice(F.col("_w"), i + 1, F.col("_longest"))).alias("ahead"))).alias("pos", "t"))
     # a token may begin with a head of two words and with a phrase of one
-    begins = at.select("*", F.explode(F.array_distinct(F.transform(F.array(F.lit(1), F.lit(2)), lambda k: F.array_join(
-        F.slice("_ahead", 1, k), " ")))).alias("head"))
+    two = F.concat_ws(" ", "t.w", "t.w2")
+    begins = at.select("id", "sent_idx", "pos", F.col("t.ahead").alias("_ahead"), F.explode(
+        F.when(F.col("t.w2").isNull(), F.array("t.w")).otherwise(F.array(F.col("t.w"), two))).alias("head"))
     tried = (begins.join(_heads(table), "head").select("id", "sent_idx", "pos", "_ahead", F.explode("lengths").alias("n_words"))
              .where(F.col("n_words") <= F.size("_ahead"))
              .select("id", "sent_idx", "pos", "n_words", F.array_join(F.slice("_ahead", 1, F.col("n_words")), " ").alias("phrase")))

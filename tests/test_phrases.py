@@ -4,6 +4,7 @@ import random
 
 from moodcast.operators.phrases import phrase_matches, without_overlaps
 from tests.conftest import rows
+from tests.test_plans import plan
 
 PHRASES = [("kiss of death", -1.5), ("kiss", 1.0), ("kiss of", 0.5), ("The  Bomb!", 3.0), ("the bomb", -3.0), ("of death and", 2.0),
            (None, 1.0), ("", 1.0), ("no value", None), ("cut the mustard on a long day", 2.0)]
@@ -57,3 +58,8 @@ def test_empty_tables(spark):
     assert phrase_matches(sents(spark, "kiss of death"), table(spark).limit(0)).count() == 0
     got = phrase_matches(sents(spark, "kiss of death").limit(0), table(spark))
     assert got.count() == 0 and without_overlaps(got).count() == 0
+
+
+def test_heads_are_built_without_a_function_for_each_token(spark):
+    p = plan(phrase_matches(sents(spark, "the bomb"), table(spark)))
+    assert "array_distinct" not in p and "concat_ws" in p
