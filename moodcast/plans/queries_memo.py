@@ -35,6 +35,7 @@ def _staged_run(fx):
 def q_memo_sentiment(fx):
     """Sentiment of every post: known sentences looked up, the others scored."""
     refs, memo, fresh = _staged_run(fx)
+    fresh = stage(fx.spark, fresh, "query_fresh")   # looked up twice, scored once
     return sentiment_from_memo(refs, memo.unionByName(fresh), _VERSION)
 
 

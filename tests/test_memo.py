@@ -92,3 +92,10 @@ def test_ingest_keeps_a_memo(spark, tmp_root):
     stored = store.read(spark, "submission_sentiments", S.SUBMISSION_SENTIMENTS)
     want = read_table(spark, f"{plain}/submission_sentiments", S.SUBMISSION_SENTIMENTS)
     assert rows(stored) == rows(want) and stored.count() > 0
+
+
+def test_unseen_sentences_are_scored_once(spark):
+    """The rows to append are staged: what looks them up twice reads no text."""
+    from __spark_entry__ import queries
+    from tests.test_plans import plan
+    assert "documents.parquet" not in plan(queries()["q_memo_sentiment"](spark, SF_SMALL))
