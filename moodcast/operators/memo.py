@@ -6,7 +6,7 @@ edited post costs only its new sentences, a sentence that many posts share is sc
 
   texts --split, hash--> refs: one narrow row per sentence, no text
   refs --distinct--> hashes --anti join--> hashes the memo lacks
-  texts --split--> distinct sentences --semi join on those--> scored by the lexicon job
+  texts --split--> distinct sentences --hash, semi join on those--> scored by the lexicon job
   refs --join with the memo--> group by document, partial then final
 
 Only unseen sentences are shuffled as text. The memo is first cut down to
@@ -76,10 +76,10 @@ def unseen_polarities(df: DataFrame, text, refs: DataFrame, lexicon: DataFrame,
     todo = hashes.join(_known(memo, version, hashes).select("hash"), "hash", "left_anti")
     src = df.select(col_(text).alias("_text"))
     src = src.repartition(spread) if spread else src
-    texts = src.select(F.explode(T.sentence_array("_text")).alias("sentence")).select(
-        sentence_hash("sentence").alias("hash"), "sentence")
-    # equal sentences meet in the map tasks; Spark moves the semi join below when it can broadcast
-    fresh = texts.distinct().join(todo, "hash", "left_semi")
+    # equal sentences meet in the map tasks, as text: what is hashed and joined is each of them once
+    texts = src.select(F.explode_outer(T.sentence_array("_text")).alias("sentence")).where("sentence is not null").distinct()
+    fresh = texts.select(sentence_hash("sentence").alias("hash"), "sentence").join(
+        todo.repartition(T.even_tasks(df), "hash"), "hash", "left_semi")
     scored = T.score_sentences(fresh.select(F.col("hash").alias("id"), F.lit(0).alias("sent_idx"), "sentence"), lexicon, rules)
     return scored.select(F.lit(version).alias("version"), F.col("id").alias("hash"), "polarity")
 

@@ -3,8 +3,8 @@
 Plan (no Python, the same one whatever the sizes are):
 
   docs --split--> sentences --posexplode--> one row per sentence
-       --split, transform--> tokens with the three before and the two after
-       --explode--> one row per token
+       --split--> tokens
+       --posexplode--> one row per token, with the three before and the two after
        --inner join with the lexicon--> lexicon hits only
        --three look-ups of the preceding words in the lexicon-->
        --group by (doc, sentence), partial then final--> sentence polarity
@@ -90,10 +90,17 @@ BLANKS_RE = r"[\t\r\f ]+"
 END_RE = r"""([.!?]+["')\]]*) """
 # A sentence holds at least one character that is neither blank nor terminator.
 CONTENT_RE = r"[^.!? ]"
+# A sentence holds a token of two or more characters with an upper-case letter and no lower-case one.
+UPPER_TOKEN_RE = r"(?<![^ ])(?=[^ ]{2})[^ \p{Ll}\p{Lu}]*+\p{Lu}[^ \p{Ll}]*+(?![^ ])"
 # ASCII punctuation, stripped from both ends of a token unless that leaves less
 # than two characters (emoticons).
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
+TASKS_A_CORE = 4
+
+# The neighbours of a token that the rules read, and how far from it they stand.
+NEAR = {"p1": -1, "p2": -2, "p3": -3, "n1": 1, "n2": 2}
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -124,15 +131,29 @@ def sentence_array(text) -> Column:
                       F.array().cast("array<string>"))
 
 
+def _raw_tokens(sentence) -> Column:
+    """Blank-separated tokens of two or more characters, as written."""
+    return F.filter(F.split(col_(sentence), " "), lambda t: F.char_length(t) > 1)
+
+
+def _strip(t: Column) -> Column:
+    """A token without outer punctuation."""
+    bare = F.btrim(t, F.lit(PUNCTUATION))
+    return F.when(F.char_length(bare) > 1, bare).otherwise(t)
+
+
 def token_array(sentence) -> Column:
     """Blank-separated tokens of two or more characters, without outer punctuation."""
-    toks = F.filter(F.split(col_(sentence), " "), lambda t: F.char_length(t) > 1)
+    return F.transform(_raw_tokens(sentence), _strip)
 
-    def strip(t):
-        bare = F.btrim(t, F.lit(PUNCTUATION))
-        return F.when(F.char_length(bare) > 1, bare).otherwise(t)
 
-    return F.transform(toks, strip)
+def even_tasks(df: DataFrame) -> int:
+    """How many tasks text is dealt over: several for each core, so that a slow one holds no core up for long.
+
+    A number given to ``repartition`` stays as it is; Spark merges others by bytes until a wave and a bit are left,
+    and each token costs far more than its bytes.
+    """
+    return TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism
 
 
 def _source(df: DataFrame, id_col: str, text, carry: list[str], spread: int | None) -> DataFrame:
@@ -169,7 +190,7 @@ def _in_words(expr_sql: str, words) -> Column:
 
 def _is_upper(t: Column) -> Column:
     """Has an upper-case letter and no lower-case one (Python's ``isupper``)."""
-    return t.rlike(r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$")
+    return t.rlike(r"^[^\p{Ll}\p{Lu}]*+\p{Lu}[^\p{Ll}]*+$")
 
 
 def _modifiers(hits: DataFrame, rules: Rules) -> DataFrame:
@@ -194,23 +215,39 @@ def _modifiers(hits: DataFrame, rules: Rules) -> DataFrame:
 
 
 def _token_rows(sents: DataFrame) -> DataFrame:
-    """One row per token: ``w`` (lower case), ``tok``, ``pos``, its neighbours
-    ``p1..p3`` and ``n1, n2``, and the features of its sentence."""
-    toks = sents.select("id", "sent_idx", _punct_amp(F.col("sentence")).alias("_amp"),
-                        token_array("sentence").alias("_toks"))
-    n_caps = F.size(F.filter("_toks", _is_upper))
-    feats = toks.select("id", "sent_idx", "_amp", "_toks",
-                        (F.array_position(F.transform("_toks", F.lower), "but") - 1).cast("int").alias("_but"),
-                        ((n_caps > 0) & (n_caps < F.size("_toks"))).alias("_capdiff"))
-
-    def context(t, i):
-        return F.struct(F.lower(t).alias("w"), t.alias("tok"), i.alias("pos"),
-                        *[F.get(F.col("_toks"), i - k).alias(f"p{k}") for k in (1, 2, 3)],
-                        *[F.get(F.col("_toks"), i + k).alias(f"n{k}") for k in (1, 2)])
+    """One row per token: ``w`` (lower case), ``tok``, ``pos``, its neighbours as written
+    (``_near``, in the order of ``NEAR``), and the features of its sentence. A sentence
+    without a token has one row with an empty ``w``.
 
-    return (feats.select("id", "sent_idx", "_amp", "_but", "_capdiff",
-                         F.explode(F.transform("_toks", context)).alias("t"))
-            .select("id", "sent_idx", "_amp", "_but", "_capdiff", "t.*"))
+    No lambda runs for a token beyond the length filter: neighbours are taken by position, and
+    below a broadcast join only those of lexicon words are. The features of the few sentences that hold
+    an upper-case token or "but" are the only ones that look at each token.
+    """
+    s, toks = F.col("sentence"), F.col("_toks")
+    cut = sents.select("id", "sent_idx", s, _punct_amp(s).alias("_amp"), _raw_tokens(s).alias("_toks"))
+    but = F.array_position(F.transform(toks, lambda t: F.lower(_strip(t))), "but") - 1
+    mixed = F.exists(toks, lambda t: ~_is_upper(t))
+    feats = cut.select("id", "sent_idx", "_amp", "_toks",
+                       F.when(F.lower(s).contains("but"), but).otherwise(-1).cast("int").alias("_but"),
+                       F.when(s.rlike(UPPER_TOKEN_RE), mixed).otherwise(False).alias("_capdiff"))
+    # outer, so that Spark does not cut each sentence once more to drop those without tokens
+    at = feats.select("id", "sent_idx", "_amp", "_but", "_capdiff", "_toks",
+                      F.posexplode_outer("_toks").alias("pos", "_raw"))
+    near = F.array(*[F.get(toks, F.col("pos") + d) for d in NEAR.values()])
+    bare = at.withColumns({"_bare": F.btrim("_raw", F.lit(PUNCTUATION)), "_near": near})
+    tok = bare.withColumn("tok", F.when(F.char_length("_bare") > 1, F.col("_bare")).otherwise(F.col("_raw")))
+    return tok.select(F.coalesce(F.lower("tok"), F.lit("")).alias("w"), "id", "sent_idx", "_amp", "_but", "_capdiff",
+                      "tok", "pos", "_near")
+
+
+def _with_neighbours(hits: DataFrame) -> DataFrame:
+    """``_near`` as columns ``p1..p3, n1, n2`` without outer punctuation.
+
+    The lambda also ends a generated method: one from the split to the sums would pass the 8,000 bytes up to
+    which the JVM compiles a method, and run interpreted.
+    """
+    bare = hits.withColumn("_near", F.transform("_near", _strip))
+    return bare.withColumns({c: F.get("_near", F.lit(i)) for i, c in enumerate(NEAR)}).drop("_near")
 
 
 def _idiom(*phrases: tuple[str, ...]) -> Column:
@@ -224,7 +261,7 @@ def _valence(rules: Rules) -> list[Column]:
     separate projections so no step's expression is copied into the next."""
     v, steps = F.col("v"), []
     if rules.caps:
-        steps.append(F.when(_is_upper(F.col("tok")) & F.col("_capdiff"),
+        steps.append(F.when(F.col("_capdiff") & _is_upper(F.col("tok")),
                             F.when(v > 0, v + F.lit(C_INCR)).otherwise(v - F.lit(C_INCR))).otherwise(v))
     so = {k: F.coalesce(F.col(f"p{k}").isin("so", "this"), F.lit(False)) for k in (1, 2)}
     for k, scale in zip((1, 2, 3), DISTANCE_SCALE):
@@ -271,10 +308,10 @@ def _sentence_scores(sents: DataFrame, lexicon: DataFrame, rules: Rules) -> Data
     """(id, sent_idx, polarity) of the sentences with a lexicon word: exact sum of
     token values, punctuation, compound."""
     # a repeated word counts once, with its strongest valence (the positive one of two equal)
-    lex = (lexicon.filter(F.col("word").isNotNull() & F.col("valence").isNotNull()).groupBy("word")
+    lex = (lexicon.filter((F.col("word") != "") & F.col("valence").isNotNull()).groupBy("word")
            .agg(F.max(F.struct(F.abs("valence").alias("a"), "valence")).alias("s"))
            .select(F.col("word").alias("w"), F.col("s.valence").alias("v")))
-    hits = _token_rows(sents).join(lex, "w")
+    hits = _with_neighbours(_token_rows(sents).join(lex, "w"))
     if rules.negation or rules.degree or rules.idioms:
         for k in (1, 2, 3):
             seen = lex.select(F.col("w").alias(f"_w{k}"), F.col("v").alias(f"_v{k}"))
@@ -317,8 +354,9 @@ def text_sentiment(df: DataFrame, id_col: str, text, lexicon: DataFrame, rules:
     docs = _source(df, id_col, text, carry, spread).select(
         "id", F.lit(0).cast(P.POLARITY_DECIMAL).alias("_p"), F.size(sentence_array("_text")).alias("n_sentences"), *carry)
     scored = _sentence_scores(sentences(df, id_col, text, spread), lexicon, rules)
-    rows = docs.unionByName(scored.select("id", F.col("polarity").cast(P.POLARITY_DECIMAL).alias("_p")),
-                            allowMissingColumns=True)
+    # summed first: the grouping below sorts its rows when a string rides on them
+    sums = scored.groupBy("id").agg(F.sum(F.col("polarity").cast(P.POLARITY_DECIMAL)).alias("_p"))
+    rows = docs.unionByName(sums, allowMissingColumns=True)
     per_doc = rows.groupBy("id").agg(
         F.sum("_p").cast("double").alias("_s"), F.max("n_sentences").alias("n_sentences"),
         *[F.max(c).alias(c) for c in carry])

@@ -21,8 +21,8 @@ def _posts(fx):
 
 def _staged_run(fx):
     """As the ingest job does it: (staged refs of all posts, memo of a run over the older posts, rows to append)."""
-    tasks = fx.spark.sparkContext.defaultParallelism
     posts, version = _posts(fx), _VERSION
+    tasks = T.even_tasks(posts)
     older = posts.where(F.col("created") < SCORED_BEFORE)
     none = fx.spark.createDataFrame([], SENTENCE_MEMO)
     refs = stage(fx.spark, sentence_refs(posts, "id", "text", carry=["created"], spread=tasks), "query_refs")

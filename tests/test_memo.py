@@ -99,3 +99,13 @@ def test_unseen_sentences_are_scored_once(spark):
     from __spark_entry__ import queries
     from tests.test_plans import plan
     assert "documents.parquet" not in plan(queries()["q_memo_sentiment"](spark, SF_SMALL))
+
+
+def test_sentences_meet_before_they_are_hashed(spark):
+    """Equal sentences are one row before their hash is made, and what they are joined with is dealt over all cores."""
+    from tests.test_plans import plan
+    df = frame(spark)
+    p = plan(unseen_polarities(df, "text", sentence_refs(df, "id", "text"), FX.lexicon(spark), empty(spark), "v"))
+    assert "keys=[sentence#" in p and "keys=[hash#" in p
+    assert not [x for x in p.splitlines() if "keys=[hash#" in x and "sentence#" in x.split("keys=[")[1].split("]")[0]]
+    assert f", {T.even_tasks(df)})" in p and "REPARTITION_BY_NUM" in p

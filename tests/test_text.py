@@ -169,3 +169,33 @@ def test_emoticon_tokens_match_lexicon(spark):
     lex = spark.createDataFrame([(":)", 2.0), (":(", -1.9)], "word string, valence double")
     df = spark.createDataFrame([("x", "nice day :) really")], "id string, text string")
     assert T.text_sentiment(df, "id", "text", lex, T.BASE).first().sentiment == comp(2.0)
+
+
+@pytest.mark.parametrize("text,total", [
+    ("GOOD 42", 1.9 + 0.733), ("GOOD A", 1.9), ("GOOD (BAD)", 1.9 - 2.5), ("Good x GOOD", 1.9 + 1.9 + 0.733),
+    ('good, "BUT" bad', 1.9 * 0.5 - 2.5 * 1.5), ("butter, good", 1.9), ("good butter But, bad", 1.9 * 0.5 - 2.5 * 1.5),
+    ("x y good", 1.9), ("'not' a (good)", 1.9 * -0.74), ("A B", 0.0), ("\u00c9T\u00c9 good", 1.9),
+])
+def test_sentence_features(spark, lex, text, total):
+    """Upper-case tokens and "but" count as stripped tokens of two or more characters; an empty word matches none."""
+    odd = lex.unionByName(spark.createDataFrame([("", 2.0)], "word string, valence double"))
+    assert score(spark, odd, text) == (pytest.approx(comp(total), abs=1e-9), 1)
+
+
+def test_tokens_become_rows_without_a_lambda(spark, lex):
+    """Tokens are exploded as they are: no struct is built for each of them, before it is known to be a lexicon word."""
+    from tests.test_plans import plan
+    df = spark.createDataFrame([("x", "good")], "id string, text string")
+    p = plan(T.text_sentiment(df, "id", "text", lex))
+    assert "posexplode(_toks" in p and "explode(transform(_toks" not in p
+
+
+def test_generated_methods_are_small_enough_to_compile(spark, lex):
+    """The JVM interprets methods of more than 8,000 bytes."""
+    import re
+    df = spark.createDataFrame([("x", "good")], "id string, text string")
+    debug = spark.sparkContext._jvm.org.apache.spark.sql.execution.debug
+    q = T.text_sentiment(df, "id", "text", lex)._jdf.queryExecution()
+    code = getattr(getattr(debug, "package$"), "MODULE$").codegenString(q.executedPlan())
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert max(sizes, default=0) < 8000
