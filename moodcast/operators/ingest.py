@@ -71,8 +71,8 @@ def incremental_sentiment(stored: DataFrame, batch: DataFrame, lexicon: DataFram
     todo = hashed.alias("h").join(keys.alias("k"), reduce(and_, [
         F.col("h.id") == F.col("k.id"), *[F.col(f"h.{c}").eqNullSafe(F.col(f"k.{c}")) for c in keys.columns if c != "id"]]),
         "left_semi")
-    # a redelivered poll has its row twice
-    todo = (todo.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("hash_check")))
+    # a redelivered poll has its row twice; the posts stay where this deals them until they are scored
+    todo = (todo.repartition(T.even_tasks(batch), "id").withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("hash_check")))
             .filter("_n = 1"))
     score = scorer or lexicon_scorer(lexicon, rules)
     scored = score(todo.select("id", T.post_text("title", "selftext").alias("text"), "hash_check", *part),

@@ -104,3 +104,11 @@ def test_ingest_hashes_first(spark):
 
 def test_newest_has_two_levels(spark):
     assert plan(E.queries()["q_newest_n"](spark, SF_SMALL)).count("WindowGroupLimit") >= 3
+
+
+def test_posts_to_score_are_dealt_evenly(spark):
+    """Their text is shuffled into a fixed number of tasks, which Spark does not merge by bytes."""
+    from moodcast.operators import text as T
+    df = E.queries()["q_sentiment_incremental"](spark, SF_SMALL)
+    dealt = [x for x in plan(df).splitlines() if "REPARTITION_BY_NUM" in x]
+    assert dealt and all(f", {T.TASKS_A_CORE * spark.sparkContext.defaultParallelism})" in x for x in dealt)
